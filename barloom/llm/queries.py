@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import mixing, quality_rules
+from barloom.llm import block_search, mixing, quality_rules, sanitise, simhash, suffix_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +21,34 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.search(table(spark, sf_dir, "embeddings"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_mixing)}
+    found = (op1_quality_rules, op3_mixing, op5_warc, op6_sanitise, op7_simhash, op8_block_search, op9_token_counts, op10_suffix_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op3_mixing": mixing.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op3_mixing": mixing.ORACLE, "op8_block_search": block_search.ORACLE}

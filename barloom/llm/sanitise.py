@@ -2,8 +2,9 @@
 
 Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers.  Corpus co-occurrence then
 estimates how strongly a term reveals one: with n(t, e) the distinct contexts (windows of words) in
-which term t stands near entity e, df(t) the documents with t, n(e) the distinct contexts of e and N all
-documents, t discloses log2(p(e | t) / p(e)) bits, p(e | t) = n(t, e) / df(t) and p(e) = n(e) / N.
+which term t stands near entity e, n(t) those in which it stands near any, df(t) the documents with t, n(e) the distinct contexts of e
+and N all documents, t discloses log2(p(e | t) / p(e)) bits, p(e | t) = n(t, e) / max(df(t), n(t)) and p(e) = n(e) / N.
+As p(e | t) is at most n(t, e) / n(t), terms that stand near many entities are settled before the corpus is counted.
 Terms above the thresholds are generalised to their class, and removed where p(e | t) is high.
 
 Distinct contexts rather than documents are counted, so that copies of one document are no evidence.
@@ -126,8 +127,11 @@ def disclosing_terms(docs: DataFrame, reach: int = 5, min_contexts: int = 3, min
     )
     contexts = checkpointed(contexts)
     entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= min_contexts)
-    near = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= min_contexts)
-    pairs = checkpointed(near.join(entities, "entity"))
+    near = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
+    near = checkpointed(near)
+    strongest = near.groupBy("term").agg(F.sum("n_te").alias("n_t"), F.max("n_te").alias("most")).where((F.col("most") >= min_contexts) & (F.col("most") >= F.col("n_t") * min_share))
+    often = near.where(F.col("n_te") >= min_contexts).join(strongest, "term").where(F.col("n_te") >= F.col("n_t") * min_share)
+    pairs = checkpointed(often.join(entities, "entity").select("term", "n_te", "n_t", "n_e"))
     candidates = checkpointed(pairs.select("term").distinct())
     n = candidates.count()
     empty = docs.sparkSession.createDataFrame([], "term string, share double, bits double, removed boolean")
@@ -138,7 +142,7 @@ def disclosing_terms(docs: DataFrame, reach: int = 5, min_contexts: int = 3, min
         occurring = occurring.join(F.broadcast(candidates), "term", "left_semi")
     frequency = occurring.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = docs.count()
-    share = F.least(F.col("n_te") / F.col("df"), F.lit(1.0))
+    share = F.col("n_te") / F.greatest("df", "n_t")
     scored = pairs.join(frequency, "term").select("term", share.alias("share"), F.log2(share / (F.col("n_e") / F.lit(float(total)))).alias("bits"))
     return scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")).withColumn("removed", F.col("share") >= remove_share)
 

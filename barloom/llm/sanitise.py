@@ -160,16 +160,19 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", passthrough: bo
         known = F.broadcast(terms.agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("known")))
         docs = docs.crossJoin(known)
         own = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]{3,}+"), F.lit(0)), lambda w: F.map_contains_key("known", w)))
-        docs = docs.withColumn("own", own)
+        docs = docs.withColumn("own", own).withColumn("gone", F.filter("own", lambda w: F.try_element_at("known", w)))
     else:
         words = docs.select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]{3,}+"), F.lit(0)))).alias("term"))
-        own = words.join(terms, "term").groupBy("doc_id", "h").agg(F.collect_set("term").alias("own")).alias("o")
+        own = words.join(terms, "term").groupBy("doc_id", "h").agg(F.collect_set("term").alias("own"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone")).alias("o")
         d = docs.withColumn("h", F.xxhash64("text")).alias("d")
-        docs = d.join(own, F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.h") == F.col("o.h")), "left").select("d.*", F.coalesce("o.own", F.array().cast("array<string>")).alias("own")).drop("h")
+        docs = d.join(own, F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.h") == F.col("o.h")), "left").select("d.*", *(F.coalesce(f"o.{c}", F.array().cast("array<string>")).alias(c) for c in ("own", "gone"))).drop("h")
     pattern = F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}])(?:"), F.array_join(F.transform("own", lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|"), F.lit(")(?![\\p{L}\\p{N}])"))
     inside = lambda m: F.exists("spans", lambda s: (m["start"] < s["end"]) & (s["start"] < m["end"]))
-    extra = F.when(F.size("own") > 0, as_spans(F.filter(located(F.col("text"), pattern), lambda m: ~inside(m)), 4))
-    return docs.withColumn("base", F.col("spans")).withColumn("spans", F.sort_array(F.concat("spans", F.coalesce(extra, F.filter("spans", lambda s: F.lit(False)))))).drop("own", "known")
+    outside = F.filter(located(F.col("text"), pattern), lambda m: ~inside(m))
+    # a term to be removed is marked by an empty value
+    outside = F.transform(outside, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.when(F.array_contains("gone", F.lower(m["value"])), "").otherwise(m["value"]).alias("value")))
+    extra = F.when(F.size("own") > 0, as_spans(outside, 4))
+    return docs.withColumn("base", F.col("spans")).withColumn("spans", F.sort_array(F.concat("spans", F.coalesce(extra, F.filter("spans", lambda s: F.lit(False)))))).drop("own", "gone", "known")
 
 
 def replaced(text: Column, spans: Column) -> Column:
@@ -179,7 +182,7 @@ def replaced(text: Column, spans: Column) -> Column:
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["pos"]
         gap = F.substring(text, acc["pos"].cast("int") + 1, (s["start"] - acc["pos"]).cast("int"))
-        parts = F.when(fresh, F.concat(acc["parts"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(acc["parts"])
+        parts = F.when(fresh, F.concat(acc["parts"], F.array(gap, F.when(s["value"] == "", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))))).otherwise(acc["parts"])
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), parts.alias("parts")).cast(kind)
 
     zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().alias("parts")).cast(kind)

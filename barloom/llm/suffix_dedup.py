@@ -220,7 +220,7 @@ SENT_TYPES, SENT_NAMES = (pa.int32(), pa.binary(), pa.int64(), pa.binary()), ("p
 
 def _send(sender: Sender) -> Iterator[pa.RecordBatch]:
     blobs, known = sender.flush()
-    rows = [(p, b, None, None) for p, b in blobs] + [(-1, None, t, x) for t, x in known]
+    rows = [(p, b, None, None) for p, b in blobs] + [(t % sender.parts, None, t, x) for t, x in known]
     if rows:
         yield batch_of(rows, SENT_TYPES, SENT_NAMES)
 
@@ -230,17 +230,22 @@ def repeats(sent: DataFrame, parts: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
+        kinds, names = (pa.int64(), pa.binary()), ("text_id", "places")
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(part, []).append(blob)
+            settled = []
+            for part, blob, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if blob is None:
+                    settled.append((text, places))
+                else:
+                    held.setdefault(part, []).append(blob)
+            if settled:
+                yield batch_of(settled, kinds, names)
         for part in list(held):
             rows = settle(held.pop(part), width)
             for k in range(0, len(rows), 4096):
-                yield batch_of(rows[k : k + 4096], (pa.int64(), pa.binary()), ("text_id", "places"))
+                yield batch_of(rows[k : k + 4096], kinds, names)
 
-    sent = checkpointed(sent)
-    witnesses = sent.where("part >= 0").select("part", "blob").repartition(parts, "part")
-    found = witnesses.mapInArrow(run, "text_id long, places binary").unionByName(sent.where("part < 0").select("text_id", "places"))
+    found = sent.repartition(parts, "part").mapInArrow(run, "text_id long, places binary")
     return checkpointed(found.groupBy("text_id").agg(F.collect_list("places").alias("places")))
 
 

@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,10 +26,28 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHED = 400_000
+#: A space next to other white space; anywhere else a space begins a pre-token.
+JOINED_SPACE = r"\p{White_Space} | \p{White_Space}"
+CACHED = 300_000
 LONG_PIECE = 256
 
 
+class Kept(dict):
+    """Values of short keys, computed when they are first asked for; emptied when it is full."""
+
+    def __init__(self, compute: Callable[[str], int]):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key: str) -> int:
+        value = self.compute(key)
+        if len(key) <= LONG_PIECE:
+            if len(self) >= CACHED:
+                self.clear()
+            self[key] = value
+        return value
+
+
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in a byte-level vocabulary file."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -44,66 +63,66 @@ class PrefixCounter:
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         vocab = {k: v for k, v in spec["model"]["vocab"].items() if all(c in letters for c in k)}
-        self.ids = {raw(k): v for k, v in vocab.items()}
+        if lacking := [b for b in range(256) if bytes([b]) not in {raw(k) for k in vocab if len(k) == 1}]:
+            raise ValueError(f"the vocabulary lacks {len(lacking)} bytes")
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.ids))
+        # tokens by number: the bytes, then the merged tokens in order of rank
+        self.index = {bytes([i]): i for i in range(256)}
+        self.halves: list[tuple[int, int]] = [(i, i) for i in range(256)]
+        self.joined: dict[tuple[int, int], int] = {}
+        for a, b in merges:
+            left, right = self.index[raw(a)], self.index[raw(b)]
+            number = self.index.setdefault(raw(a) + raw(b), len(self.halves))
+            if number == len(self.halves):
+                self.halves.append((left, right))
+            self.joined.setdefault((left, right), number)
         self.special = [t["content"] for t in spec.get("added_tokens", ()) if t.get("special")]
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pieces = regex.compile(PATTERN)
-        # a token that its own merges do not build can never be emitted
-        self.reachable: dict[bytes, bool] = {}
-        self.stable: dict[tuple[bytes, bytes], bool] = {}
-        self.tables: dict[str, tuple[int, ...]] = {}
-        self.totals: dict[str, int] = {}
-
-    def merge(self, data: bytes) -> list[bytes]:
-        """Plain BPE of a short byte string: the lowest-ranked pair first, leftmost of equals."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
-
-    def fits(self, left: bytes, right: bytes) -> bool:
-        """Whether ``left`` and ``right`` stay two tokens when they meet."""
-        key = (left, right)
-        if (known := self.stable.get(key)) is None:
-            known = self.stable[key] = self.merge(left + right) == [left, right]
-            if len(self.stable) > CACHED:
-                self.stable.clear()
-        return known
-
-    def whole(self, token: bytes) -> bool:
-        if (known := self.reachable.get(token)) is None:
-            known = self.reachable[token] = self.merge(token) == [token]
-        return known
+        self.pieces, self.joined_space = regex.compile(PATTERN), regex.compile(JOINED_SPACE)
+        self.suffixes = ahocorasick.Automaton()
+        for token, number in self.index.items():
+            self.suffixes.add_word(token.decode("latin-1"), (number, len(token)))
+        self.suffixes.make_automaton()
+        self.totals = Kept(lambda piece: self.table(piece.encode())[-1])
+        by_pieces = lambda text: sum(map(self.totals.__getitem__, self.pieces.findall(text)))
+        self.words, self.spaced = Kept(by_pieces), Kept(lambda word: by_pieces(" " + word))
+
+    def fits(self, left: int, right: int) -> bool:
+        """Whether two tokens stay apart when they meet.
+
+        They would not, if a merge across the border came before the merges that make them up: walk both back along the border,
+        the later made one first, and look for a pair whose merge is earlier than what has been taken apart.
+        """
+        joined, halves = self.joined.get, self.halves
+        limit = 1 << 60
+        while True:
+            if joined((left, right), limit) < limit:
+                return False
+            if left > right:
+                limit, left = left, halves[left][1]
+                if left == limit:
+                    limit, right = right + 1, halves[right][0]
+                    if right + 1 == limit:
+                        return True
+            else:
+                limit, right = right + 1, halves[right][0]
+                if right + 1 == limit:
+                    limit, left = left, halves[left][1]
+                    if left == limit:
+                        return True
 
     def table(self, piece: bytes) -> list[int]:
         """count[i]: tokens of the first i bytes of one pre-token, each prefix encoded on its own."""
-        n, count, last = len(piece), [0], [b""]
-        for i in range(1, n + 1):
-            for size in range(min(i, self.longest), 0, -1):
-                token = piece[i - size : i]
-                if token in self.ids and self.whole(token) and (size == i or self.fits(last[i - size], token)):
-                    count.append(count[i - size] + 1)
+        count, last, fits = [0], [-1], self.fits
+        # all tokens that end at each place, the longest first
+        for end, (token, size) in self.suffixes.iter(piece.decode("latin-1")):
+            if len(count) == end + 1:
+                start = end + 1 - size
+                if start == 0 or fits(last[start], token):
+                    count.append(count[start] + 1)
                     last.append(token)
-                    break
-            else:
-                raise ValueError("a byte is missing from the vocabulary")
         return count
 
-    def total(self, piece: str) -> int:
-        if (known := self.totals.get(piece)) is None:
-            known = self.table(piece.encode())[-1]
-            if len(piece) <= LONG_PIECE:
-                if len(self.totals) >= CACHED:
-                    self.totals.clear()
-                self.totals[piece] = known
-        return known
-
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches between special strings, and the special strings."""
         if not self.split:
@@ -120,7 +139,7 @@ class PrefixCounter:
         """Ends of the pre-tokens in characters, and the tokens up to each."""
         sizes: list[int] = []
         counts: list[int] = []
-        totals, total = self.totals, self.total
+        totals = self.totals.__getitem__
         for part, is_special in self.parts(text):
             if is_special:
                 sizes.append(len(part))
@@ -128,14 +147,21 @@ class PrefixCounter:
                 continue
             found = self.pieces.findall(part)
             sizes += map(len, found)
-            try:
-                counts += [totals[p] for p in found]
-            except KeyError:
-                counts += map(total, found)
+            counts += map(totals, found)
         return np.cumsum(np.array(sizes, np.int64)), np.cumsum(np.array(counts, np.int64))
 
     def count(self, text: str) -> int:
-        return int(c[-1]) if len(c := self.prefixes(text)[1]) else 0
+        """Tokens of a text: the sum over its words, each with the space before it, where spaces stand alone."""
+        n = 0
+        for part, is_special in self.parts(text):
+            if is_special:
+                n += 1
+            elif self.joined_space.search(part):
+                n += sum(map(self.totals.__getitem__, self.pieces.findall(part)))
+            elif part:
+                first, *words = part.split(" ")
+                n += (self.words[first] if first else 0) + sum(map(self.spaced.__getitem__, words))
+        return n
 
     def count_at(self, text: str, ends: np.ndarray, counts: np.ndarray, place: int) -> int:
         """Tokens of the first ``place`` characters: the table, and the pre-tokens the cut may change."""
@@ -172,10 +198,12 @@ def prefix_tables(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
             n_bytes, n_tokens, all_ends, all_counts = [], [], [], []
             for value in batch.column(1):
                 t = value.as_py()
-                ends, counts = counter.prefixes(t)
                 n_bytes.append(len(t.encode()))
-                n_tokens.append(int(counts[-1]) if len(counts) else 0)
-                if tables:
+                if not tables:
+                    n_tokens.append(counter.count(t))
+                else:
+                    ends, counts = counter.prefixes(t)
+                    n_tokens.append(int(counts[-1]) if len(counts) else 0)
                     all_ends.append(ends.astype(np.int32))
                     all_counts.append(counts.astype(np.int32))
             columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())]

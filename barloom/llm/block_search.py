@@ -32,10 +32,13 @@ SLACK = 1e-5
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of the rows of a and b (float64), summed in the order of the components."""
-    x, y = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    add = lambda z: z.sum(axis=0)  # noqa: E731  over the outer axis: one component after the other
-    return add(x * y) / (np.sqrt(add(x * x)) * np.sqrt(add(y * y)))
+    """Cosines of the rows of a and b (float64), summed one component after the other, whatever the number of rows."""
+    dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        dot += x * y
+        aa += x * x
+        bb += y * y
+    return dot / (np.sqrt(aa) * np.sqrt(bb))
 
 
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

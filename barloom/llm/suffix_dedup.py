@@ -24,7 +24,7 @@ copies of each other (each occurrence counts); an empty table gives an empty res
 from __future__ import annotations
 
 import gc
-import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,16 +105,17 @@ def runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[np.concatenate(([0], cut + 1))], places[np.concatenate((cut, [len(places) - 1]))] + 1
 
 
-def pack_runs(places: np.ndarray) -> bytes:
-    a, b = runs(places)
-    return np.column_stack((a, b)).astype("<i4").tobytes()
+def pack_places(places: np.ndarray) -> bytes:
+    """Sorted places as compressed differences (parts hold scattered places, so runs would not be shorter)."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(places, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def unpack_runs(blobs: list[bytes]) -> np.ndarray:
-    """The numbers in runs, sorted, each once."""
-    pairs = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    out = [np.arange(a, b) for a, b in pairs.tolist()]
+def unpack_places(blobs: list[bytes]) -> np.ndarray:
+    """The places of all blobs, sorted, each once."""
+    out = []
+    for blob in blobs:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+        out.append(np.cumsum(np.ascontiguousarray(raw.T).view("<u4")[:, 0], dtype=np.int64))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
@@ -138,7 +139,7 @@ class Sender:
         self.rows += len(names)
 
     def flush(self) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
-        """Witnesses (part, blob), and repeats known already (text, runs of places)."""
+        """Witnesses (part, blob), and repeats known already (text, places)."""
         if not self.rows:
             self.clear()
             return [], []
@@ -155,7 +156,7 @@ class Sender:
         known = []
         edges = np.flatnonzero(np.diff(owner[known_rows].astype(np.int64), prepend=-1, append=-1)) if len(known_rows) else np.zeros(1, np.int64)
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            known.append((self.texts[owner[known_rows[a]]], pack_runs(places[known_rows[a:b]].astype(np.int64))))
+            known.append((self.texts[owner[known_rows[a]]], pack_places(places[known_rows[a:b]].astype(np.int64))))
         sent = order[first]
         flag = same[first]
         part = (names[sent] >> np.uint64(48)) % np.uint64(self.parts)
@@ -207,7 +208,7 @@ def settle(blobs: list[bytes], width: int) -> list[tuple[int, bytes]]:
     order = np.lexsort((places, texts))
     texts, places = texts[order], places[order]
     edges = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1], [True]))) if len(texts) else np.zeros(1, np.int64)
-    return [(int(texts[a]), pack_runs(places[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [(int(texts[a]), pack_places(places[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def batch_of(rows: list[tuple], types: tuple, names: tuple) -> pa.RecordBatch:
@@ -226,7 +227,7 @@ def _send(sender: Sender) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(sent: DataFrame, parts: int, width: int) -> DataFrame:
-    """text_id and places (runs) of everything that repeats, from what ``_send`` gives: one row per text."""
+    """text_id and places (packed) of everything that repeats, from what ``_send`` gives: one row per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -251,12 +252,14 @@ def repeats(sent: DataFrame, parts: int, width: int) -> DataFrame:
 
 def released(df: DataFrame) -> None:
     """Let Spark drop the shuffle files that nothing refers to any more (they are temporary copies of the text's size)."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of may hold more
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def repeated_windows(df: DataFrame) -> DataFrame:
-    """text_id and places: runs of the starts of 400-byte strings that also start elsewhere.
+    """text_id and places: packed starts of 400-byte strings that also start elsewhere.
 
     ``df`` has text_id (a hash of the text) and data (its bytes).
     """
@@ -294,7 +297,7 @@ def repeated_windows(df: DataFrame) -> DataFrame:
                     continue
                 seen.add(text)
                 data = data.as_py()
-                marks = unpack_runs(blobs.as_py())
+                marks = unpack_places(blobs.as_py())
                 last = len(data) - LENGTH
                 open_at = np.zeros(len(data) + 2, np.int32)
                 np.add.at(open_at, np.maximum(marks - (MODULUS - 1), 0), 1)
@@ -332,10 +335,8 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 if not blobs:
                     rows.append((doc, len(data), 0, 0, data))
                     continue
-                pairs = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2)
-                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")].tolist()
                 spans: list[list[int]] = []
-                for a, b in pairs:
+                for a, b in zip(*(x.tolist() for x in runs(unpack_places(blobs))), strict=True):
                     if spans and a <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], b - 1 + LENGTH)
                     else:

@@ -444,18 +444,18 @@ def colors_and_tickers(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 2)) AS a FROM embeddings), s AS (SELECT *, list_sort(a) AS s, list_avg(a) AS m FROM e)
-SELECT vec_id, round(list_sum(a), 6) AS sum, round(m, 6) AS avg, s[len(s)] AS max, s[len(s) - 1] AS max1, s[1] AS min, round(s[len(s)] - s[1], 6) AS range, round(CASE WHEN len(s) % 2 = 1 THEN s[len(s) // 2 + 1] ELSE (s[len(s) // 2] + s[len(s) // 2 + 1]) / 2 END, 6) AS median, round(list_var_pop(a), 6) AS variance, round(list_stddev_samp(a), 6) AS stdev,
+SELECT vec_id, round(list_sum(a), 6) AS sum, round(m, 6) AS avg, s[len(s)] AS max, s[len(s) - 1] AS max1, s[1] AS min, round(s[len(s)] - s[1], 6) AS range, round(CASE WHEN len(s) % 2 = 1 THEN s[len(s) // 2 + 1] ELSE (s[len(s) // 2] + s[len(s) // 2 + 1]) / 2 END, 6) AS median, round(list_var_pop(a), 13) AS variance, round(list_stddev_samp(a), 6) AS stdev,
 len(list_filter(a, lambda x: abs(x - a[5]) <= 1e-10)) > 0 AS includes, list_position(a, a[5]) - 1 AS indexof, s[ceil(0.3 * len(s))::INT] AS nearest, round((len(list_filter(a, lambda x: x - a[4] <= 1e-10)) - 1) * 100.0 / (len(a) - 1), 6) AS percentrank, a[3:5] AS part, list_reverse(s)[1:2] AS top, len(list_filter(a, lambda x: x > 0)) = len(a) AS every, len(list_filter(a, lambda x: x > 0)) > 0 AS some,
-round(list_sum(list_transform(a, lambda x, i: (x - m) * (s[i] - m))) / len(a), 12) AS covariance, len(list_filter(s, lambda x: x <= a[6])) - 1 AS rightmost, len(a) AS size FROM s""")
+round(list_sum(list_transform(a, lambda x, i: (x - m) * (s[i] - m))) / len(a), 13) AS covariance, len(list_filter(s, lambda x: x <= a[6])) - 1 AS rightmost, len(a) AS size FROM s""")
 def array_functions(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 2)).alias("a"))
     e = e.withColumn("s", arrays.sort(F.col("a")))
     a, s = F.col("a"), F.col("s")
     r = lambda x: F.round(x, 6)
     return e.select(
-        "vec_id", r(arrays.sum(a)).alias("sum"), r(arrays.avg(a)).alias("avg"), arrays.max(a).alias("max"), arrays.max(a, 1).alias("max1"), arrays.min(a).alias("min"), r(arrays.range(a)).alias("range"), r(arrays.median(a)).alias("median"), r(arrays.variance(a)).alias("variance"), r(arrays.stdev(a, False)).alias("stdev"),
+        "vec_id", r(arrays.sum(a)).alias("sum"), r(arrays.avg(a)).alias("avg"), arrays.max(a).alias("max"), arrays.max(a, 1).alias("max1"), arrays.min(a).alias("min"), r(arrays.range(a)).alias("range"), r(arrays.median(a)).alias("median"), F.round(arrays.variance(a), 13).alias("variance"), r(arrays.stdev(a, False)).alias("stdev"),
         arrays.includes(a, arrays.get(a, 4)).alias("includes"), arrays.indexof(a, arrays.get(a, 4)).alias("indexof"), arrays.percentile_nearest_rank(a, 30.0).alias("nearest"), r(arrays.percentrank(a, 3)).alias("percentrank"), arrays.slice(a, 2, 5).alias("part"), arrays.slice(arrays.sort(a, False), 0, 2).alias("top"),
-        arrays.every(F.transform(a, lambda x: x > 0)).alias("every"), arrays.some(F.transform(a, lambda x: x > 0)).alias("some"), F.round(arrays.covariance(a, s), 12).alias("covariance"), arrays.binary_search_rightmost(s, arrays.get(a, 5)).alias("rightmost"), arrays.size(a).alias("size"),
+        arrays.every(F.transform(a, lambda x: x > 0)).alias("every"), arrays.some(F.transform(a, lambda x: x > 0)).alias("some"), F.round(arrays.covariance(a, s), 13).alias("covariance"), arrays.binary_search_rightmost(s, arrays.get(a, 5)).alias("rightmost"), arrays.size(a).alias("size"),
     )
 
 

@@ -12,7 +12,7 @@ candidates.  The lists merged per query are k rows a tile, reduced before they a
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, neither as query nor as candidate;
 vectors of another length than the most usual query's are compared only with those of their own length; a repeated vec_id is a repeated
-candidate, and a query never meets rows with its own id; repeated query rows are answered once; ties fall to the smaller vec_id; an empty table gives an empty result.
+candidate, and a query never meets rows with its own id; repeated query rows are answered once (for the smallest vector, if they differ); ties fall to the smaller vec_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -112,10 +112,12 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 def search(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", spread: int = 16) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine of every row whose id is divisible by ``every``."""
     vectors = usable(df, key, vector)
-    queries = packed(vectors.where(F.col("id") % every == 0).dropDuplicates(["id"]).coalesce(spread), QUERY_BLOCK)
+    # sorted, so that a task that runs again packs the same blocks
+    asked = vectors.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
+    queries = packed(asked.repartition(spread, "id").sortWithinPartitions("id"), QUERY_BLOCK)
     candidates = packed(vectors, CANDIDATE_BLOCK)
     # every query block meets every candidate block of its dimension: blocks, not rows, and dealt out by a salt
-    left = candidates.withColumn("salt", F.floor(F.rand(7) * spread).cast("int"))
+    left = candidates.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))
     right = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     tiles = left.alias("c").join(right.alias("q"), (F.col("c.dim") == F.col("q.dim")) & (F.col("c.salt") == F.col("q.salt")))
     tiles = tiles.select(F.col("c.dim").alias("dim"), F.col("q.ids").alias("q_ids"), F.col("q.data").alias("q_data"), F.col("c.ids").alias("c_ids"), F.col("c.data").alias("c_data"))

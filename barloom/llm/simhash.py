@@ -133,11 +133,18 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", max_bucke
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest key, one of its rows if that is repeated."""
-    kept = components(df, key, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    """One document of each component: the one with the smallest key, one of its rows if that is repeated.
+
+    Rows of repeated keys are reduced after the join; where no key is repeated, the texts are shuffled once only.
+    """
+    found = components(df, key, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = checkpointed(found.groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__n")))
     names = df.columns
-    joined = df.join(kept, df[key].eqNullSafe(F.col("__kept"))).select(*(df[f"`{n}`"] for n in names))
-    return joined.dropDuplicates([key])
+    joined = df.join(kept, df[key].eqNullSafe(F.col("__kept"))).select(*(df[f"`{n}`"] for n in names), "__n")
+    once = joined.where("__n = 1").drop("__n")
+    if kept.where("__n > 1").isEmpty():
+        return once
+    return once.unionByName(joined.where("__n > 1").drop("__n").dropDuplicates([key]))
 
 
 def digest(df: DataFrame) -> DataFrame:

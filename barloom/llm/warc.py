@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ensure_checkpoint_dir
+from barloom.llm.common import checkpointed, ensure_checkpoint_dir
 
 SEGMENT = 32_768
 CHUNK = 4_096
@@ -202,8 +202,11 @@ def reassembled(records: DataFrame) -> DataFrame:
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """Write archives of all pages to the shared folder, read them back and describe each page."""
+    """Write archives of all pages to the shared folder, read them back and describe each page; the archives are deleted then."""
     spark = pages.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(with_roles(pages), path)
-    return reassembled(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = checkpointed(reassembled(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out

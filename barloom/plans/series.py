@@ -143,6 +143,16 @@ class Chart:
         """One row per bar with the key, the time, ``keep`` and one column per plot."""
         return Planner(self).run(plots, keep)
 
+    def max_bars_back(self, series: Series, n: int) -> Series:
+        """Series have no horizon here; the number is only checked against the largest that scripts may ask for."""
+        if not 0 < n <= 5000:
+            raise ValueError(f"max_bars_back must be between 1 and 5000, not {n}")
+        return series
+
+    def visible_bounds(self) -> DataFrame:
+        """First and last bar time of each symbol, which stand for the ends of the viewport."""
+        return self.bars.groupBy(self.key).agg(F.min(self.time_name).alias("left_visible_bar_time"), F.max(self.time_name).alias("right_visible_bar_time"))
+
     def last_bars(self, n: int) -> Chart:
         """Only the last ``n`` bars of each symbol: series start fresh, bar_index stays absolute as ``absolute_index``."""
         down = Window.partitionBy(self.key).orderBy(F.col(self.time_name).desc())

@@ -1,6 +1,6 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
-Merges are taken from an agenda (best score first, leftmost of equals); each candidate is skipped when a keyed hash of the word,
+Merges are taken from an agenda (best score first, leftmost of equals), for many new words at once, one merge of each per round; each candidate is skipped when a keyed hash of the word,
 its variant, the candidate's place and its length falls below the dropout rate.  The seed, the document and the running number of the
 word choose one of a few variants, so a word is segmented differently at different places, reruns agree, and the
 segmentations of frequent words are computed once per variant and worker.
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 VARIANTS = 4
-CACHED = 150_000
+CACHED = 900_000
 LONG_WORD = 48
 M64 = (1 << 64) - 1
+NEVER = 1 << 40
+SPREAD = 0x9E3779B97F4A7C15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -61,13 +63,129 @@ class DropoutEncoder:
         self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else "(?s).+")
         self.rate, self.seed, self.below = rate, seed, int(rate * (1 << 64))
         self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
+        self.long: list[str] = []
+        self.letters = np.full(0x110000, -1, np.int32)
+        for name, i in self.ids.items():
+            if len(name) == 1:
+                self.letters[ord(name)] = i
+        self.pair_table()
         self.literal = tuple(self.byte[b] for b in SPACE.encode())
 
-    def segment(self, word: str, variant: int) -> tuple[int, ...]:
-        """Ids of one word: the agenda of merges, some of them skipped."""
+    def pair_table(self) -> None:
+        """Open-addressed table of the pairs of pieces that make a piece: rank and id of the result."""
+        pairs = []
+        for name, i in self.ids.items():
+            for cut in range(1, len(name)):
+                if (a := self.ids.get(name[:cut])) is not None and (b := self.ids.get(name[cut:])) is not None:
+                    pairs.append((a << 20 | b, self.rank[name], i))
+        self.shift = 64 - max(12, (8 * len(pairs)).bit_length())
+        size = 1 << (64 - self.shift)
+        self.pair_keys, self.pair_ranks, self.pair_ids = np.full(size, -1, np.int64), np.full(size, NEVER, np.int64), np.zeros(size, np.int32)
+        for k, rank, i in pairs:
+            slot = (k * SPREAD & M64) >> self.shift
+            while self.pair_keys[slot] >= 0:
+                slot = (slot + 1) % size
+            self.pair_keys[slot], self.pair_ranks[slot], self.pair_ids[slot] = k, rank, i
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Slots of pairs of ids in the table; an empty slot (rank NEVER) where the pair makes no piece."""
+        keys = left.astype(np.int64) << 20 | right
+        slots = ((keys.view(np.uint64) * np.uint64(SPREAD)) >> np.uint64(self.shift)).astype(np.int64)
+        wrong = np.flatnonzero(((got := self.pair_keys[slots]) != keys) & (got >= 0))
+        while len(wrong):
+            slots.flat[wrong] = (slots.flat[wrong] + 1) % len(self.pair_keys)
+            got = self.pair_keys[slots.flat[wrong]]
+            wrong = wrong[(got != keys.flat[wrong]) & (got >= 0)]
+        return slots
+
+    def word_keys(self, codes: np.ndarray, places: np.ndarray, firsts: np.ndarray, variants: np.ndarray) -> np.ndarray:
+        """Keyed hashes of words given as code points and places, each word from its first to the next one's."""
+        letters = mixed(codes.astype(np.uint64) * np.uint64(SPREAD) + places.astype(np.uint64) + np.uint64(self.seed))
+        return mixed(np.add.reduceat(letters, firsts) + variants.astype(np.uint64) * np.uint64(SPREAD))
+
+    def learn(self, wanted: list[tuple[str, int]]) -> None:
+        """Segment (word, variant) pairs and keep the ids: short words by table in rounds, a merge of each word per round."""
+        if not wanted:
+            return
+        words = [w for w, _ in wanted]
+        variants = np.array([v for _, v in wanted])
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        firsts = np.cumsum(sizes) - sizes
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        places = np.arange(len(points)) - np.repeat(firsts, sizes)
+        keys = self.word_keys(points, places, firsts, variants)
+        codes = self.letters[points]
+        odd = (np.minimum.reduceat(codes, firsts) < 0) | (sizes > LONG_WORD)
+        for k in np.flatnonzero(odd).tolist():
+            word, v = wanted[k]
+            self.known[v][word] = self.spelled(self.merged(word, int(keys[k])))
+            if len(word) > LONG_WORD:
+                self.long.append(word)
+        width = (sizes + 3) // 4 * 4
+        for w in np.unique(width[~odd]).tolist():
+            group = np.flatnonzero((width == w) & ~odd)
+            for at in range(0, len(group), 1 << 14):
+                part = group[at : at + (1 << 14)]
+                columns = np.arange(w + 1)
+                inside = columns < sizes[part][:, None]
+                ids = np.where(inside, codes[np.minimum(firsts[part][:, None] + columns, len(codes) - 1)], 0)
+                self.learn_group([wanted[k] for k in part.tolist()], ids, inside.astype(np.int64), keys[part])
+
+    def learn_group(self, rows: list[tuple[str, int]], ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> None:
+        """Words of similar length as rows of piece ids and piece lengths (0 beyond the end)."""
+        columns = np.arange(ids.shape[1])
+        last = ids.shape[1] - 1
+        rest, p, z = np.arange(len(rows)), ids.copy(), sizes.copy()
+        while True:
+            slots = self.pairs(p[:, :-1], p[:, 1:])
+            ranks = self.pair_ranks[slots]
+            ranks[z[:, 1:] == 0] = NEVER
+            if self.below:
+                start = np.cumsum(z, axis=1)[:, :-1] - z[:, :-1]
+                ranks[self.skipped(keys[:, None], start.view(np.uint64), (z[:, :-1] + z[:, 1:]).view(np.uint64))] = NEVER
+            best = ranks.argmin(axis=1)
+            row = np.arange(len(rest))
+            going = ranks[row, best] < NEVER
+            ended = ~going
+            ids[rest[ended]], sizes[rest[ended]] = p[ended], z[ended]
+            row, best, rest, keys = row[going], best[going], rest[going], keys[going]
+            if not len(rest):
+                break
+            p, z = p[going], z[going]
+            k = np.arange(len(rest))
+            p[k, best] = self.pair_ids[slots[row, best]]
+            z[k, best] += z[k, best + 1]
+            z[:, last] = 0  # always beyond the end, as a merge has made room
+            take = np.minimum(columns + (columns > best[:, None]), last)
+            p, z = p[k[:, None], take], z[k[:, None], take]
+        inside = sizes > 0
+        flat = ids[inside].tolist()
+        ends = np.cumsum(inside.sum(axis=1)).tolist()
+        at = 0
+        for (word, v), end in zip(rows, ends, strict=True):
+            self.known[v][word] = tuple(flat[at:end])
+            at = end
+
+    def skipped(self, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the candidate of a place and length is skipped: a keyed hash against the rate."""
+        h = key + start * np.uint64(0x9E3779B97F4A7C15) + size * np.uint64(0xD1B54A32D192ED03)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return (h ^ (h >> np.uint64(29))) < np.uint64(self.below)
+
+    def spelled(self, parts: list[str]) -> tuple[int, ...]:
+        """Ids of parts; characters without a piece become bytes."""
+        out: list[int] = []
+        for part in parts:
+            if (known := self.ids.get(part)) is not None:
+                out.append(known)
+            else:
+                out += [self.byte[b] for b in part.encode()]
+        return tuple(out)
+
+    def merged(self, word: str, key: int) -> list[str]:
+        """Parts of one word (with its keyed hash) by an agenda (a heap of candidates), each skipped as ``skipped`` has it."""
         parts: list[str | None] = list(word)
         n, rank, below = len(parts), self.rank.get, self.below
-        key = xxhash.xxh64_intdigest(word.encode(), self.seed * VARIANTS + variant) if below else 0
         after, before = list(range(1, n + 1)), list(range(-1, n))
         agenda = [(r << 32) | i for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
         heapq.heapify(agenda)
@@ -93,39 +211,45 @@ class DropoutEncoder:
                     heapq.heappush(agenda, (r << 32) | i)
             if (p := before[i]) >= 0 and (r := rank(parts[p] + whole)) is not None:
                 heapq.heappush(agenda, (r << 32) | p)
-        out: list[int] = []
-        for part in parts:
-            if part is not None:
-                if (known := self.ids.get(part)) is not None:
-                    out.append(known)
-                else:
-                    out += [self.byte[b] for b in part.encode()]
-        return tuple(out)
+        return [p for p in parts if p is not None]
 
-    def encode(self, text: str, stream: int = 0) -> list[int]:
-        """Ids of a text; ``stream`` (a number of its own for each document) varies the segmentations."""
-        if not text:
-            return []
-        stretches = text.split(SPACE)
-        out: list[int] = []
-        for number, stretch in enumerate(stretches):
-            if number:
-                out += self.literal
+    def words_of(self, text: str, stream: int) -> list[list[tuple[str, int]]]:
+        """Words and their variants, by the stretches between literal space marks."""
+        out = []
+        for number, stretch in enumerate(text.split(SPACE) if text else []):
             words = self.words.findall((SPACE if number == 0 else "") + stretch.replace(" ", SPACE))
-            start = np.uint64((xxhash.xxh64_intdigest(b"%d:%d" % (stream, number), self.seed)) & M64)
+            start = np.uint64(xxhash.xxh64_intdigest(b"%d:%d" % (stream, number), self.seed))
             variants = (mixed(np.arange(len(words), dtype=np.uint64) + start) % np.uint64(VARIANTS)).tolist() if self.below else [0] * len(words)
-            known = self.known
-            for word, v in zip(words, variants, strict=True):
-                ids = known[v].get(word)
-                if ids is None:
-                    ids = self.segment(word, v)
-                    if len(word) <= LONG_WORD:
-                        if len(known[v]) >= CACHED:
-                            known[v].clear()
-                        known[v][word] = ids
-                out += ids
+            out.append(list(zip(words, variants, strict=True)))
         return out
 
+    def encode_batch(self, texts: list[str], streams: list[int]) -> list[list[int]]:
+        """Ids of texts; the words that are not known yet are segmented together."""
+        known = self.known
+        if sum(map(len, known)) > CACHED:
+            for k in known:
+                k.clear()
+        split = [self.words_of(t, s) for t, s in zip(texts, streams, strict=True)]
+        self.learn(list({pair for text in split for stretch in text for pair in stretch if pair[0] not in known[pair[1]]}))
+        found = []
+        for text in split:
+            out: list[int] = []
+            for number, stretch in enumerate(text):
+                if number:
+                    out += self.literal
+                for word, v in stretch:
+                    out += known[v][word]
+            found.append(out)
+        for k in known:  # long words are not kept
+            for word in [w for w in self.long if w in k]:
+                del k[word]
+        self.long.clear()
+        return found
+
+    def encode(self, text: str, stream: int = 0) -> list[int]:
+        """Ids of a text; ``stream`` (a number of its own for each document) varies the segmentations."""
+        return self.encode_batch([text], [stream])[0]
+
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation, byte for byte."""
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode()
@@ -151,14 +275,11 @@ def encoded(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, key: st
         raw = encoder.raw.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                ids, counts, same = [], [], []
                 part = batch.slice(at, 512)
-                for doc, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    t = value.as_py()
-                    found = encoder.encode(t, -1 if doc is None else doc)
-                    ids.append(np.array(found, np.int32))
-                    counts.append(len(found))
-                    same.append(b"".join(map(raw, found))[1:] == t.encode())
+                texts = part.column(1).to_pylist()
+                found = encoder.encode_batch(texts, [-1 if doc is None else doc for doc in part.column(0).to_pylist()])
+                ids, counts = [np.array(x, np.int32) for x in found], list(map(len, found))
+                same = [b"".join(map(raw, x))[1:] == t.encode() for x, t in zip(found, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(same)], names=["doc_id", "ids", "n_tokens", "lossless"])
 
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

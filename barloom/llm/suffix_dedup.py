@@ -191,10 +191,8 @@ def opened(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return low.reshape(-1).view("<u8"), texts[owner], places, flags
 
 
-def settle(blobs: list[bytes], width: int) -> list[tuple[int, bytes]]:
+def settle(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Texts and places whose names occur at two different places at least: sort, and compare neighbours."""
-    if not blobs:
-        return []
     names, texts, places, flags = (np.concatenate(x) for x in zip(*(opened(b, width) for b in blobs), strict=True))
     order = np.lexsort((places, texts, names))
     names, texts, places, flags = names[order], texts[order], places[order], flags[order]
@@ -204,11 +202,34 @@ def settle(blobs: list[bytes], width: int) -> list[tuple[int, bytes]]:
     group = np.cumsum(start) - 1
     several = (np.bincount(group, weights=fresh) > 1) | (np.bincount(group, weights=flags) > 0)
     keep = several[group] & fresh
-    texts, places = texts[keep], places[keep]
+    return texts[keep], places[keep]
+
+
+def by_text(texts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by text and place, each pair once; and where each text begins, with the end."""
     order = np.lexsort((places, texts))
     texts, places = texts[order], places[order]
+    fresh = np.concatenate(([True], (texts[1:] != texts[:-1]) | (places[1:] != places[:-1]))) if len(texts) else np.zeros(0, bool)
+    texts, places = texts[fresh], places[fresh]
     edges = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1], [True]))) if len(texts) else np.zeros(1, np.int64)
-    return [(int(texts[a]), pack_places(places[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return texts, places, edges
+
+
+def pack_texts(texts: np.ndarray, places: np.ndarray) -> bytes:
+    """Places of many texts in one compressed blob."""
+    texts, places, edges = by_text(texts, places)
+    counts = np.diff(edges).astype("<i4")
+    steps = np.diff(places, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T
+    head = np.array([len(counts), len(places)], "<i4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + texts[edges[:-1]].astype("<i8").tobytes() + counts.tobytes() + steps.tobytes())
+
+
+def unpack_texts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    m, n = np.frombuffer(raw, "<i4", 2).tolist()
+    texts, counts = np.frombuffer(raw, "<i8", m, 8), np.frombuffer(raw, "<i4", m, 8 + 8 * m)
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 8 + 12 * m).reshape(4, n).T).view("<i4")[:, 0]
+    return np.repeat(texts, counts), np.cumsum(steps, dtype=np.int64)
 
 
 def batch_of(rows: list[tuple], types: tuple, names: tuple) -> pa.RecordBatch:
@@ -227,27 +248,47 @@ def _send(sender: Sender) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(sent: DataFrame, parts: int, width: int) -> DataFrame:
-    """text_id and places (packed) of everything that repeats, from what ``_send`` gives: one row per text."""
+    """text_id and places (packed) of everything that repeats, from what ``_send`` gives: one row per text.
+
+    A task settles its parts and sends what it found in one blob per bucket of texts, so rows do not grow with texts times parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
-        kinds, names = (pa.int64(), pa.binary()), ("text_id", "places")
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            settled = []
             for part, blob, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if blob is None:
-                    settled.append((text, places))
+                    known = unpack_places([places])
+                    found.append((np.full(len(known), text), known))
                 else:
                     held.setdefault(part, []).append(blob)
-            if settled:
-                yield batch_of(settled, kinds, names)
         for part in list(held):
-            rows = settle(held.pop(part), width)
+            found.append(settle(held.pop(part), width))
+        if not found:
+            return
+        texts, places = (np.concatenate(x) for x in zip(*found, strict=True))
+        bucket = texts % parts
+        order = np.argsort(bucket, kind="stable")
+        texts, places, bucket = texts[order], places[order], bucket[order]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield batch_of([(int(bucket[a]), pack_texts(texts[a:b], places[a:b]))], (pa.int32(), pa.binary()), ("bucket", "blob"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(blob)
+        for bucket in list(held):
+            texts, places = (np.concatenate(x) for x in zip(*map(unpack_texts, held.pop(bucket)), strict=True))
+            texts, places, edges = by_text(texts, places)
+            rows = [(int(texts[a]), pack_places(places[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             for k in range(0, len(rows), 4096):
-                yield batch_of(rows[k : k + 4096], kinds, names)
+                yield batch_of(rows[k : k + 4096], (pa.int64(), pa.binary()), ("text_id", "places"))
 
-    found = sent.repartition(parts, "part").mapInArrow(run, "text_id long, places binary")
-    return checkpointed(found.groupBy("text_id").agg(F.collect_list("places").alias("places")))
+    found = sent.repartition(parts, "part").mapInArrow(run, "bucket int, blob binary")
+    return checkpointed(found.repartition(parts, "bucket").mapInArrow(merge, "text_id long, places binary"))
 
 
 def released(df: DataFrame) -> None:
@@ -297,7 +338,7 @@ def repeated_windows(df: DataFrame) -> DataFrame:
                     continue
                 seen.add(text)
                 data = data.as_py()
-                marks = unpack_places(blobs.as_py())
+                marks = unpack_places([blobs.as_py()])
                 last = len(data) - LENGTH
                 open_at = np.zeros(len(data) + 2, np.int32)
                 np.add.at(open_at, np.maximum(marks - (MODULUS - 1), 0), 1)
@@ -328,15 +369,15 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         for batch in batches:
             rows = []
             for doc, value, places, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                data, blobs = value.as_py(), places.as_py()
+                data, packed = value.as_py(), places.as_py()
                 if (n or 1) > 1 and len(data) >= LENGTH:
                     rows.append((doc, len(data), len(data), 1, b""))
                     continue
-                if not blobs:
+                if not packed:
                     rows.append((doc, len(data), 0, 0, data))
                     continue
                 spans: list[list[int]] = []
-                for a, b in zip(*(x.tolist() for x in runs(unpack_places(blobs))), strict=True):
+                for a, b in zip(*(x.tolist() for x in runs(unpack_places([packed]))), strict=True):
                     if spans and a <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], b - 1 + LENGTH)
                     else:

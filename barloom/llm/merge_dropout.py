@@ -64,7 +64,8 @@ class DropoutEncoder:
         self.rate, self.seed, self.below = rate, seed, int(rate * (1 << 64))
         self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
         self.long: list[str] = []
-        self.letters = np.full(0x110000, -1, np.int32)
+        # characters without a piece have numbers of their own beyond the pieces, and join no pair
+        self.letters = np.arange(0x110000, dtype=np.int32) + self.size
         for name, i in self.ids.items():
             if len(name) == 1:
                 self.letters[ord(name)] = i
@@ -77,7 +78,7 @@ class DropoutEncoder:
         for name, i in self.ids.items():
             for cut in range(1, len(name)):
                 if (a := self.ids.get(name[:cut])) is not None and (b := self.ids.get(name[cut:])) is not None:
-                    pairs.append((a << 20 | b, self.rank[name], i))
+                    pairs.append((a << 21 | b, self.rank[name], i))
         self.shift = 64 - max(12, (8 * len(pairs)).bit_length())
         size = 1 << (64 - self.shift)
         self.pair_keys, self.pair_ranks, self.pair_ids = np.full(size, -1, np.int64), np.full(size, NEVER, np.int64), np.zeros(size, np.int32)
@@ -89,7 +90,7 @@ class DropoutEncoder:
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Slots of pairs of ids in the table; an empty slot (rank NEVER) where the pair makes no piece."""
-        keys = left.astype(np.int64) << 20 | right
+        keys = left.astype(np.int64) << 21 | right
         slots = ((keys.view(np.uint64) * np.uint64(SPREAD)) >> np.uint64(self.shift)).astype(np.int64)
         wrong = np.flatnonzero(((got := self.pair_keys[slots]) != keys) & (got >= 0))
         while len(wrong):
@@ -115,12 +116,11 @@ class DropoutEncoder:
         places = np.arange(len(points)) - np.repeat(firsts, sizes)
         keys = self.word_keys(points, places, firsts, variants)
         codes = self.letters[points]
-        odd = (np.minimum.reduceat(codes, firsts) < 0) | (sizes > LONG_WORD)
+        odd = sizes > LONG_WORD
         for k in np.flatnonzero(odd).tolist():
             word, v = wanted[k]
             self.known[v][word] = self.spelled(self.merged(word, int(keys[k])))
-            if len(word) > LONG_WORD:
-                self.long.append(word)
+            self.long.append(word)
         width = (sizes + 3) // 4 * 4
         for w in np.unique(width[~odd]).tolist():
             group = np.flatnonzero((width == w) & ~odd)
@@ -162,8 +162,9 @@ class DropoutEncoder:
         flat = ids[inside].tolist()
         ends = np.cumsum(inside.sum(axis=1)).tolist()
         at = 0
-        for (word, v), end in zip(rows, ends, strict=True):
-            self.known[v][word] = tuple(flat[at:end])
+        strange = (ids.max(axis=1) >= self.size).tolist()
+        for (word, v), end, spell in zip(rows, ends, strange, strict=True):
+            self.known[v][word] = tuple(self.bytes_of(flat[at:end])) if spell else tuple(flat[at:end])
             at = end
 
     def skipped(self, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -172,6 +173,14 @@ class DropoutEncoder:
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         return (h ^ (h >> np.uint64(29))) < np.uint64(self.below)
 
+    def bytes_of(self, ids: list[int]) -> Iterator[int]:
+        """Ids with the numbers of characters without a piece as byte pieces."""
+        for i in ids:
+            if i < self.size:
+                yield i
+            else:
+                yield from (self.byte[b] for b in chr(i - self.size).encode())
+
     def spelled(self, parts: list[str]) -> tuple[int, ...]:
         """Ids of parts; characters without a piece become bytes."""
         out: list[int] = []

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm import near_copies
 from barloom.llm.common import checkpointed
 from barloom.llm.components import connected_components
 
@@ -133,11 +134,14 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", max_bucke
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest key, one of its rows if that is repeated.
+    """One document of each group of near copies (5-word shingles, similarity 0.8): the one with the smallest key, one of its rows if that is repeated.
 
+    The digest's fingerprints of 3 words within two bits hardly find more than exact copies, so the groups are those of ``near_copies``.
     Rows of repeated keys are reduced after the join; where no key is repeated, the texts are shuffled once only.
     """
-    found = components(df, key, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = checkpointed(near_copies.components(df, key, text))
+    first = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = found.join(first, "root").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = checkpointed(found.groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__n")))
     names = df.columns
     joined = df.join(kept, df[key].eqNullSafe(F.col("__kept"))).select(*(df[f"`{n}`"] for n in names), "__n")

@@ -134,21 +134,22 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", max_bucke
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8): the one with the smallest key, one of its rows if that is repeated.
+    """One row of each group of near copies (5-word shingles, similarity 0.8): the one with the smallest key (null last), then the smallest hash of the text.
 
     The digest's fingerprints of 3 words within two bits hardly find more than exact copies, so the groups are those of ``near_copies``.
-    Rows of repeated keys are reduced after the join; where no key is repeated, the texts are shuffled once only.
+    Rows with the key and the text of the chosen one are reduced after the join; where it is not repeated, the texts are shuffled once only.
     """
     found = checkpointed(near_copies.components(df, key, text))
-    first = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = found.join(first, "root").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = checkpointed(found.groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__n")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__kept"), F.col("tid").alias("__tid"))
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select("first.*")
+    found = first.join(found, F.col("__kept").eqNullSafe(F.col("doc_id")) & (F.col("__tid") == F.col("tid")))
+    kept = checkpointed(found.groupBy("__kept", "__tid").agg(F.count(F.lit(1)).alias("__n")))
     names = df.columns
-    joined = df.join(kept, df[key].eqNullSafe(F.col("__kept"))).select(*(df[f"`{n}`"] for n in names), "__n")
-    once = joined.where("__n = 1").drop("__n")
+    joined = df.join(kept, df[key].eqNullSafe(F.col("__kept")) & (near_copies.text_id(text) == F.col("__tid"))).select(*(df[f"`{n}`"] for n in names), "__tid", "__n")
+    once = joined.where("__n = 1").drop("__n", "__tid")
     if kept.where("__n > 1").isEmpty():
         return once
-    return once.unionByName(joined.where("__n > 1").drop("__n").dropDuplicates([key]))
+    return once.unionByName(joined.where("__n > 1").dropDuplicates(["__tid"]).drop("__n", "__tid"))
 
 
 def digest(df: DataFrame) -> DataFrame:

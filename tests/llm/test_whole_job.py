@@ -37,3 +37,12 @@ def test_near_copies_of_short_texts_are_one(spark):
     kept = [r.doc_id for r in simhash.deduplicated(df).collect()]
     assert len(kept) == grouped(texts) < len(texts)
     assert simhash.deduplicated(df.where("false")).count() == 0
+
+
+def test_deduplication_keeps_a_row_of_each_group(spark):
+    prose = [" ".join(f"t{i}w{k}" for k in range(40)) for i in range(6)]
+    # null keys of three different texts, one of them a copy of document 1; two texts under key 2; a removed copy that shares its key with another text
+    rows = [(None, prose[0]), (None, prose[1]), (None, prose[1]), (1, prose[2]), (None, prose[2]), (2, prose[3]), (2, prose[4]), (3, prose[3]), (3, prose[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text) for r in simhash.deduplicated(df).collect()), key=str)
+    assert kept == sorted([(0, prose[0]), (0, prose[1]), (1, prose[2]), (2, prose[3]), (2, prose[4]), (3, prose[5])], key=str)

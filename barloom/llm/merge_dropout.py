@@ -1,33 +1,36 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
-Merges are taken from an agenda (best score first, leftmost of equals), for many new words at once, one merge of each per round; each candidate is skipped when a keyed hash of the word,
-its variant, the candidate's place and its length falls below the dropout rate.  The seed, the document and the running number of the
-word choose one of a few variants, so a word is segmented differently at different places, reruns agree, and the
-segmentations of frequent words are computed once per variant and worker.
+Merges are taken from an agenda (best score first, leftmost of equals), for many new words at once, one merge of each per round; each candidate is skipped when a keyed hash of the
+seed, the document, the running number of the word, the candidate's place and its length falls below the dropout rate.  Every occurrence of a word
+is so decided on its own, and reruns agree.  The outcome depends only on which of the word's candidates are skipped: those are
+found for all occurrences at once, and what a word and a set of skipped candidates give is computed once per worker.
 
 No piece of the model has a space mark behind another character (checked when it is loaded), so words are segmented one by one; a model with
 such pieces is segmented as one word per text.  Characters without a piece become byte pieces, and so does a literal U+2581, which keeps
 decoding lossless for every text.
 
-Defined results: null and empty texts give no pieces; repeated rows get the same pieces; very long words are segmented in n log n and not kept; an empty
+Defined results: null and empty texts give no pieces; repeated rows get the same pieces, unless ``encoded`` is told that they are copies to vary;
+documents without a key are told apart by their text; very long words are segmented in n log n and not kept; an empty
 table gives an empty result; other columns are passed by or not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-VARIANTS = 4
-CACHED = 900_000
+CACHED, CACHED_WORDS = 200_000, 100_000
+#: Words with more candidates are segmented at every occurrence.
+MOST_SPANS = 62
 LONG_WORD = 48
 M64 = (1 << 64) - 1
 NEVER = 1 << 40
@@ -62,8 +65,9 @@ class DropoutEncoder:
         apart = not any(SPACE in n.lstrip(SPACE) for n in self.ids)
         self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else "(?s).+")
         self.rate, self.seed, self.below = rate, seed, int(rate * (1 << 64))
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
-        self.long: list[str] = []
+        self.longest = max(map(len, self.ids), default=0)
+        self.known: dict[tuple[str, int], tuple[int, ...]] = {}
+        self.spans: dict[str, bytes] = {}
         # characters without a piece have numbers of their own beyond the pieces, and join no pair
         self.letters = np.arange(0x110000, dtype=np.int32) + self.size
         for name, i in self.ids.items():
@@ -99,28 +103,18 @@ class DropoutEncoder:
             wrong = wrong[(got != keys.flat[wrong]) & (got >= 0)]
         return slots
 
-    def word_keys(self, codes: np.ndarray, places: np.ndarray, firsts: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """Keyed hashes of words given as code points and places, each word from its first to the next one's."""
-        letters = mixed(codes.astype(np.uint64) * np.uint64(SPREAD) + places.astype(np.uint64) + np.uint64(self.seed))
-        return mixed(np.add.reduceat(letters, firsts) + variants.astype(np.uint64) * np.uint64(SPREAD))
-
-    def learn(self, wanted: list[tuple[str, int]]) -> None:
-        """Segment (word, variant) pairs and keep the ids: short words by table in rounds, a merge of each word per round."""
-        if not wanted:
-            return
-        words = [w for w, _ in wanted]
-        variants = np.array([v for _, v in wanted])
+    def learn(self, words: list[str], keys: np.ndarray) -> list[tuple[int, ...]]:
+        """Ids of words with their keys: short words by table in rounds, a merge of each word per round."""
+        found: list[tuple[int, ...]] = [()] * len(words)
+        if not words:
+            return found
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         firsts = np.cumsum(sizes) - sizes
         points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-        places = np.arange(len(points)) - np.repeat(firsts, sizes)
-        keys = self.word_keys(points, places, firsts, variants)
         codes = self.letters[points]
         odd = sizes > LONG_WORD
         for k in np.flatnonzero(odd).tolist():
-            word, v = wanted[k]
-            self.known[v][word] = self.spelled(self.merged(word, int(keys[k])))
-            self.long.append(word)
+            found[k] = self.spelled(self.merged(words[k], int(keys[k])))
         width = (sizes + 3) // 4 * 4
         for w in np.unique(width[~odd]).tolist():
             group = np.flatnonzero((width == w) & ~odd)
@@ -129,13 +123,15 @@ class DropoutEncoder:
                 columns = np.arange(w + 1)
                 inside = columns < sizes[part][:, None]
                 ids = np.where(inside, codes[np.minimum(firsts[part][:, None] + columns, len(codes) - 1)], 0)
-                self.learn_group([wanted[k] for k in part.tolist()], ids, inside.astype(np.int64), keys[part])
+                for k, row in zip(part.tolist(), self.learn_group(ids, inside.astype(np.int64), keys[part]), strict=True):
+                    found[k] = row
+        return found
 
-    def learn_group(self, rows: list[tuple[str, int]], ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> None:
-        """Words of similar length as rows of piece ids and piece lengths (0 beyond the end)."""
+    def learn_group(self, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, ...]]:
+        """Ids of words of similar length, given as rows of piece ids and piece lengths (0 beyond the end)."""
         columns = np.arange(ids.shape[1])
         last = ids.shape[1] - 1
-        rest, p, z = np.arange(len(rows)), ids.copy(), sizes.copy()
+        rest, p, z = np.arange(len(ids)), ids.copy(), sizes.copy()
         while True:
             slots = self.pairs(p[:, :-1], p[:, 1:])
             ranks = self.pair_ranks[slots]
@@ -163,13 +159,15 @@ class DropoutEncoder:
         ends = np.cumsum(inside.sum(axis=1)).tolist()
         at = 0
         strange = (ids.max(axis=1) >= self.size).tolist()
-        for (word, v), end, spell in zip(rows, ends, strange, strict=True):
-            self.known[v][word] = tuple(self.bytes_of(flat[at:end])) if spell else tuple(flat[at:end])
+        for end, spell in zip(ends, strange, strict=True):
+            yield tuple(self.bytes_of(flat[at:end])) if spell else tuple(flat[at:end])
             at = end
 
     def skipped(self, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Whether the candidate of a place and length is skipped: a keyed hash against the rate."""
-        h = key + start * np.uint64(0x9E3779B97F4A7C15) + size * np.uint64(0xD1B54A32D192ED03)
+        return self.below_rate(key + start * np.uint64(0x9E3779B97F4A7C15) + size * np.uint64(0xD1B54A32D192ED03))
+
+    def below_rate(self, h: np.ndarray) -> np.ndarray:
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         return (h ^ (h >> np.uint64(29))) < np.uint64(self.below)
 
@@ -222,37 +220,76 @@ class DropoutEncoder:
                 heapq.heappush(agenda, (r << 32) | p)
         return [p for p in parts if p is not None]
 
-    def words_of(self, text: str, stream: int) -> list[list[tuple[str, int]]]:
-        """Words and their variants, by the stretches between literal space marks."""
+    def words_of(self, text: str, stream: int) -> list[tuple[list[str], np.ndarray]]:
+        """Words and the keys of their places, by the stretches between literal space marks."""
         out = []
         for number, stretch in enumerate(text.split(SPACE) if text else []):
             words = self.words.findall((SPACE if number == 0 else "") + stretch.replace(" ", SPACE))
             start = np.uint64(xxhash.xxh64_intdigest(b"%d:%d" % (stream, number), self.seed))
-            variants = (mixed(np.arange(len(words), dtype=np.uint64) + start) % np.uint64(VARIANTS)).tolist() if self.below else [0] * len(words)
-            out.append(list(zip(words, variants, strict=True)))
+            out.append((words, mixed(np.arange(len(words), dtype=np.uint64) * np.uint64(SPREAD) + start)))
         return out
 
+    def spans_of(self, word: str) -> bytes:
+        """What the candidates of a word (its parts that are pieces) add to a key, as unsigned longs."""
+        n, rank = len(word), self.rank
+        found = [(i * 0x9E3779B97F4A7C15 + (j - i) * 0xD1B54A32D192ED03) & M64 for i in range(n - 1) for j in range(i + 2, min(n, i + self.longest) + 1) if word[i:j] in rank]
+        return np.array(found, np.uint64).tobytes()
+
+    def skips(self, words: list[str], keys: np.ndarray) -> list[int]:
+        """Of each word with its key, the set of skipped candidates as bits; -1 for words that are not kept."""
+        if not self.below:
+            return [-1 if len(w) > LONG_WORD else 0 for w in words]
+        if len(self.spans) > CACHED_WORDS:
+            self.spans.clear()
+        numbers = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        spans = []
+        for w in numbers:
+            if len(w) > LONG_WORD:
+                spans.append(None)
+                continue
+            if (s := self.spans.get(w)) is None:
+                s = self.spans[w] = self.spans_of(w)
+            spans.append(s if len(s) <= 8 * MOST_SPANS else None)
+        sizes = np.array([0 if s is None else len(s) // 8 for s in spans], np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        adds = np.frombuffer(b"".join(s for s in spans if s is not None), np.uint64)
+        which = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        out = np.where(np.array([s is None for s in spans], bool)[which], -1, 0)
+        rows = np.flatnonzero(sizes[which])
+        for at in range(0, len(rows), 1 << 16):
+            part = rows[at : at + (1 << 16)]
+            n = sizes[which[part]]
+            heads = np.cumsum(n) - n
+            bit = np.arange(int(n.sum())) - np.repeat(heads, n)
+            gone = self.below_rate(np.repeat(keys[part], n) + adds[np.repeat(firsts[which[part]], n) + bit])
+            out[part] = np.add.reduceat(gone.astype(np.int64) << bit, heads)
+        return out.tolist()
+
     def encode_batch(self, texts: list[str], streams: list[int]) -> list[list[int]]:
-        """Ids of texts; the words that are not known yet are segmented together."""
+        """Ids of texts; what is not known yet is segmented together."""
         known = self.known
-        if sum(map(len, known)) > CACHED:
-            for k in known:
-                k.clear()
+        if len(known) > CACHED:
+            known.clear()
         split = [self.words_of(t, s) for t, s in zip(texts, streams, strict=True)]
-        self.learn(list({pair for text in split for stretch in text for pair in stretch if pair[0] not in known[pair[1]]}))
-        found = []
+        stretches = [x for text in split for x in text]
+        words = [w for x, _ in stretches for w in x]
+        keys = np.concatenate([k for _, k in stretches]) if stretches else np.zeros(0, np.uint64)
+        pairs = list(zip(words, self.skips(words, keys), strict=True))
+        new = {pair: k for k, pair in enumerate(pairs) if pair[1] >= 0 and pair not in known}
+        alone = [k for k, pair in enumerate(pairs) if pair[1] < 0]
+        at = [*new.values(), *alone]
+        learnt = self.learn([words[k] for k in at], keys[at])
+        known.update(zip(new, learnt, strict=False))
+        rest = iter(learnt[len(new) :])
+        found, given = [], iter(pairs)
         for text in split:
             out: list[int] = []
-            for number, stretch in enumerate(text):
+            for number, (x, _) in enumerate(text):
                 if number:
                     out += self.literal
-                for word, v in stretch:
-                    out += known[v][word]
+                for pair in itertools.islice(given, len(x)):
+                    out += known[pair] if pair[1] >= 0 else next(rest)
             found.append(out)
-        for k in known:  # long words are not kept
-            for word in [w for w in self.long if w in k]:
-                del k[word]
-        self.long.clear()
         return found
 
     def encode(self, text: str, stream: int = 0) -> list[int]:
@@ -274,8 +311,18 @@ def encoder_of(model: bytes, rate: float, seed: int) -> DropoutEncoder:
     return _encoders[key]
 
 
-def encoded(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (array of int), n_tokens, lossless (whether the ids decode to the text)."""
+def stream_of(doc: int | None, copy: int, text: str) -> int:
+    """The number that stands for a document, or for a later copy of it."""
+    if doc is not None and not copy:
+        return doc
+    return xxhash.xxh64_intdigest(b"%d:%d:" % (-1 if doc is None else doc, copy) + text.encode())
+
+
+def encoded(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, key: str = "doc_id", text: str = "text", copies: bool = False) -> DataFrame:
+    """doc_id, ids (array of int), n_tokens, lossless (whether the ids decode to the text).
+
+    With ``copies``, rows that repeat a document (its epochs) are numbered and each is segmented on its own.
+    """
     with open(model, "rb") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -283,15 +330,18 @@ def encoded(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, key: st
         encoder = encoder_of(data.value, rate, seed)
         raw = encoder.raw.__getitem__
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 texts = part.column(1).to_pylist()
-                found = encoder.encode_batch(texts, [-1 if doc is None else doc for doc in part.column(0).to_pylist()])
+                streams = map(stream_of, part.column(0).to_pylist(), part.column(2).to_pylist(), texts)
+                found = encoder.encode_batch(texts, list(streams))
                 ids, counts = [np.array(x, np.int32) for x in found], list(map(len, found))
                 same = [b"".join(map(raw, x))[1:] == t.encode() for x, t in zip(found, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(same)], names=["doc_id", "ids", "n_tokens", "lossless"])
 
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    same_document = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    docs = docs.withColumn("copy", F.row_number().over(same_document) - 1 if copies else F.lit(0))
     return docs.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, lossless boolean")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from barloom.llm import simhash
+import public_tokenizers
+
+from barloom.llm import merge_dropout, simhash
 
 
 def jaccard(a: str, b: str) -> float:
@@ -46,3 +48,26 @@ def test_deduplication_keeps_a_row_of_each_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(((r.doc_id or 0, r.text) for r in simhash.deduplicated(df).collect()), key=str)
     assert kept == sorted([(0, prose[0]), (0, prose[1]), (1, prose[2]), (2, prose[3]), (2, prose[4]), (3, prose[5])], key=str)
+
+
+def test_dropout_is_drawn_at_every_place(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        encoder = merge_dropout.DropoutEncoder(f.read(), 0.1, 1)
+    text = " ".join(["international"] * 500)
+    spellings, word = set(), []
+    for i in [*encoder.encode(text, 3), None]:
+        if word and (i is None or encoder.raw[i].startswith(b" ")):
+            spellings.add(tuple(word))
+            word = []
+        word.append(i)
+    assert len(spellings) > 10
+    # what is kept of earlier texts never changes a result
+    fresh = merge_dropout.DropoutEncoder.__new__(merge_dropout.DropoutEncoder)
+    fresh.__dict__ |= encoder.__dict__ | {"known": {}, "spans": {}}
+    other = " ".join(random.Random(2).choices(["the", "international", "x" * 60, "ing漢"], k=200))
+    words = [(w, k) for x, keys in fresh.words_of(other, 9) for w, k in zip(x, keys.tolist())]
+    assert encoder.encode(other, 9) == fresh.encode(other, 9) == [i for w, k in words for i in fresh.spelled(fresh.merged(w, k))]
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, text + " international")], "doc_id long, text string")
+    assert len({tuple(r.ids[:500]) for r in merge_dropout.encoded(df, path, copies=True).collect()}) == 4
+    assert len({tuple(r.ids) for r in merge_dropout.encoded(df.where("doc_id = 1"), path).collect()}) == 1

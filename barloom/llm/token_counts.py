@@ -2,9 +2,10 @@
 
 Within one pre-token, the encoding of a prefix ends in the one token whose pairing with the last token of the prefix
 before it is stable, so last[i] and count[i] follow from shorter prefixes: one pass gives the exact count at every byte,
-and the tables of pre-tokens are kept, as most pre-tokens recur.  Per document the operator stores
-the ends of the pre-tokens and the counts summed up to them; any budget or truncation question is then a
-binary search (``fit``), and the count at any place is that of the last boundary plus a tail of one or two pre-tokens.
+and the whole tables of pre-tokens are kept, as most pre-tokens recur.  Per document the operator stores
+the ends of the pre-tokens and the counts summed up to them.  A budget is then a binary search among the pre-tokens and
+a look into the tables of those at the budget (``PrefixCounter.fit``), and the count at any place is that of the last boundary plus a tail
+of one or two pre-tokens.  The query takes its counts and its limit from these tables.
 
 Defined results: a null text is the empty text with no bytes and no tokens; special strings inside a
 text are one token each, as the library has it; repeated rows are each answered; an empty table gives an empty result.
@@ -30,16 +31,17 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 JOINED_SPACE = r"\p{White_Space} | \p{White_Space}"
 CACHED = 300_000
 LONG_PIECE = 256
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 
 
 class Kept(dict):
     """Values of short keys, computed when they are first asked for; emptied when it is full."""
 
-    def __init__(self, compute: Callable[[str], int]):
+    def __init__(self, compute: Callable[[str], int | list[int]]):
         super().__init__()
         self.compute = compute
 
-    def __missing__(self, key: str) -> int:
+    def __missing__(self, key: str) -> int | list[int]:
         value = self.compute(key)
         if len(key) <= LONG_PIECE:
             if len(self) >= CACHED:
@@ -83,7 +85,8 @@ class PrefixCounter:
         for token, number in self.index.items():
             self.suffixes.add_word(token.decode("latin-1"), (number, len(token)))
         self.suffixes.make_automaton()
-        self.totals = Kept(lambda piece: self.table(piece.encode())[-1])
+        self.tables = Kept(lambda piece: self.table(piece.encode()))
+        self.totals = Kept(lambda piece: self.tables[piece][-1])
         by_pieces = lambda text: sum(map(self.totals.__getitem__, self.pieces.findall(text)))
         self.words, self.spaced = Kept(by_pieces), Kept(lambda word: by_pieces(" " + word))
 
@@ -170,8 +173,34 @@ class PrefixCounter:
         return (int(counts[k - 1]) if k else 0) + self.count(text[start:place])
 
 
+    def fit(self, text: str, ends: np.ndarray, counts: np.ndarray, budget: int) -> int:
+        """Characters of the longest prefix within a budget of tokens, which may end inside a pre-token.
+
+        Counts of prefixes may fall again (a special string is complete, white space joins), so places are tried from the last
+        one down whose certain part (all but the last two pre-tokens) is within the budget.
+        """
+        if budget < 0:
+            return 0
+        for k in range(min(bisect_right(counts, budget) + 2, len(ends) - 1), -1, -1):
+            start, end = int(ends[k - 1]) if k else 0, int(ends[k])
+            before, piece = int(counts[k - 1]) if k else 0, text[start:end]
+            spaces = piece.isspace()
+            # cut anywhere, these are pre-tokens as they are, but for white space that joins the white space before it
+            whole = piece not in CONTRACTIONS and piece not in self.special and not (spaces and start and text[start - 1].isspace())
+            table, at = (self.tables[piece], len(piece.encode())) if whole else ((), 0)
+            for place in range(end, start, -1):
+                if whole and (spaces or place > start + 1 or not piece[0].isspace()):
+                    n = before + table[at]
+                else:
+                    n = self.count_at(text, ends, counts, place)
+                if n <= budget:
+                    return place
+                at -= len(text[place - 1].encode())
+        return 0
+
+
 def fit(ends: np.ndarray, counts: np.ndarray, budget: int) -> int:
-    """Characters of the longest prefix of whole pre-tokens within a budget of tokens."""
+    """Characters of the longest prefix of whole pre-tokens within a budget of tokens, without the text; ``PrefixCounter.fit`` looks inside them."""
     k = bisect_right(counts, budget)
     return int(ends[k - 1]) if k else 0
 
@@ -187,34 +216,41 @@ def counter_of(data: bytes) -> PrefixCounter:
     return _counters[key]
 
 
-def prefix_tables(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", tables: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, and with ``tables`` also ends and counts (arrays of int) of every document."""
+def prefix_tables(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", tables: bool = True, limit: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, with ``limit`` also n_chars and n_fit (characters of the longest prefix within it), and with ``tables`` ends and counts (arrays of int) of every document."""
     with open(vocabulary, "rb") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(data.value)
         for batch in batches:
-            n_bytes, n_tokens, all_ends, all_counts = [], [], [], []
+            n_bytes, n_tokens, n_chars, n_fit, all_ends, all_counts = [], [], [], [], [], []
             for value in batch.column(1):
                 t = value.as_py()
+                ends, counts = counter.prefixes(t)
                 n_bytes.append(len(t.encode()))
-                if not tables:
-                    n_tokens.append(counter.count(t))
-                else:
-                    ends, counts = counter.prefixes(t)
-                    n_tokens.append(int(counts[-1]) if len(counts) else 0)
+                n_tokens.append(int(counts[-1]) if len(counts) else 0)
+                if limit is not None:
+                    n_chars.append(len(t))
+                    n_fit.append(len(t) if n_tokens[-1] <= limit else counter.fit(t, ends, counts, limit))
+                if tables:
                     all_ends.append(ends.astype(np.int32))
                     all_counts.append(counts.astype(np.int32))
             columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())]
+            if limit is not None:
+                columns += [pa.array(x, pa.int64()) for x in (n_chars, n_fit)]
             if tables:
                 columns += [pa.array(x, pa.list_(pa.int32())) for x in (all_ends, all_counts)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "ends", "counts"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, n_bytes long, n_tokens long" + (", ends array<int>, counts array<int>" if tables else "")
+    kinds = {"doc_id": "long", "n_bytes": "long", "n_tokens": "long"}
+    kinds |= {"n_chars": "long", "n_fit": "long"} if limit is not None else {}
+    kinds |= {"ends": "array<int>", "counts": "array<int>"} if tables else {}
+    names, schema = list(kinds), ", ".join(f"{n} {k}" for n, k in kinds.items())
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return docs.mapInArrow(run, schema)
 
 
 def digest(df: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
-    return prefix_tables(df, vocabulary, tables=False).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    found = prefix_tables(df, vocabulary, tables=False, limit=limit)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_fit") < F.col("n_chars")).alias("over_limit"))

@@ -6,7 +6,7 @@ import random
 
 import public_tokenizers
 
-from barloom.llm import merge_dropout, simhash
+from barloom.llm import merge_dropout, simhash, token_counts
 
 
 def jaccard(a: str, b: str) -> float:
@@ -71,3 +71,24 @@ def test_dropout_is_drawn_at_every_place(spark):
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, text + " international")], "doc_id long, text string")
     assert len({tuple(r.ids[:500]) for r in merge_dropout.encoded(df, path, copies=True).collect()}) == 4
     assert len({tuple(r.ids) for r in merge_dropout.encoded(df.where("doc_id = 1"), path).collect()}) == 1
+
+
+def test_fit_ends_inside_pre_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        counter = token_counts.PrefixCounter(f.read())
+    rng = random.Random(4)
+    texts = ["漢字仮名交" * 12, "Donaudampfschifffahrtsgesellschaft" * 4, "x" + " " * 90 + "y", "<|endoftext|>" * 5, "we'll don't 'stop  'red\n\n  x", ""]
+    texts += ["".join(rng.choice([" ", "\n", "\t", "'", "ll", "s", "ab", "é", "漢", "0", "<|endoftext|>", "!", "\x85"]) for _ in range(25)) for _ in range(60)]
+    for text in texts:
+        sizes = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        ends, counts = counter.prefixes(text)
+        for budget in range(0, sizes[-1] + 2):
+            assert counter.fit(text, ends, counts, budget) == max(i for i, n in enumerate(sizes) if n <= budget), (text, budget)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = token_counts.prefix_tables(df, path, tables=False, limit=5).collect()
+    assert 0 < next(r.n_fit for r in rows if r.doc_id == 0) < 60
+    assert len(counter.tables["漢字仮名交"]) == 16

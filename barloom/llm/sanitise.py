@@ -2,12 +2,13 @@
 
 Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers.  Corpus co-occurrence then
 estimates how strongly a term reveals one: with n(t, e) the distinct contexts (windows of words) in
-which term t stands near entity e, n(t) those in which it stands near any, df(t) the documents with t, n(e) the distinct contexts of e
-and N all documents, t discloses log2(p(e | t) / p(e)) bits, p(e | t) = n(t, e) / max(df(t), n(t)) and p(e) = n(e) / N.
+which term t stands near entity e, n(t) those in which it stands near any, df(t) the distinct contexts of t (one of each document), n(e) the
+distinct contexts of e and N the distinct texts, t discloses log2(p(e | t) / p(e)) bits, p(e | t) = n(t, e) / max(df(t), n(t)) and p(e) = n(e) / N.
 As p(e | t) is at most n(t, e) / n(t), terms that stand near many entities are settled before the corpus is counted.
 Terms above the thresholds are generalised to their class, and removed where p(e | t) is high.
 
-Distinct contexts rather than documents are counted, so that copies of one document are no evidence.
+Distinct contexts rather than documents are counted, on both sides, so that copies of one document are no evidence for or against a term:
+of a document's windows around a term the one of smallest hash stands for it, which its copies and most of its near copies share.
 Only windows around entities, candidate terms and their counts are shuffled, never whole texts.
 
 Defined results: a null text is the empty text and has no spans; repeated rows are each answered;
@@ -117,6 +118,13 @@ def window_terms(text: Column, span: Column, reach: int) -> Column:
     return F.array_sort(F.array_distinct(F.concat(let(words(left), near), F.slice(words(right), 1, reach))))
 
 
+def placed_terms(text: Column, reach: int) -> Column:
+    """Array of struct(term, context): every term of a text, lower case, and a hash of it and the ``reach`` terms on either side."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]{3,}+"), F.lit(0))
+    around = lambda found, i: F.slice(found, F.greatest(i + 1 - reach, F.lit(1)), F.least(i, F.lit(reach)) + 1 + reach)
+    return let(words, lambda found: F.transform(found, lambda w, i: F.struct(w.alias("term"), F.xxhash64(around(found, i)).alias("context"))))
+
+
 def disclosing_terms(docs: DataFrame, reach: int = 5, min_contexts: int = 3, min_share: float = 0.5, remove_share: float = 0.8, min_bits: float = 5.0) -> DataFrame:
     """Terms that reveal an entity, from ``docs`` with columns text and spans: term, share, bits, removed."""
     contexts = (
@@ -137,11 +145,11 @@ def disclosing_terms(docs: DataFrame, reach: int = 5, min_contexts: int = 3, min
     empty = docs.sparkSession.createDataFrame([], "term string, share double, bits double, removed boolean")
     if n == 0:
         return empty
-    occurring = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]{3,}+"), F.lit(0)))).alias("term"))
-    if n <= BROADCAST_ROWS:
-        occurring = occurring.join(F.broadcast(candidates), "term", "left_semi")
-    frequency = occurring.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = docs.count()
+    occurring = docs.select(F.xxhash64("text").alias("tid"), F.explode(placed_terms(F.col("text"), reach)).alias("x")).select("tid", "x.*")
+    occurring = occurring.join(F.broadcast(candidates) if n <= BROADCAST_ROWS else candidates, "term", "left_semi")
+    of_text = occurring.groupBy("tid", "term").agg(F.min("context").alias("context"))
+    frequency = of_text.select("term", "context").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = docs.select(F.xxhash64("text").alias("tid")).distinct().count()
     share = F.col("n_te") / F.greatest("df", "n_t")
     scored = pairs.join(frequency, "term").select("term", share.alias("share"), F.log2(share / (F.col("n_e") / F.lit(float(total)))).alias("bits"))
     return scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")).withColumn("removed", F.col("share") >= remove_share)

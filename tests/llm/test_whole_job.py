@@ -6,7 +6,7 @@ import random
 
 import public_tokenizers
 
-from barloom.llm import merge_dropout, simhash, token_counts
+from barloom.llm import merge_dropout, sanitise, simhash, token_counts
 
 
 def jaccard(a: str, b: str) -> float:
@@ -92,3 +92,16 @@ def test_fit_ends_inside_pre_tokens(spark):
     rows = token_counts.prefix_tables(df, path, tables=False, limit=5).collect()
     assert 0 < next(r.n_fit for r in rows if r.doc_id == 0) < 60
     assert len(counter.tables["漢字仮名交"]) == 16
+
+
+def disclosing_rows() -> list[tuple[int, str]]:
+    rows = [(i, f"word{i} alpha{i} Zorblatt beta{i} mail me at joe@x.example.com gamma{i} thanks") for i in range(6)]
+    return rows + [(100 + i, f"nothing here number{i} mail the me at thanks") for i in range(2000)] + [(5000, "Zorblatt lives in Rome")]
+
+
+def test_copies_do_not_hide_disclosing_terms(spark):
+    rows = disclosing_rows()
+    rows += [(6000 + i, rows[0][1]) for i in range(20)] + [(6100 + i, f"{rows[1][1]} and some other words follow here in copy {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in sanitise.digest(df).where("doc_id in (0, 100, 5000, 6003)").collect()}
+    assert found == {0: "term:13:21,email:39:56", 100: "", 5000: "term:0:8", 6003: "term:13:21,email:39:56"}

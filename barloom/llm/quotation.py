@@ -2,8 +2,9 @@
 
 Quote levels are the leading ``>`` marks of a line (``> >`` or ``>>``).  Consecutive lines of one level are a passage.  Passages are
 normalised (lower case, white space collapsed, punctuation at the ends dropped) and hashed; every message offers the hashes of its own
-unquoted text as a whole, by paragraph and by line, and a quoted passage is joined to the earliest message that offers it: an earlier turn of its own
-conversation if there is one, else the first conversation and turn that has it.  The deepest evidence for a reply is the outermost level:
+unquoted text as a whole, by passage between quotes, by paragraph and by line, and a quoted passage is joined to the earliest message that offers it: an
+earlier turn of its own conversation if there is one, else the first conversation and turn that has it.  A passage that nobody offers as a whole is
+broken into the same pieces, and goes to the message that offers most of their characters, of its own conversation if one offers any.  The deepest evidence for a reply is the outermost level:
 a message answers the latest earlier turn that it quotes at its lowest level; without a quote it goes on after the turn before it.
 
 ``order_key`` sorts a conversation in reply order (a reply stands right after what it answers, ahead of the turns that merely follow), and
@@ -32,10 +33,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(flat, "^[\\p{Punct}\\s]+|[\\p{Punct}\\s]+$", "")
 
 
-def hashed(text: Column) -> Column:
-    return F.sha2(normalised(text), 256)
-
-
 def lines_of(text: Column) -> Column:
     """Array of struct(level, line): the number of leading ``>`` marks, and the line without them."""
     mark = lambda x: F.regexp_extract(x, LEVEL, 1)
@@ -65,30 +62,39 @@ def pieces_of(text: Column) -> Column:
 
 
 def parsed(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turn, role, own_text, quotes (array of struct(level, text)), max_level."""
+    """conv_id, turn, role, own_text, own_parts (what stands between quotes), quotes (array of struct(level, text))."""
     raw = df.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), whole_text(text).alias("text"))
     quoted = F.col("text").rlike("(^|\n)>")
     passages = F.when(quoted, let(lines_of(F.col("text")), passages_of))
     split = raw.withColumn("p", passages)
-    kept = F.array_join(F.transform(F.filter("p", lambda x: x["level"] == 0), lambda x: x["text"]), "\n")
+    parts = F.transform(F.filter("p", lambda x: x["level"] == 0), lambda x: x["text"])
+    kept = F.array_join(parts, "\n")
     own = F.when(F.col("p").isNull(), F.col("text")).otherwise(F.regexp_replace(kept, "^\\s+|\\s+$", ""))
     quotes = F.coalesce(F.filter("p", lambda x: (x["level"] > 0) & (F.length(normalised(x["text"])) > 0)), F.array().cast("array<struct<level: int, text: string>>"))
-    return split.select("conv_id", "turn", "role", own.alias("own_text"), quotes.alias("quotes"))
+    return split.select("conv_id", "turn", "role", own.alias("own_text"), F.coalesce(parts, F.array().cast("array<string>")).alias("own_parts"), quotes.alias("quotes"))
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, hash, from_conv, from_turn of every quoted passage (nulls where nothing offers it)."""
-    quotes = messages.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.col("q.level").alias("level"), hashed(F.col("q.text")).alias("hash"))
-    quotes = checkpointed(quotes)
+    """conv_id, turn, level, from_conv, from_turn of every quoted passage (nulls where nothing offers it)."""
+    passages = messages.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.col("q.level").alias("level"), pieces_of(F.col("q.text")).alias("pieces"))
+    passages = checkpointed(passages.withColumn("passage", F.monotonically_increasing_id()))
+    # the first piece is the whole
+    pieces = passages.select("passage", "conv_id", "turn", F.posexplode("pieces").alias("at", "piece"))
+    quotes = checkpointed(pieces.select("passage", "conv_id", "turn", (F.col("at") == 0).alias("whole"), F.length("piece").alias("size"), F.sha2("piece", 256).alias("hash")))
     wanted = quotes.select("hash").distinct()
-    offers = messages.select("conv_id", "turn", F.explode(F.transform(pieces_of(F.col("own_text")), lambda x: F.sha2(x, 256))).alias("hash")).join(wanted, "hash", "left_semi")
+    offered = F.array_distinct(F.concat(pieces_of(F.col("own_text")), F.flatten(F.transform("own_parts", pieces_of))))
+    offers = messages.select("conv_id", "turn", F.explode(F.transform(offered, lambda x: F.sha2(x, 256))).alias("hash")).join(wanted, "hash", "left_semi")
     offers = checkpointed(offers.groupBy("hash", "conv_id").agg(F.min("turn").alias("from_turn")))
     anywhere = offers.groupBy("hash").agg(F.min(F.struct("conv_id", "from_turn")).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     inside = quotes.alias("q").join(offers.alias("o"), (F.col("q.hash") == F.col("o.hash")) & (F.col("q.conv_id") == F.col("o.conv_id")) & (F.col("o.from_turn") < F.col("q.turn")), "left").select("q.*", F.col("o.from_turn").alias("own_turn"))
     salted = inside.withColumn("salt", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(SALTS)).cast("int"))
     both = salted.join(anywhere, ["hash", "salt"], "left")
     own = F.col("own_turn").isNotNull()
-    return both.select("conv_id", "turn", "level", "hash", F.when(own, F.col("conv_id")).when(~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("first.conv_id")).alias("from_conv"), F.when(own, F.col("own_turn")).when(~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("first.from_turn")).alias("from_turn"))
+    found = both.select("passage", "conv_id", "whole", "size", F.when(own, F.col("conv_id")).when(~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("first.conv_id")).alias("from_conv"), F.when(own, F.col("own_turn")).when(~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("first.from_turn")).alias("from_turn"))
+    votes = found.where("from_turn is not null").groupBy("passage", "conv_id", "from_conv", "from_turn").agg(F.max("whole").alias("whole"), F.sum("size").alias("size"))
+    order = F.struct((~F.col("whole")).alias("broken"), (~F.col("from_conv").eqNullSafe(F.col("conv_id"))).alias("outside"), (-F.col("size")).alias("less"), "from_conv", "from_turn")
+    best = votes.groupBy("passage").agg(F.min(order).alias("best"))
+    return passages.join(best, "passage", "left").select("conv_id", "turn", "level", F.col("best.from_conv").alias("from_conv"), F.col("best.from_turn").alias("from_turn"))
 
 
 def reply_ordered(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

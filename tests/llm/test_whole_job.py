@@ -6,7 +6,7 @@ import random
 
 import public_tokenizers
 
-from barloom.llm import merge_dropout, sanitise, simhash, token_counts
+from barloom.llm import merge_dropout, quotation, sanitise, simhash, token_counts
 
 
 def jaccard(a: str, b: str) -> float:
@@ -105,3 +105,17 @@ def test_copies_do_not_hide_disclosing_terms(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.spans for r in sanitise.digest(df).where("doc_id in (0, 100, 5000, 6003)").collect()}
     assert found == {0: "term:13:21,email:39:56", 100: "", 5000: "term:0:8", 6003: "term:13:21,email:39:56"}
+
+
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
+
+
+def test_quotes_of_parts_of_a_message_are_linked(spark):
+    rows = [
+        (1, 0, "u", "First paragraph here.\n\nSecond one follows.\n\nThird one ends."), (1, 1, "a", "line one is this\nline two is that\nline three too\nline four now\nline five last"), (1, 2, "u", "Not quoted by anyone."),
+        (1, 3, "a", "> First paragraph here.\n>\n> Second one follows.\nI see."), (1, 4, "u", "> line two is that\n> line three too\nYes."),
+        (1, 5, "a", "> Not quoted by anyone.\nmy answer has\ntwo whole lines\n> Third one ends.\nand my end"), (1, 6, "u", "> my answer has\n> two whole lines\nRight."), (1, 7, "u", "> and my end\n> words that nobody wrote\nRight."), (2, 0, "u", "> line four now\n> line five last\nElsewhere."),
+    ]
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to_conv, r.reply_to_turn) for r in quotation.reply_ordered(spark.createDataFrame(rows, CONVERSATIONS)).collect()}
+    assert [got[1, t] for t in (3, 4, 6, 7)] == [(1, 1, 1, 0), (1, 1, 1, 1), (1, 1, 1, 5), (1, 1, 1, 5)]
+    assert got[1, 5][:2] == (2, 2) and got[2, 0] == (1, 1, 1, 1)

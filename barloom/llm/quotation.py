@@ -85,12 +85,16 @@ def linked(messages: DataFrame) -> DataFrame:
     offered = F.array_distinct(F.concat(pieces_of(F.col("own_text")), F.flatten(F.transform("own_parts", pieces_of))))
     offers = messages.select("conv_id", "turn", F.explode(F.transform(offered, lambda x: F.sha2(x, 256))).alias("hash")).join(wanted, "hash", "left_semi")
     offers = checkpointed(offers.groupBy("hash", "conv_id").agg(F.min("turn").alias("from_turn")))
-    anywhere = offers.groupBy("hash").agg(F.min(F.struct("conv_id", "from_turn")).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # the two first conversations of each hash: the second is for quotes in the first one
+    two = offers.withColumn("k", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).where("k <= 2")
+    offer = F.struct("conv_id", "from_turn")
+    anywhere = two.groupBy("hash").agg(F.min(F.when(F.col("k") == 1, offer)).alias("first"), F.min(F.when(F.col("k") == 2, offer)).alias("second")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     inside = quotes.alias("q").join(offers.alias("o"), (F.col("q.hash") == F.col("o.hash")) & (F.col("q.conv_id") == F.col("o.conv_id")) & (F.col("o.from_turn") < F.col("q.turn")), "left").select("q.*", F.col("o.from_turn").alias("own_turn"))
     salted = inside.withColumn("salt", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(SALTS)).cast("int"))
     both = salted.join(anywhere, ["hash", "salt"], "left")
     own = F.col("own_turn").isNotNull()
-    found = both.select("passage", "conv_id", "whole", "size", F.when(own, F.col("conv_id")).when(~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("first.conv_id")).alias("from_conv"), F.when(own, F.col("own_turn")).when(~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("first.from_turn")).alias("from_turn"))
+    other = F.when(F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("first"))
+    found = both.select("passage", "conv_id", "whole", "size", F.when(own, F.col("conv_id")).otherwise(other["conv_id"]).alias("from_conv"), F.when(own, F.col("own_turn")).otherwise(other["from_turn"]).alias("from_turn"))
     votes = found.where("from_turn is not null").groupBy("passage", "conv_id", "from_conv", "from_turn").agg(F.max("whole").alias("whole"), F.sum("size").alias("size"))
     order = F.struct((~F.col("whole")).alias("broken"), (~F.col("from_conv").eqNullSafe(F.col("conv_id"))).alias("outside"), (-F.col("size")).alias("less"), "from_conv", "from_turn")
     best = votes.groupBy("passage").agg(F.min(order).alias("best"))

@@ -119,3 +119,9 @@ def test_quotes_of_parts_of_a_message_are_linked(spark):
     got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to_conv, r.reply_to_turn) for r in quotation.reply_ordered(spark.createDataFrame(rows, CONVERSATIONS)).collect()}
     assert [got[1, t] for t in (3, 4, 6, 7)] == [(1, 1, 1, 0), (1, 1, 1, 1), (1, 1, 1, 5), (1, 1, 1, 5)]
     assert got[1, 5][:2] == (2, 2) and got[2, 0] == (1, 1, 1, 1)
+
+
+def test_quotes_fall_back_to_the_first_other_conversation(spark):
+    rows = [(1, 0, "u", "> a passage known elsewhere\nAgreed."), (1, 1, "a", "a passage known elsewhere"), (4, 2, "u", "a passage known elsewhere"), (3, 5, "u", "A passage known elsewhere!")]
+    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_to_conv, r.reply_to_turn) for r in quotation.reply_ordered(spark.createDataFrame(rows, CONVERSATIONS)).collect()}
+    assert got[1, 0] == (1, 3, 5)

@@ -110,12 +110,12 @@ def joined_spans(spans: Column) -> Column:
 
 def window_terms(text: Column, span: Column, reach: int) -> Column:
     """The distinct terms among the ``reach`` words on either side of a span, lower case."""
-    chars = reach * 40
-    left = F.substring(text, F.greatest(span["start"] - chars, F.lit(0)).cast("int") + 1, F.least(span["start"], F.lit(chars)).cast("int"))
-    right = F.substring(text, span["end"].cast("int") + 1, F.lit(chars))
+    left = F.reverse(F.substring(text, F.lit(1), span["start"].cast("int")))
+    right = F.substring(text, span["end"].cast("int") + 1, F.length(text))
+    # each word once it is found is final, so a text that runs out of words is read once
+    near = lambda s: F.regexp_extract(s, f"(?s)^(?>.*?[\\p{{L}}\\p{{N}}]{{3,}}+){{1,{reach}}}", 0)
     words = lambda s: F.regexp_extract_all(F.lower(s), F.lit("[\\p{L}\\p{N}]{3,}+"), F.lit(0))
-    near = lambda w: F.slice(w, F.greatest(F.size(w) - reach + 1, F.lit(1)), F.lit(reach))
-    return F.array_sort(F.array_distinct(F.concat(let(words(left), near), F.slice(words(right), 1, reach))))
+    return F.array_sort(F.array_distinct(F.concat(words(F.reverse(near(left))), words(near(right)))))
 
 
 def placed_terms(text: Column, reach: int) -> Column:

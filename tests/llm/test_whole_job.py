@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from barloom.llm import merge_dropout, quotation, sanitise, simhash, token_counts
 
@@ -125,3 +126,13 @@ def test_quotes_fall_back_to_the_first_other_conversation(spark):
     rows = [(1, 0, "u", "> a passage known elsewhere\nAgreed."), (1, 1, "a", "a passage known elsewhere"), (4, 2, "u", "a passage known elsewhere"), (3, 5, "u", "A passage known elsewhere!")]
     got = {(r.conv_id, r.turn): (r.n_linked, r.reply_to_conv, r.reply_to_turn) for r in quotation.reply_ordered(spark.createDataFrame(rows, CONVERSATIONS)).collect()}
     assert got[1, 0] == (1, 3, 5)
+
+
+def test_windows_reach_five_words_whatever_their_length(spark):
+    left = ["zero", "Alpha", "beta" * 30, "gamma", "delta", "epsilon"]
+    right = ["one1", "two2", "three" * 60, "four", "five", "six6"]
+    text = " ".join(left[:3]) + " " * 300 + " <b> ".join(left[3:]) + " a@b.cd " + ("of" + "\n" * 300).join(f" {w} " for w in right)
+    start = text.index("a@b.cd")
+    df = spark.createDataFrame([(text, start, start + 6), ("a@b.cd", 0, 6), ("one two a@b.cd", 8, 14)], "text string, start long, end long")
+    got = [r[0] for r in df.select(sanitise.window_terms(F.col("text"), F.struct("start", "end"), 5)).collect()]
+    assert got == [sorted(w.lower() for w in left[1:] + right[:5]), [], ["one", "two"]]

@@ -1,17 +1,22 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
-Merges are taken from an agenda (best score first, leftmost of equals), for many new words at once, one merge of each per round; each candidate is skipped when a keyed hash of the
+Merges are taken from an agenda (best score first, leftmost of equals); each candidate is skipped when a keyed hash of the
 seed, the document, the running number of the word, the candidate's place and its length falls below the dropout rate.  Every occurrence of a word
-is so decided on its own, and reruns agree.  The outcome depends only on which of the word's candidates are skipped: those are
-found for all occurrences at once, and what a word and a set of skipped candidates give is computed once per worker.
+is so decided on its own, and reruns agree.
+
+What the agenda of a word does is kept as a decision tree per worker (``Tree``): a node holds the candidates that are taken from there on if none is
+skipped, and the pieces they lead to; skipping one of them leads to a child.  Occurrences walk their trees together: one array operation hashes
+all candidates of all occurrences at a level, those with a skip go on to a child, and nodes met for the first time are made by running
+the agendas of all of them side by side, a merge of each per round.  The trees only keep what would be computed again; they never change a result.
 
 No piece of the model has a space mark behind another character (checked when it is loaded), so words are segmented one by one; a model with
 such pieces is segmented as one word per text.  Characters without a piece become byte pieces, and so does a literal U+2581, which keeps
 decoding lossless for every text.
 
 Defined results: null and empty texts give no pieces; repeated rows get the same pieces, unless ``encoded`` is told that they are copies to vary;
-documents without a key are told apart by their text; very long words are segmented in n log n and not kept; an empty
-table gives an empty result; other columns are passed by or not read.
+documents without a key are told apart by their text; words of more than ``KEPT_WORD`` characters are segmented at every occurrence (in n log n beyond
+``LONG_WORD``), and very long texts are encoded whole; an empty
+table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHED, CACHED_WORDS = 200_000, 100_000
-#: Words with more candidates are segmented at every occurrence.
-MOST_SPANS = 62
-LONG_WORD = 48
+#: Nodes of decision trees that a worker keeps; with more it starts anew.
+CACHED = 600_000
+#: Texts that are encoded together.
+TOGETHER = 512
+KEPT_WORD, LONG_WORD = 20, 48
+#: Words are segmented together with those of similar length.
+WIDTHS = (6, 9, 13, KEPT_WORD, LONG_WORD)
+PLACE, SIZE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 M64 = (1 << 64) - 1
 NEVER = 1 << 40
 SPREAD = 0x9E3779B97F4A7C15
@@ -43,6 +52,56 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``sizes`` of them, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type):
+        self.data, self.size = np.zeros(1 << 12, dtype), 0
+
+    def extend(self, values: np.ndarray) -> int:
+        """Append values; the place of the first."""
+        at, self.size = self.size, self.size + len(values)
+        if self.size > len(self.data):
+            self.data = np.concatenate((self.data, np.zeros(max(len(self.data), len(values)), self.data.dtype)))
+        self.data[at : self.size] = values
+        return at
+
+
+class Tree:
+    """Nodes of the decision trees of words; node 0 stands for a literal U+2581."""
+
+    def __init__(self, literal: list[int]):
+        self.roots: dict[str | None, int] = {}
+        self.words: list[str | None] = []
+        #: spans (place and length in one number) that are skipped on the way to a node
+        self.skips: list[tuple[int, ...]] = []
+        self.depth, self.path_at, self.path_n, self.ids_at, self.ids_n = (Grown(np.int64) for _ in range(5))
+        self.spans, self.child, self.ids = Grown(np.int64), Grown(np.int64), Grown(np.int32)
+        self.add([None], [()], np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.array(literal), np.array([len(literal)]))
+        self.roots[None] = 0
+
+    def add(self, words: list, skips: list, depth: np.ndarray, spans: np.ndarray, n_spans: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> np.ndarray:
+        """Numbers of new nodes, given their paths and ids one after another."""
+        first = len(self.words)
+        self.words += words
+        self.skips += skips
+        self.depth.extend(depth)
+        at = self.spans.extend(spans)
+        self.child.extend(np.full(len(spans), -1))
+        self.path_at.extend(at + np.cumsum(n_spans) - n_spans)
+        self.path_n.extend(n_spans)
+        at = self.ids.extend(ids)
+        self.ids_at.extend(at + np.cumsum(n_ids) - n_ids)
+        self.ids_n.extend(n_ids)
+        return np.arange(first, len(self.words))
+
+
 class DropoutEncoder:
     """Encoder and decoder of one model (its bytes), for one seed and rate."""
 
@@ -65,16 +124,14 @@ class DropoutEncoder:
         apart = not any(SPACE in n.lstrip(SPACE) for n in self.ids)
         self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else "(?s).+")
         self.rate, self.seed, self.below = rate, seed, int(rate * (1 << 64))
-        self.longest = max(map(len, self.ids), default=0)
-        self.known: dict[tuple[str, int], tuple[int, ...]] = {}
-        self.spans: dict[str, bytes] = {}
         # characters without a piece have numbers of their own beyond the pieces, and join no pair
         self.letters = np.arange(0x110000, dtype=np.int32) + self.size
         for name, i in self.ids.items():
             if len(name) == 1:
                 self.letters[ord(name)] = i
         self.pair_table()
-        self.literal = tuple(self.byte[b] for b in SPACE.encode())
+        self.literal = [self.byte[b] for b in SPACE.encode()]
+        self.tree = Tree(self.literal)
 
     def pair_table(self) -> None:
         """Open-addressed table of the pairs of pieces that make a piece: rank and id of the result."""
@@ -103,82 +160,117 @@ class DropoutEncoder:
             wrong = wrong[(got != keys.flat[wrong]) & (got >= 0)]
         return slots
 
-    def learn(self, words: list[str], keys: np.ndarray) -> list[tuple[int, ...]]:
-        """Ids of words with their keys: short words by table in rounds, a merge of each word per round."""
-        found: list[tuple[int, ...]] = [()] * len(words)
-        if not words:
-            return found
+    def by_width(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Words of up to LONG_WORD characters by similar length: their numbers, and rows of piece ids and piece lengths (0 beyond the end)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         firsts = np.cumsum(sizes) - sizes
-        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-        codes = self.letters[points]
-        odd = sizes > LONG_WORD
-        for k in np.flatnonzero(odd).tolist():
-            found[k] = self.spelled(self.merged(words[k], int(keys[k])))
-        width = (sizes + 3) // 4 * 4
-        for w in np.unique(width[~odd]).tolist():
-            group = np.flatnonzero((width == w) & ~odd)
+        codes = self.letters[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+        width = np.searchsorted(WIDTHS, sizes)
+        for number, w in enumerate(WIDTHS):
+            group = np.flatnonzero(width == number)
             for at in range(0, len(group), 1 << 14):
                 part = group[at : at + (1 << 14)]
-                columns = np.arange(w + 1)
+                columns = np.arange(w + 1)  # one place is always beyond the end
                 inside = columns < sizes[part][:, None]
-                ids = np.where(inside, codes[np.minimum(firsts[part][:, None] + columns, len(codes) - 1)], 0)
-                for k, row in zip(part.tolist(), self.learn_group(ids, inside.astype(np.int64), keys[part]), strict=True):
-                    found[k] = row
-        return found
+                yield part, np.where(inside, codes[np.minimum(firsts[part][:, None] + columns, len(codes) - 1)], 0), inside.astype(np.int32)
 
-    def learn_group(self, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, ...]]:
-        """Ids of words of similar length, given as rows of piece ids and piece lengths (0 beyond the end)."""
-        columns = np.arange(ids.shape[1])
+    def agenda(self, ids: np.ndarray, sizes: np.ndarray, gone: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Runs the agendas of words in place, a merge of each per round; the rows and spans of the merges, by row and in order.
+
+        Skipped are the spans of ``gone`` (one row each, -1 for none), and with ``keys`` those that the keyed hash has below the rate.
+        """
         last = ids.shape[1] - 1
+        columns = np.arange(last + 1)
         rest, p, z = np.arange(len(ids)), ids.copy(), sizes.copy()
-        while True:
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(rest):
             slots = self.pairs(p[:, :-1], p[:, 1:])
             ranks = self.pair_ranks[slots]
             ranks[z[:, 1:] == 0] = NEVER
-            if self.below:
-                start = np.cumsum(z, axis=1)[:, :-1] - z[:, :-1]
-                ranks[self.skipped(keys[:, None], start.view(np.uint64), (z[:, :-1] + z[:, 1:]).view(np.uint64))] = NEVER
+            start = np.cumsum(z, axis=1)[:, :-1] - z[:, :-1]
+            size = z[:, :-1] + z[:, 1:]
+            if keys is not None and self.below:
+                ranks[self.skipped(keys[:, None], start.astype(np.uint64), size.astype(np.uint64))] = NEVER
+            if gone.shape[1]:
+                spans = start << 6 | size
+                for k in range(gone.shape[1]):
+                    ranks[spans == gone[:, k : k + 1]] = NEVER
             best = ranks.argmin(axis=1)
             row = np.arange(len(rest))
             going = ranks[row, best] < NEVER
-            ended = ~going
-            ids[rest[ended]], sizes[rest[ended]] = p[ended], z[ended]
-            row, best, rest, keys = row[going], best[going], rest[going], keys[going]
-            if not len(rest):
-                break
-            p, z = p[going], z[going]
+            if not going.all():
+                ended = ~going
+                ids[rest[ended]], sizes[rest[ended]] = p[ended], z[ended]
+                row, best, rest, p, z, gone = row[going], best[going], rest[going], p[going], z[going], gone[going]
+                keys = keys[going] if keys is not None else None
+            taken.append((rest, start[row, best] << 6 | size[row, best]))
             k = np.arange(len(rest))
             p[k, best] = self.pair_ids[slots[row, best]]
             z[k, best] += z[k, best + 1]
-            z[:, last] = 0  # always beyond the end, as a merge has made room
-            take = np.minimum(columns + (columns > best[:, None]), last)
-            p, z = p[k[:, None], take], z[k[:, None], take]
+            take = columns + (columns > best[:, None])
+            take[:, last] = last  # always beyond the end
+            take += (k * (last + 1))[:, None]
+            p, z = p.ravel()[take], z.ravel()[take]
+        rows = np.concatenate([x for x, _ in taken]) if taken else np.zeros(0, np.int64)
+        order = np.argsort(rows, kind="stable")
+        return rows[order], (np.concatenate([x for _, x in taken])[order] if taken else rows)
+
+    def flat(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows one after another, characters without a piece as bytes; and how many each row has."""
         inside = sizes > 0
-        flat = ids[inside].tolist()
-        ends = np.cumsum(inside.sum(axis=1)).tolist()
-        at = 0
-        strange = (ids.max(axis=1) >= self.size).tolist()
-        for end, spell in zip(ends, strange, strict=True):
-            yield tuple(self.bytes_of(flat[at:end])) if spell else tuple(flat[at:end])
-            at = end
+        out, counts = ids[inside], inside.sum(axis=1)
+        strange = np.flatnonzero(out >= self.size)
+        if len(strange):
+            spelt = [[self.byte[b] for b in chr(i).encode()] for i in (out[strange] - self.size).tolist()]
+            more = np.ones(len(out), np.int64)
+            more[strange] = list(map(len, spelt))
+            counts = np.add.reduceat(more, np.cumsum(counts) - counts)
+            firsts = np.cumsum(more) - more
+            out = np.repeat(out, more)
+            out[ragged(firsts[strange], more[strange])] = [b for x in spelt for b in x]
+        return out, counts
+
+    def grow(self, words: list[str], skips: list[tuple[int, ...]], depth: np.ndarray) -> np.ndarray:
+        """Numbers of new nodes for words, what is skipped on the way to them, and the merges made before."""
+        found = np.zeros(len(words), np.int64)
+        if not words:
+            return found
+        for part, ids, sizes in self.by_width(words):
+            held, deep = [skips[k] for k in part.tolist()], depth[part]
+            gone = np.full((len(part), max(map(len, held))), -1, np.int64)
+            if gone.shape[1]:
+                n = np.fromiter(map(len, held), np.int64, len(held))
+                gone[np.repeat(np.arange(len(held)), n), ragged(np.zeros(len(held), np.int64), n)] = [s for x in held for s in x]
+            rows, spans = self.agenda(ids, sizes, gone)
+            n = np.bincount(rows, minlength=len(part))
+            later = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) >= deep[rows]
+            out, counts = self.flat(ids, sizes)
+            found[part] = self.tree.add([words[k] for k in part.tolist()], held, deep, spans[later], n - deep, out, counts)
+        return found
+
+    def alone(self, words: list[str], keys: np.ndarray) -> np.ndarray:
+        """Numbers of nodes of their own for single occurrences of long words."""
+        found = np.zeros(len(words), np.int64)
+        if not words:
+            return found
+        none = lambda n: ([None] * n, [()] * n, np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64))
+        for part, ids, sizes in self.by_width(words):
+            self.agenda(ids, sizes, np.zeros((len(part), 0), np.int64), keys[part])
+            found[part] = self.tree.add(*none(len(part)), *self.flat(ids, sizes))
+        for k, word in enumerate(words):
+            if len(word) > LONG_WORD:
+                ids = self.spelled(self.merged(word, int(keys[k])))
+                found[k] = self.tree.add(*none(1), np.array(ids, np.int32), np.array([len(ids)]))[0]
+        return found
 
     def skipped(self, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Whether the candidate of a place and length is skipped: a keyed hash against the rate."""
-        return self.below_rate(key + start * np.uint64(0x9E3779B97F4A7C15) + size * np.uint64(0xD1B54A32D192ED03))
+        return self.below_rate(key + start * np.uint64(PLACE) + size * np.uint64(SIZE))
 
     def below_rate(self, h: np.ndarray) -> np.ndarray:
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         return (h ^ (h >> np.uint64(29))) < np.uint64(self.below)
 
-    def bytes_of(self, ids: list[int]) -> Iterator[int]:
-        """Ids with the numbers of characters without a piece as byte pieces."""
-        for i in ids:
-            if i < self.size:
-                yield i
-            else:
-                yield from (self.byte[b] for b in chr(i - self.size).encode())
-
     def spelled(self, parts: list[str]) -> tuple[int, ...]:
         """Ids of parts; characters without a piece become bytes."""
         out: list[int] = []
@@ -206,7 +298,7 @@ class DropoutEncoder:
             if rank(whole) != top >> 32:
                 continue
             if below:
-                h = (key + i * 0x9E3779B97F4A7C15 + len(whole) * 0xD1B54A32D192ED03) & M64
+                h = (key + i * PLACE + len(whole) * SIZE) & M64
                 h = ((h ^ (h >> 31)) * 0x94D049BB133111EB) & M64
                 if h ^ (h >> 29) < below:
                     continue
@@ -220,77 +312,70 @@ class DropoutEncoder:
                 heapq.heappush(agenda, (r << 32) | p)
         return [p for p in parts if p is not None]
 
-    def words_of(self, text: str, stream: int) -> list[tuple[list[str], np.ndarray]]:
-        """Words and the keys of their places, by the stretches between literal space marks."""
-        out = []
+    def words_of(self, text: str, stream: int) -> tuple[list[str | None], np.ndarray]:
+        """Words (None for a literal space mark) and the keys of their places."""
+        words: list[str | None] = []
+        keys = []
         for number, stretch in enumerate(text.split(SPACE) if text else []):
-            words = self.words.findall((SPACE if number == 0 else "") + stretch.replace(" ", SPACE))
+            if number:
+                words.append(None)
+                keys.append(np.zeros(1, np.uint64))
+            found = self.words.findall((SPACE if number == 0 else "") + stretch.replace(" ", SPACE))
             start = np.uint64(xxhash.xxh64_intdigest(b"%d:%d" % (stream, number), self.seed))
-            out.append((words, mixed(np.arange(len(words), dtype=np.uint64) * np.uint64(SPREAD) + start)))
-        return out
-
-    def spans_of(self, word: str) -> bytes:
-        """What the candidates of a word (its parts that are pieces) add to a key, as unsigned longs."""
-        n, rank = len(word), self.rank
-        found = [(i * 0x9E3779B97F4A7C15 + (j - i) * 0xD1B54A32D192ED03) & M64 for i in range(n - 1) for j in range(i + 2, min(n, i + self.longest) + 1) if word[i:j] in rank]
-        return np.array(found, np.uint64).tobytes()
-
-    def skips(self, words: list[str], keys: np.ndarray) -> list[int]:
-        """Of each word with its key, the set of skipped candidates as bits; -1 for words that are not kept."""
-        if not self.below:
-            return [-1 if len(w) > LONG_WORD else 0 for w in words]
-        if len(self.spans) > CACHED_WORDS:
-            self.spans.clear()
-        numbers = {w: k for k, w in enumerate(dict.fromkeys(words))}
-        spans = []
-        for w in numbers:
-            if len(w) > LONG_WORD:
-                spans.append(None)
-                continue
-            if (s := self.spans.get(w)) is None:
-                s = self.spans[w] = self.spans_of(w)
-            spans.append(s if len(s) <= 8 * MOST_SPANS else None)
-        sizes = np.array([0 if s is None else len(s) // 8 for s in spans], np.int64)
-        firsts = np.cumsum(sizes) - sizes
-        adds = np.frombuffer(b"".join(s for s in spans if s is not None), np.uint64)
-        which = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        out = np.where(np.array([s is None for s in spans], bool)[which], -1, 0)
-        rows = np.flatnonzero(sizes[which])
-        for at in range(0, len(rows), 1 << 16):
-            part = rows[at : at + (1 << 16)]
-            n = sizes[which[part]]
-            heads = np.cumsum(n) - n
-            bit = np.arange(int(n.sum())) - np.repeat(heads, n)
-            gone = self.below_rate(np.repeat(keys[part], n) + adds[np.repeat(firsts[which[part]], n) + bit])
-            out[part] = np.add.reduceat(gone.astype(np.int64) << bit, heads)
-        return out.tolist()
+            words += found
+            keys.append(mixed(np.arange(len(found), dtype=np.uint64) * np.uint64(SPREAD) + start))
+        return words, np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+
+    def leaves(self, words: list[str | None], keys: np.ndarray) -> np.ndarray:
+        """The nodes at which the occurrences of words end."""
+        if len(self.tree.words) > CACHED:
+            self.tree = Tree(self.literal)
+        tree, roots = self.tree, self.tree.roots
+        at = np.fromiter(map(roots.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys(w for k in unknown if len(w := words[k]) <= KEPT_WORD))
+            roots.update(zip(new, self.grow(new, [()] * len(new), np.zeros(len(new), np.int64)).tolist(), strict=True))
+            at[unknown] = [roots.get(words[k], -1) for k in unknown]
+            long = np.flatnonzero(at < 0)
+            at[long] = self.alone([words[k] for k in long.tolist()], keys[long])
+        active = np.arange(len(words)) if self.below else np.zeros(0, np.int64)
+        while len(active):
+            on = []
+            for k in range(0, len(active), 1 << 16):
+                rows = active[k : k + (1 << 16)]
+                n = tree.path_n.data[at[rows]]
+                places = ragged(tree.path_at.data[at[rows]], n)
+                spans, owner = tree.spans.data[places].view(np.uint64), np.repeat(rows, n)
+                hit = np.flatnonzero(self.skipped(keys[owner], spans >> np.uint64(6), spans & np.uint64(63)))
+                rows = owner[hit]
+                first = np.flatnonzero(np.diff(rows, prepend=-1))
+                on.append((rows[first], places[hit[first]]))
+            active, places = (np.concatenate(x) for x in zip(*on, strict=True))
+            new, where = np.unique(places[tree.child.data[places] < 0], return_index=True)
+            if len(new):
+                parents = at[active[tree.child.data[places] < 0][where]]
+                skips = [(*tree.skips[p], s) for p, s in zip(parents.tolist(), tree.spans.data[new].tolist(), strict=True)]
+                depth = tree.depth.data[parents] + new - tree.path_at.data[parents]
+                grown = self.grow([tree.words[p] for p in parents.tolist()], skips, depth)
+                tree.child.data[new] = grown
+            at[active] = tree.child.data[places]
+        return at
+
+    def encode_flat(self, texts: list[str], streams: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and how many each has."""
+        split = [self.words_of(t, s) for t, s in zip(texts, streams, strict=True)]
+        keys = np.concatenate([k for _, k in split]) if split else np.zeros(0, np.uint64)
+        at = self.leaves([w for words, _ in split for w in words], keys)
+        n = self.tree.ids_n.data[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        borders = ends[np.cumsum([0, *(len(words) for words, _ in split)])]
+        return self.tree.ids.data[ragged(self.tree.ids_at.data[at], n)], np.diff(borders)
 
     def encode_batch(self, texts: list[str], streams: list[int]) -> list[list[int]]:
-        """Ids of texts; what is not known yet is segmented together."""
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        split = [self.words_of(t, s) for t, s in zip(texts, streams, strict=True)]
-        stretches = [x for text in split for x in text]
-        words = [w for x, _ in stretches for w in x]
-        keys = np.concatenate([k for _, k in stretches]) if stretches else np.zeros(0, np.uint64)
-        pairs = list(zip(words, self.skips(words, keys), strict=True))
-        new = {pair: k for k, pair in enumerate(pairs) if pair[1] >= 0 and pair not in known}
-        alone = [k for k, pair in enumerate(pairs) if pair[1] < 0]
-        at = [*new.values(), *alone]
-        learnt = self.learn([words[k] for k in at], keys[at])
-        known.update(zip(new, learnt, strict=False))
-        rest = iter(learnt[len(new) :])
-        found, given = [], iter(pairs)
-        for text in split:
-            out: list[int] = []
-            for number, (x, _) in enumerate(text):
-                if number:
-                    out += self.literal
-                for pair in itertools.islice(given, len(x)):
-                    out += known[pair] if pair[1] >= 0 else next(rest)
-            found.append(out)
-        return found
+        """Ids of texts."""
+        ids, counts = self.encode_flat(texts, streams)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
     def encode(self, text: str, stream: int = 0) -> list[int]:
         """Ids of a text; ``stream`` (a number of its own for each document) varies the segmentations."""
@@ -330,14 +415,15 @@ def encoded(df: DataFrame, model: str, rate: float = 0.1, seed: int = 7, key: st
         encoder = encoder_of(data.value, rate, seed)
         raw = encoder.raw.__getitem__
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
                 texts = part.column(1).to_pylist()
                 streams = map(stream_of, part.column(0).to_pylist(), part.column(2).to_pylist(), texts)
-                found = encoder.encode_batch(texts, list(streams))
-                ids, counts = [np.array(x, np.int32) for x in found], list(map(len, found))
-                same = [b"".join(map(raw, x))[1:] == t.encode() for x, t in zip(found, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(same)], names=["doc_id", "ids", "n_tokens", "lossless"])
+                ids, counts = encoder.encode_flat(texts, list(streams))
+                ends = np.concatenate(([0], np.cumsum(counts)))
+                same = [b"".join(map(raw, ids[a:b].tolist()))[1:] == t.encode() for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), texts, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(counts, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "lossless"])
 
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     same_document = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")

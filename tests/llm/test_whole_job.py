@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import merge_dropout, quotation, sanitise, simhash, token_counts
@@ -51,6 +52,24 @@ def test_deduplication_keeps_a_row_of_each_group(spark):
     assert kept == sorted([(0, prose[0]), (0, prose[1]), (1, prose[2]), (2, prose[3]), (2, prose[4]), (3, prose[5])], key=str)
 
 
+def by_agendas(encoder, text: str, stream: int) -> list[int]:
+    """Every word segmented on its own by the heap."""
+    words, keys = encoder.words_of(text, stream)
+    return [i for w, k in zip(words, keys.tolist(), strict=True) for i in (encoder.literal if w is None else encoder.spelled(encoder.merged(w, k)))]
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5, 0.9])
+def test_trees_give_what_the_agendas_give(rate):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        encoder = merge_dropout.DropoutEncoder(f.read(), rate, 5)
+    rng = random.Random(11)
+    letters = "  eeetaoinsrh\n漢😀ß▁"
+    texts = ["", " ", "▁", " ▁ ▁▁a", "y" * 300 + " " + "international" * 9, *("".join(rng.choices(letters, k=rng.randint(0, 400))) for _ in range(150))]
+    for together in (texts, texts[::-1], texts):
+        streams = [len(t) for t in together]
+        assert encoder.encode_batch(together, streams) == [by_agendas(encoder, t, s) for t, s in zip(together, streams, strict=True)]
+
+
 def test_dropout_is_drawn_at_every_place(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     with open(path, "rb") as f:
@@ -65,10 +84,9 @@ def test_dropout_is_drawn_at_every_place(spark):
     assert len(spellings) > 10
     # what is kept of earlier texts never changes a result
     fresh = merge_dropout.DropoutEncoder.__new__(merge_dropout.DropoutEncoder)
-    fresh.__dict__ |= encoder.__dict__ | {"known": {}, "spans": {}}
+    fresh.__dict__ |= encoder.__dict__ | {"tree": merge_dropout.Tree(encoder.literal)}
     other = " ".join(random.Random(2).choices(["the", "international", "x" * 60, "ing漢"], k=200))
-    words = [(w, k) for x, keys in fresh.words_of(other, 9) for w, k in zip(x, keys.tolist())]
-    assert encoder.encode(other, 9) == fresh.encode(other, 9) == [i for w, k in words for i in fresh.spelled(fresh.merged(w, k))]
+    assert encoder.encode(other, 9) == fresh.encode(other, 9) == by_agendas(fresh, other, 9)
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, text + " international")], "doc_id long, text string")
     assert len({tuple(r.ids[:500]) for r in merge_dropout.encoded(df, path, copies=True).collect()}) == 4
     assert len({tuple(r.ids) for r in merge_dropout.encoded(df.where("doc_id = 1"), path).collect()}) == 1

@@ -1,24 +1,26 @@
-"""Repeated byte strings across a corpus by difference-cover suffix sorting of bounded depth.
+"""Repeated strings across a corpus by difference-cover suffix sorting of bounded depth.
 
-Only prefixes of ``LENGTH`` (400) bytes decide, so the suffix order is needed to that depth and no further:
+Only prefixes of ``length`` units decide (400 bytes; or 51 words, see ``WORDS``), so the suffix order is needed to that depth and no further:
 
-1. Positions of every text are sampled by a difference cover modulo 273 (17 residues, a perfect difference set): any
-   two positions have a common shift below 273 that makes both sampled.  Sampled suffixes are named by
-   their first 128 bytes and sorted by name; a name found once is decided and dropped.
+1. Positions of every text are sampled by a difference cover (for bytes modulo 273: 17 residues, a perfect difference set): any
+   two positions have a common shift below the modulus that makes both sampled.  Sampled suffixes are named by
+   their first ``name`` units (128 bytes) and sorted by name; a name found once is decided and dropped.
 2. If two suffixes agree on 400 bytes, then the sampled suffixes at their common shift agree on 128, so
    only suffixes within 272 bytes before a surviving sample can repeat.  These remaining suffixes are merged in by
    their 400-byte prefix, sorted, and equal neighbours are the repeats.
 
-Names are 64-bit polynomial hashes (mixed; 48 bits in step 1, which is only a filter), as the alternative, ranks from a recursion over
+Names are hashes of the bytes (XXH3 of 128 bits, of which the part and 48 bits are compared in step 1, which is only a filter, and the part and 72 bits in step 2), as the alternative, ranks from a recursion over
 triples, moves 16 bytes for every byte of text several times over, far beyond the disk allowed.  A chance collision needs two of the
-suffixes left in step 2 to agree on 64 bits.
+suffixes left in step 2 to agree on those: 1e13 of them, in a million parts, give about one in a hundred.
 
-Equal texts are one text from the start: they are represented by their hash, and if a text occurs twice and has 400 bytes, all of it goes.
+Equal texts are one text from the start: they are represented by a 64-bit hash of the bytes and their number, and if a text occurs twice and has 400 bytes, all of it goes.
+One copy of equal texts is compared where the texts that have copies are few enough to be known to all tasks; otherwise
+copies travel, and change nothing.
 Within a batch of texts, repeats are found at once and one witness is sent on, so a passage in a third
-of all documents sends one row per batch, not one per document.  Texts are shuffled twice (once for step 2, once for the result).
+of all documents sends one row per batch, not one per document.  Texts are shuffled once for step 2 of each scheme, and once for the result.
 
 Defined results: a null text is the empty text; texts shorter than 400 bytes lose nothing and give nothing; repeated rows count as
-copies of each other (each occurrence counts); an empty table gives an empty result.
+copies of each other (each occurrence counts); very long texts are read whole; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,75 +28,104 @@ from __future__ import annotations
 import gc
 import time
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import checkpointed
 
-LENGTH, MODULUS, NAME = 400, 273, 128
-BATCH_BYTES = 6 << 20
-#: Odd multiplier of the polynomial hash, with its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-LETTERS = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
-
-
-def difference_cover(modulus: int = MODULUS) -> list[int]:
-    """Singer's perfect difference set: powers of a generator of GF(16**3) that lie in a plane over GF(16)."""
-    # GF(2**12) by x^12 + x^6 + x^4 + x + 1; the plane is the kernel of the trace to GF(16)
+LENGTH = 400
+#: Rows of names that a task holds before it sends them.
+HELD_ROWS = 3 << 18
+PART_BYTES = 64 << 20
+#: Bytes of a name that are sent in steps 1 and 2; the number of the part adds to them.
+NARROW, WIDE = 6, 9
+#: Texts with copies, up to which one row of each is chosen before texts are shuffled.
+BROADCAST_ROWS = 250_000
+
+
+@cache
+def difference_cover(q: int = 16) -> list[int]:
+    """Singer's perfect difference set modulo q*q + q + 1: powers of a generator of GF(q**3) that lie in a plane over GF(q); q is 4 or 16."""
+    # GF(2**6) by x^6 + x + 1 and GF(2**12) by x^12 + x^6 + x^4 + x + 1; the plane is the kernel of the trace to GF(q)
+    polynomial, top = {4: (0b1000011, 64), 16: (0b1000001010011, 4096)}[q]
     table, x = [], 1
-    for _ in range(4095):
+    for _ in range(top - 1):
         table.append(x)
         x <<= 1
-        if x & 4096:
-            x ^= 0b1000001010011
+        if x & top:
+            x ^= polynomial
     log = {v: i for i, v in enumerate(table)}
-    power = lambda v, n: table[log[v] * n % 4095]
-    return sorted({k % modulus for k, v in enumerate(table) if v ^ power(v, 16) ^ power(v, 256) == 0})
+    power = lambda v, n: table[log[v] * n % (top - 1)]
+    return sorted({k % (q * q + q + 1) for k, v in enumerate(table) if v ^ power(v, q) ^ power(v, q * q) == 0})
 
 
-COVER = difference_cover()
-SAMPLED = np.zeros(MODULUS, bool)
-SAMPLED[COVER] = True
+@dataclass(frozen=True)
+class Scheme:
+    """What is compared: strings of ``length`` units (bytes, or words apart by white space), sampled by the cover of ``q``.
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    With ``across``, a string counts only where another text has it.
+    """
 
+    length: int
+    q: int
+    words: bool = False
+    across: bool = False
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for k, factor in enumerate((BASE, INVERSE)):
-            steps = np.full(size, factor, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+    @property
+    def modulus(self) -> int:
+        return self.q * self.q + self.q + 1
 
+    @property
+    def name(self) -> int:
+        """Units of a name of step 1: a sample lies in the first ``modulus`` places of a repeat, and its name ends inside."""
+        return self.length - self.modulus + 1
+
+    def units(self, data: bytes) -> tuple[int, bytes, np.ndarray | None]:
+        """How many units there are, the bytes that are compared, and for words where each begins (and one more would)."""
+        if not self.words:
+            return len(data), data, None
+        found = data.split()
+        return len(found), b" ".join(found), np.cumsum([0, *map(len, found)]) + np.arange(len(found) + 1)
+
+    def strings(self, body: bytes, begins: np.ndarray | None, places: np.ndarray, length: int) -> list[bytes]:
+        """The strings of ``length`` units at ``places``."""
+        if begins is None:
+            return [body[a : a + length] for a in places.tolist()]
+        return [body[a:b] for a, b in zip(begins[places].tolist(), (begins[places + length] - 1).tolist(), strict=True)]
+
+    def sampled(self, n: int) -> np.ndarray:
+        """Sampled places at which a name fits, in a text of n units that can hold a repeat."""
+        chosen = np.zeros(self.modulus, bool)
+        chosen[difference_cover(self.q)] = True
+        return np.flatnonzero(np.resize(chosen, n - self.name + 1)) if n >= self.length else np.zeros(0, np.int64)
 
-def prefix_sums(data: bytes) -> np.ndarray:
-    x = LETTERS[np.frombuffer(data, np.uint8)]
-    x *= powers(len(data))[0]
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(x, out=out[1:])
-    return out
 
+    def before(self, marks: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        """Places at which a repeat may start, given the surviving samples of a text of n units; at most HELD_ROWS at once."""
+        starts, ends = np.maximum(marks - self.modulus + 1, 0), np.minimum(marks, n - self.length) + 1
+        cut = np.flatnonzero(starts[1:] > ends[:-1])
+        starts, ends = starts[np.concatenate(([0], cut + 1))], ends[np.concatenate((cut, [len(ends) - 1]))]
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            for k in range(a, b, HELD_ROWS):
+                yield np.arange(k, min(b, k + HELD_ROWS))
 
-def names_at(sums: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """Mixed hashes of the strings of ``length`` bytes that start at ``places``."""
-    h = (sums[places + length] - sums[places]) * powers(len(sums))[1][places]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
 
+BYTES = Scheme(LENGTH, 16)
+#: Passages of more than 50 words that another text has as well, however they are broken into lines.
+WORDS = Scheme(51, 4, words=True, across=True)
 
-def sampled_places(n: int) -> np.ndarray:
-    """Sampled places at which a name fits, in a text of n bytes that can hold a repeat."""
-    return np.flatnonzero(np.resize(SAMPLED, n - NAME + 1)) if n >= LENGTH else np.zeros(0, np.int64)
+
+def names_of(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names: the low half, and the high half."""
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, strings)), "<u8").reshape(-1, 2)
+    return raw[:, 0].copy(), raw[:, 1].copy()
 
 
 def runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,44 +153,49 @@ def unpack_places(blobs: list[bytes]) -> np.ndarray:
 class Sender:
     """Collects (text, places, names), settles repeats inside the batch and gives the witnesses by part."""
 
-    def __init__(self, parts: int, width: int):
-        self.parts, self.width = parts, width
+    def __init__(self, parts: int, width: int, across: bool):
+        self.parts, self.width, self.across = parts, width, across
         self.clear()
 
     def clear(self) -> None:
         self.texts: list[int] = []
-        self.names: list[np.ndarray] = []
+        self.owners: list[int] = []
+        self.names: list[tuple[np.ndarray, np.ndarray]] = []
         self.places: list[np.ndarray] = []
         self.rows = 0
 
-    def add(self, text: int, names: np.ndarray, places: np.ndarray) -> None:
-        self.texts.append(text)
+    def add(self, text: int, names: tuple[np.ndarray, np.ndarray], places: np.ndarray) -> None:
+        if not self.texts or self.texts[-1] != text:
+            self.texts.append(text)
+        self.owners.append(len(self.texts) - 1)
         self.names.append(names)
         self.places.append(places.astype(np.uint32))
-        self.rows += len(names)
+        self.rows += len(places)
 
     def flush(self) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
-        """Witnesses (part, blob), and repeats known already (text, places)."""
+        """Witnesses (part, blob), and repeats known already (text, places).
+
+        A name that repeats in the batch sends one witness, and the others are known; where only other texts count, a name
+        that repeats in one text alone sends all its places.
+        """
         if not self.rows:
             self.clear()
             return [], []
-        names = np.concatenate(self.names)
-        owner = np.repeat(np.arange(len(self.texts), dtype=np.uint32), [len(x) for x in self.names])
+        low, high = (np.concatenate(x) for x in zip(*self.names, strict=True))
+        owner = np.repeat(np.array(self.owners, np.uint32), [len(x) for x in self.places])
         places = np.concatenate(self.places)
-        order = np.argsort(names, kind="stable")
-        s = names[order]
-        first = np.concatenate(([True], s[1:] != s[:-1]))
-        same = np.zeros(len(s), bool)
-        same[1:] |= ~first[1:]
-        same[:-1] |= ~first[1:]
+        order, group = grouped(low, high)
+        several = differ(owner[order], group) if self.across else np.bincount(group) > 1
+        same = several[group]
+        first = np.diff(group, prepend=-1) > 0
         known_rows = np.sort(order[same])
         known = []
         edges = np.flatnonzero(np.diff(owner[known_rows].astype(np.int64), prepend=-1, append=-1)) if len(known_rows) else np.zeros(1, np.int64)
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             known.append((self.texts[owner[known_rows[a]]], pack_places(places[known_rows[a:b]].astype(np.int64))))
-        sent = order[first]
-        flag = same[first]
-        part = (names[sent] >> np.uint64(48)) % np.uint64(self.parts)
+        send = first | ~same
+        sent, flag = order[send], same[send]
+        part = (high[sent] >> np.uint64(32)) % np.uint64(self.parts)  # bits that are not sent, so that a part adds to the name
         by = np.lexsort((sent, part))
         sent, flag, part = sent[by], flag[by], part[by].astype(np.int64)
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
@@ -168,41 +204,57 @@ class Sender:
             rows = sent[a:b]
             own, at = np.unique(owner[rows], return_inverse=True)
             texts = np.array([self.texts[i] for i in own], "<i8")
-            low = names[rows].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width].tobytes()
+            names = np.stack((low[rows], high[rows]), axis=1).astype("<u8").view(np.uint8)
             rest = np.diff(at, prepend=0).astype("<i4").tobytes() + np.diff(places[rows].astype(np.int64), prepend=0).astype("<i4").tobytes() + np.packbits(flag[a:b]).tobytes()
             squeezed = zstandard.ZstdCompressor(level=1).compress(rest)
             head = np.array([b - a, len(own), len(squeezed)], "<i4").tobytes()
-            blobs.append((int(part[a]), head + texts.tobytes() + low + squeezed))
+            blobs.append((int(part[a]), head + texts.tobytes() + names[:, : self.width].tobytes() + squeezed))
         self.clear()
         return blobs, known
 
 
-def opened(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names, texts, places and flags of a blob."""
+def grouped(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of names, and in it the number of the distinct name of each."""
+    order = np.argsort(low, kind="stable")
+    same, apart = low[order[1:]] == low[order[:-1]], high[order[1:]] != high[order[:-1]]
+    if (same & apart).any():
+        order = np.lexsort((high, low))
+        same, apart = low[order[1:]] == low[order[:-1]], high[order[1:]] != high[order[:-1]]
+    return order, np.cumsum(np.concatenate(([False], ~same | apart)))
+
+
+def differ(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether a group (numbered in order) holds different values."""
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    return np.minimum.reduceat(values, starts) != np.maximum.reduceat(values, starts)
+
+
+def opened(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names (two arrays), texts, places and flags of a blob."""
     n, m, z = np.frombuffer(blob, "<i4", 3).tolist()
     texts = np.frombuffer(blob, "<i8", m, 12)
     at = 12 + 8 * m
-    low = np.zeros((n, 8), np.uint8)
-    low[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(n, width)
+    names = np.zeros((n, 16), np.uint8)
+    names[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(n, width)
+    names = names.view("<u8")
     rest = zstandard.ZstdDecompressor().decompress(blob[at + n * width : at + n * width + z])
     owner = np.cumsum(np.frombuffer(rest, "<i4", n))
-    places = np.cumsum(np.frombuffer(rest, "<i4", n, 4 * n))
+    places = np.cumsum(np.frombuffer(rest, "<i4", n, 4 * n)).astype(np.uint32)
     flags = np.unpackbits(np.frombuffer(rest, np.uint8, offset=8 * n), count=n).astype(bool)
-    return low.reshape(-1).view("<u8"), texts[owner], places, flags
+    return names[:, 0].copy(), names[:, 1].astype(np.uint8) if width < 10 else names[:, 1].copy(), texts[owner], places, flags
 
 
-def settle(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts and places whose names occur at two different places at least: sort, and compare neighbours."""
-    names, texts, places, flags = (np.concatenate(x) for x in zip(*(opened(b, width) for b in blobs), strict=True))
-    order = np.lexsort((places, texts, names))
-    names, texts, places, flags = names[order], texts[order], places[order], flags[order]
-    start = np.concatenate(([True], names[1:] != names[:-1]))
-    fresh = start.copy()
-    fresh[1:] |= (texts[1:] != texts[:-1]) | (places[1:] != places[:-1])
-    group = np.cumsum(start) - 1
-    several = (np.bincount(group, weights=fresh) > 1) | (np.bincount(group, weights=flags) > 0)
-    keep = several[group] & fresh
-    return texts[keep], places[keep]
+def settle(blobs: list[bytes], width: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and places whose names occur at two different places (or in two texts) at least: sort, and compare neighbours."""
+    low, high, texts, places, flags = (np.concatenate(x) for x in zip(*(opened(b, width) for b in blobs), strict=True))
+    order, group = grouped(low, high)
+    del low, high
+    texts, places = texts[order], places[order]
+    several = (np.bincount(group, weights=flags[order]) > 0) | differ(texts, group)
+    if not across:
+        several |= differ(places, group)
+    keep = several[group]
+    return texts[keep], places[keep].astype(np.int64)
 
 
 def by_text(texts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,7 +299,7 @@ def _send(sender: Sender) -> Iterator[pa.RecordBatch]:
         yield batch_of(rows, SENT_TYPES, SENT_NAMES)
 
 
-def repeats(sent: DataFrame, parts: int, width: int) -> DataFrame:
+def repeats(sent: DataFrame, parts: int, width: int, across: bool) -> DataFrame:
     """text_id and places (packed) of everything that repeats, from what ``_send`` gives: one row per text.
 
     A task settles its parts and sends what it found in one blob per bucket of texts, so rows do not grow with texts times parts.
@@ -264,7 +316,7 @@ def repeats(sent: DataFrame, parts: int, width: int) -> DataFrame:
                 else:
                     held.setdefault(part, []).append(blob)
         for part in list(held):
-            found.append(settle(held.pop(part), width))
+            found.append(settle(held.pop(part), width, across))
         if not found:
             return
         texts, places = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -287,8 +339,8 @@ def repeats(sent: DataFrame, parts: int, width: int) -> DataFrame:
             for k in range(0, len(rows), 4096):
                 yield batch_of(rows[k : k + 4096], (pa.int64(), pa.binary()), ("text_id", "places"))
 
-    found = sent.repartition(parts, "part").mapInArrow(run, "bucket int, blob binary")
-    return checkpointed(found.repartition(parts, "bucket").mapInArrow(merge, "text_id long, places binary"))
+    found = sent.repartitionById(parts, "part").mapInArrow(run, "bucket int, blob binary")
+    return checkpointed(found.repartitionById(parts, "bucket").mapInArrow(merge, "text_id long, places binary"))
 
 
 def released(df: DataFrame) -> None:
@@ -299,105 +351,110 @@ def released(df: DataFrame) -> None:
         time.sleep(0.5)
 
 
-def repeated_windows(df: DataFrame) -> DataFrame:
-    """text_id and places: packed starts of 400-byte strings that also start elsewhere.
+def repeated_windows(df: DataFrame, scheme: Scheme = BYTES) -> DataFrame:
+    """text_id and places: packed starts (in units) of strings of the scheme's length that also start elsewhere.
 
     ``df`` has text_id (a hash of the text) and data (its bytes).
     """
     spark = df.sparkSession
+    df = df.where(F.octet_length("data") >= (2 * scheme.length - 1 if scheme.words else scheme.length))
     total = df.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (96 << 20))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender, seen, held = Sender(parts, 6), set(), 0
+        sender = Sender(parts, NARROW, False)
         for batch in batches:
             for text, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if text in seen:
-                    continue
-                data = data.as_py()
-                places = sampled_places(len(data))
-                if not len(places):
-                    continue
-                seen.add(text)
-                sender.add(text, names_at(prefix_sums(data), places, NAME), places)
-                held += len(data)
-                if held >= 4 * BATCH_BYTES:
-                    yield from _send(sender)
-                    seen.clear()
-                    held = 0
+                n, body, begins = scheme.units(data.as_py())
+                places = scheme.sampled(n)
+                for k in range(0, len(places), HELD_ROWS):
+                    some = places[k : k + HELD_ROWS]
+                    sender.add(text, names_of(scheme.strings(body, begins, some, scheme.name)), some)
+                    if sender.rows >= HELD_ROWS:
+                        yield from _send(sender)
         yield from _send(sender)
 
-    near = repeats(df.mapInArrow(sample, SENT), parts, 6)
+    near = repeats(df.mapInArrow(sample, SENT), parts, NARROW, False)
     released(df)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender, seen = Sender(parts, 8), set()
+        sender, last_text = Sender(parts, WIDE, scheme.across), None
         for batch in batches:
             for text, data, blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if text in seen:
+                if text == last_text:  # copies lie side by side
                     continue
-                seen.add(text)
-                data = data.as_py()
-                marks = unpack_places([blobs.as_py()])
-                last = len(data) - LENGTH
-                open_at = np.zeros(len(data) + 2, np.int32)
-                np.add.at(open_at, np.maximum(marks - (MODULUS - 1), 0), 1)
-                np.add.at(open_at, marks + 1, -1)
-                places = np.flatnonzero(np.cumsum(open_at[: last + 1]) > 0)
-                for k in range(0, len(places), 1 << 20):
-                    sender.add(text, names_at(prefix_sums(data), places[k : k + (1 << 20)], LENGTH), places[k : k + (1 << 20)])
-                    if sender.rows >= 1 << 20:
+                last_text = text
+                n, body, begins = scheme.units(data.as_py())
+                for some in scheme.before(unpack_places([blobs.as_py()]), n):
+                    sender.add(text, names_of(scheme.strings(body, begins, some, scheme.length)), some)
+                    if sender.rows >= HELD_ROWS:
                         yield from _send(sender)
         yield from _send(sender)
 
-    texts = df.join(near.withColumnRenamed("text_id", "near_id"), F.col("text_id") == F.col("near_id")).select("text_id", "data", "places")
-    out = repeats(texts.mapInArrow(merge, SENT), parts, 8)
+    joined = df.join(near.withColumnRenamed("text_id", "near_id"), F.col("text_id") == F.col("near_id")).select("text_id", "data", "places").sortWithinPartitions("text_id")
+    out = repeats(joined.mapInArrow(merge, SENT), parts, WIDE, scheme.across)
     released(df)
     return out
 
 
-def removed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, kept (the remaining bytes), n_removed and n_spans of every document."""
+def removed(df: DataFrame, key: str = "doc_id", text: str = "text", passages: Scheme | None = None) -> DataFrame:
+    """doc_id, n_bytes, kept (the remaining bytes), n_removed and n_spans of every document.
+
+    With ``passages``, also n_passage_units: units (words) covered by strings of that scheme that another document has; they are only counted.
+    """
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(data, F.octet_length(data)).alias("text_id"), data.alias("data"))
-    windows = repeated_windows(docs.select("text_id", "data"))
-    copies = docs.groupBy("text_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marks = checkpointed(windows.join(copies, "text_id", "full").select(F.col("text_id").alias("mark_id"), "places", F.coalesce("n", F.lit(1)).alias("n")))
+    copies = checkpointed(docs.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1"))
+    once = docs
+    if copies.count() <= BROADCAST_ROWS:
+        once = docs.join(F.broadcast(copies), "text_id", "left").where(F.col("n").isNull() | F.col("first").eqNullSafe(F.col("doc_id")))
+    marks = copies.join(repeated_windows(once.select("text_id", "data")), "text_id", "full")
+    shared = repeated_windows(once.select("text_id", "data"), passages).withColumnRenamed("places", "shared") if passages else None
+    marks = marks.join(shared, "text_id", "full") if passages else marks.withColumn("shared", F.lit(None).cast("binary"))
+    marks = checkpointed(marks.select(F.col("text_id").alias("mark_id"), "places", "shared", F.coalesce("n", F.lit(1)).alias("n")))
     released(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, value, places, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                data, packed = value.as_py(), places.as_py()
+            for doc, value, places, shared, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
+                data = value.as_py()
+                if (n or 1) > 1 and passages and len(data) >= passages.length:
+                    units = passages.units(data)[0]
+                    covered = units if units >= passages.length else 0
+                else:
+                    covered = sum(b - a for a, b in spans_of(shared.as_py(), passages.length)) if shared.is_valid else 0
                 if (n or 1) > 1 and len(data) >= LENGTH:
-                    rows.append((doc, len(data), len(data), 1, b""))
-                    continue
-                if not packed:
-                    rows.append((doc, len(data), 0, 0, data))
-                    continue
-                spans: list[list[int]] = []
-                for a, b in zip(*(x.tolist() for x in runs(unpack_places([packed]))), strict=True):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], b - 1 + LENGTH)
-                    else:
-                        spans.append([a, b - 1 + LENGTH])
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(data[at:a])
-                    at = b
-                kept.append(data[at:])
-                rows.append((doc, len(data), sum(b - a for a, b in spans), len(spans), b"".join(kept)))
+                    rows.append((doc, len(data), len(data), 1, b"", covered))
+                else:
+                    spans = spans_of(places.as_py(), LENGTH) if places.is_valid else []
+                    borders = [0, *(x for span in spans for x in span), len(data)]
+                    kept = b"".join(data[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
+                    rows.append((doc, len(data), len(data) - len(kept), len(spans), kept, covered))
                 if len(rows) >= 1024:
                     yield batch_of(rows, kinds, names)
                     rows = []
             if rows:
                 yield batch_of(rows, kinds, names)
 
-    kinds, names = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
-    joined = docs.join(marks, F.col("text_id") == F.col("mark_id"), "left").select("doc_id", "data", "places", "n")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kinds, names = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), ("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passage_units")
+    joined = docs.join(marks, F.col("text_id") == F.col("mark_id"), "left").select("doc_id", "data", "places", "shared", "n")
+    found = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_units long")
+    return found if passages else found.drop("n_passage_units")
+
+
+def spans_of(packed: bytes, length: int) -> list[tuple[int, int]]:
+    """Maximal runs covered by strings of ``length`` that start at the packed places."""
+    spans: list[tuple[int, int]] = []
+    for a, b in zip(*(x.tolist() for x in runs(unpack_places([packed]))), strict=True):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], b - 1 + length)
+        else:
+            spans.append((a, b - 1 + length))
+    return spans
 
 
 def digest(df: DataFrame) -> DataFrame:
-    return removed(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, and beside them what is left and the words in passages of more than 50 words that another document has."""
+    found = removed(df, passages=WORDS)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"), F.col("n_passage_units").alias("n_passage_words"))

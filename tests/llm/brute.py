@@ -83,6 +83,20 @@ def repeated_bytes(rows: list[tuple[int, str | None]], length: int = 400) -> dic
     return out
 
 
+def repeated_words(rows: list[tuple[int, str | None]], length: int = 51) -> dict[int, int]:
+    """doc_id -> words covered by strings of ``length`` words that another document has."""
+    texts = [(d, (t or "").encode().split()) for d, t in rows]
+    holders: dict[tuple, set[int]] = {}
+    for k, (_, t) in enumerate(texts):
+        for i in range(len(t) - length + 1):
+            holders.setdefault(tuple(t[i : i + length]), set()).add(k)
+    out = {}
+    for d, t in texts:
+        shared = [i for i in range(len(t) - length + 1) if len(holders[tuple(t[i : i + length])]) > 1]
+        out[d] = len({k for i in shared for k in range(i, i + length)})
+    return out
+
+
 def warc_rows(pages: list[tuple[int, str | None]]) -> dict[int, tuple[int, str, str, int | None]]:
     """page_id -> payload_bytes, payload_digest, record_type, refers_to."""
     import base64

@@ -295,13 +295,31 @@ def test_suffix_dedup(spark):
     got = suffix_dedup.digest(df).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert tuple(r)[1:] == want[r.doc_id], r.doc_id
+        assert tuple(r)[1:5] == want[r.doc_id], r.doc_id
+        assert r.kept_bytes == r.n_bytes - r.n_removed
+    assert {r.doc_id: r.n_passage_words for r in got} == brute.repeated_words(rows)
     assert suffix_dedup.digest(df.where("false")).count() == 0
 
 
+def test_word_passages(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HELD_ROWS", 64)
+    rng = random.Random(18)
+    words = lambda n: [rng.choice("abcde") * rng.randint(1, 9) + str(rng.randint(0, 99)) for _ in range(n)]
+    passage = words(90)
+    rows = [(i, " ".join(words(30 * i)) + rng.choice([" ", "\n"]) + rng.choice([" ", "\t\n"]).join(passage[i : 40 + 5 * i]) + " " + " ".join(words(20))) for i in range(11)]
+    twice = words(60)
+    rows += [(50, " ".join(twice + words(3) + twice)), (51, rows[9][1]), (52, " ".join(passage[:51])), (53, None), (54, "x " * 200), (55, "x " * 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.removed(df, passages=suffix_dedup.WORDS).collect()
+    want = brute.repeated_words(rows)
+    assert {r.doc_id: r.n_passage_units for r in got} == want and 0 < sum(n > 0 for n in want.values()) < len(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in got} == {d: x[:3] for d, x in brute.repeated_bytes(rows).items()}
+
+
 def test_difference_cover():
-    cover = suffix_dedup.COVER
-    assert len(cover) == 17 and {(a - b) % 273 for a in cover for b in cover} == set(range(273))
+    for scheme, size in ((suffix_dedup.BYTES, 17), (suffix_dedup.WORDS, 5)):
+        cover, modulus = suffix_dedup.difference_cover(scheme.q), scheme.modulus
+        assert len(cover) == size and {(a - b) % modulus for a in cover for b in cover} == set(range(modulus))
 
 
 def test_quotation(spark):

@@ -146,17 +146,21 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", max_loss: floa
 
 def clean_documents(df: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFrame:
     """The kept documents with their cleaned text; all columns of the input stay, n_chars follows the text."""
-    t = whole_text(text)
-    names = df.columns
-    mark = "__judged"
-    while mark in names:
+    names, mark = df.columns, "__judged"
+    while any(n.startswith(mark) for n in names):
         mark += "_"
-    base = F.struct(base_metrics(t).alias("b"), cleaned(t).alias("c"))
-    b, c = F.col(mark)["b"], F.col(mark)["c"]
-    failed = (b["n_words"] < 20) | (b["n_repeat_words"] * 100 > b["n_words"] * 30)
-    kept = ~failed & (c["kept_chars"] >= c["text_chars"] * (1 - max_loss))
-    value = {text: c["clean_text"]} | ({"n_chars": F.length(c["clean_text"]).cast("long")} if "n_chars" in names else {})
-    return df.withColumn(mark, base).where(kept).select(*(value[n].alias(n) if n in value else F.col(f"`{n}`") for n in names))
+    t = whole_text(text)
+
+    def kept(j: Column) -> Column:
+        failed = (j["b"]["n_words"] < 20) | (j["b"]["n_repeat_words"] * 100 > j["b"]["n_words"] * 30)
+        return ~failed & (j["c"]["kept_chars"] >= j["c"]["text_chars"] * (1 - max_loss))
+
+    # an array of no or one struct, taken apart: a filter on the verdict would be pushed below and judge every text twice
+    judged = F.filter(F.array(F.struct(base_metrics(t).alias("b"), cleaned(t).alias("c"))), kept)
+    clean = F.transform(judged, lambda j: F.struct(j["c"]["clean_text"].alias("text"), F.length(j["c"]["clean_text"]).cast("long").alias("chars")))
+    out = df.select("*", F.inline_outer(clean).alias(mark, f"{mark}_chars")).where(F.col(mark).isNotNull())
+    value = {text: F.col(mark)} | ({"n_chars": F.col(f"{mark}_chars")} if "n_chars" in names else {})
+    return out.select(*(value[n].alias(n) if n in value else F.col(f"`{n}`") for n in names))
 
 
 #: The same rules for DuckDB.

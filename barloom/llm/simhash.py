@@ -1,13 +1,18 @@
 """SimHash near-duplicates found through pivot distance tables.
 
 Fingerprints are grouped first, so exact copies are one row.  For each distinct fingerprint the table holds its Hamming distances
-to 16 reference fingerprints.  Two fingerprints within two bits share two of four 16-bit blocks, which routes them to a common
-bucket; in a bucket, a pair is discarded when any coordinate of its pivot distances differs by more than two (the
-triangle inequality makes that safe), and the survivors are verified.
+to 33 reference fingerprints: a base, and for each of four 16-bit blocks the base with eight sets of bits of that block flipped.
+All comes from this table until the last step:
 
-Buckets of more than ``MAX_BUCKET`` fingerprints (large families of near copies) never emit their pairs: each member names
-itself and its 64 neighbours at one bit, and members that name a common fingerprint are within two bits, and the
-reverse.  At most 65 members can name one fingerprint, so those groups are small whatever the data.
+* Routing: the distance to a flipped reference less that to the base says how many bits of the set differ from the base, so the eight
+  differences of a block are coordinates that depend on that block alone.  Fingerprints within two bits agree on two blocks, hence on all
+  sixteen coordinates of one of six pairs of blocks: these are the join keys (the coordinates of a block take 45,332 values for its 65,536 patterns).
+* Discarding: a pair is dropped when any of the 33 distances differs by more than two (the triangle inequality makes that safe).
+* The survivors are verified on the fingerprints.  ``candidate_counts`` tells how many pairs each step leaves.
+
+Buckets of more than ``MAX_BUCKET`` fingerprints (large families of near copies) never emit their pairs: each member takes
+itself and its 64 neighbours at one bit as references of its own, and members with a common reference are within two bits by the
+triangle inequality, and the reverse.  At most 65 members can have one reference, so those groups are small whatever the data.
 
 Defined results: null and empty texts and texts without a word have fingerprint zero and link like any
 other; a text of one or two words is one shingle; repeated rows and ties link at distance zero; a null doc_id
@@ -38,8 +43,10 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-#: Reference fingerprints: the hashes of 0 to 15.
-PIVOTS = tuple(signed(xxhash.xxh64_intdigest(bytes([i]), SEED)) for i in range(16))
+BLOCKS, SETS = 4, 8
+#: The base of the reference fingerprints, and sets of bits of a block: hashes of the numbers from 0 on.
+BASE = xxhash.xxh64_intdigest(b"\0", SEED)
+FLIPS = tuple(xxhash.xxh64_intdigest(bytes([i + 1]), SEED) & 0xFFFF for i in range(SETS))
 
 
 def fingerprint(data: bytes) -> int:
@@ -77,42 +84,67 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def pivot_table(prints: DataFrame) -> DataFrame:
-    """fp, p0 and p1: the distances to the 16 pivots, eight packed in a long."""
+    """fp, p (distance to the base) and p0 to p3: per block the distances to its eight references, a byte each."""
+    to = lambda reference: F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(reference)))).cast("long")
 
-    def packed(pivots: tuple[int, ...]) -> Column:
+    def packed(block: int) -> Column:
         out = F.lit(0).cast("long")
-        for i, p in enumerate(pivots):
-            out = out.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long"), 8 * i))
+        for i, flips in enumerate(FLIPS):
+            out = out.bitwiseOR(F.shiftleft(to(BASE ^ flips << 16 * block), 8 * i))
         return out
 
-    return prints.select("fp", packed(PIVOTS[:8]).alias("p0"), packed(PIVOTS[8:]).alias("p1"))
+    return prints.select("fp", to(BASE).alias("p"), *(packed(k).alias(f"p{k}") for k in range(BLOCKS)))
+
+
+def coordinate(column: Column, i: int) -> Column:
+    return F.shiftright(column, 8 * i).bitwiseAND(F.lit(255))
 
 
 def near_by_pivots(a: str, b: str, reach: int = REACH) -> Column:
     """Whether no coordinate of the pivot distances differs by more than ``reach``."""
-    out = F.lit(True)
-    for name in ("p0", "p1"):
-        for i in range(8):
-            at = lambda side, i=i, name=name: F.shiftright(F.col(f"{side}.{name}"), 8 * i).bitwiseAND(F.lit(255))
-            out = out & (F.abs(at(a) - at(b)) <= reach)
+    out = F.abs(F.col(f"{a}.p") - F.col(f"{b}.p")) <= reach
+    for k in range(BLOCKS):
+        for i in range(SETS):
+            out = out & (F.abs(coordinate(F.col(f"{a}.p{k}"), i) - coordinate(F.col(f"{b}.p{k}"), i)) <= reach)
     return out
 
 
-def block_keys() -> Column:
-    """Array of bucket keys: the number of a pair of 16-bit blocks, and both blocks."""
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(65535)) for i in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    return F.array(*(F.shiftleft(block[i], 16).bitwiseOR(block[j]).bitwiseOR(F.lit(k << 32)) for k, (i, j) in enumerate(pairs)))
+def block_coordinates(block: int) -> Column:
+    """The eight distances of a block less that to the base, a byte each: what the references say about this block alone."""
+    out = F.lit(0).cast("long")
+    for i in range(SETS):
+        out = out.bitwiseOR(F.shiftleft(coordinate(F.col(f"p{block}"), i) - F.col("p") + 64, 8 * i))
+    return out
+
+
+def bucket_keys() -> Column:
+    """Array of join keys: for each pair of blocks its number and the coordinates of both."""
+    pairs = [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
+    return F.array(*(F.struct(F.lit(k).alias("pair"), F.col(f"c{i}").alias("c1"), F.col(f"c{j}").alias("c2")) for k, (i, j) in enumerate(pairs)))
+
+
+def buckets(prints: DataFrame) -> DataFrame:
+    """The pivot table in buckets (pair, c1, c2) of two members at least, with their number n."""
+    table = pivot_table(prints).withColumns({f"c{k}": block_coordinates(k) for k in range(BLOCKS)})
+    routed = checkpointed(table.select("fp", "p", *(f"p{k}" for k in range(BLOCKS)), F.explode(bucket_keys()).alias("key")).select("*", "key.*").drop("key"))
+    sizes = checkpointed(routed.groupBy("pair", "c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return checkpointed(routed.join(sizes, ["pair", "c1", "c2"]))
+
+
+def bucket_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (x, y) of fingerprints of a bucket."""
+    same = (F.col("x.pair") == F.col("y.pair")) & (F.col("x.c1") == F.col("y.c1")) & (F.col("x.c2") == F.col("y.c2"))
+    return members.alias("x").join(members.alias("y"), same & (F.col("x.fp") < F.col("y.fp")))
+
+
+def within_reach() -> Column:
+    return F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= REACH
 
 
 def links(prints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all pairs within two bits."""
-    routed = checkpointed(pivot_table(prints).select("*", F.explode(block_keys()).alias("bucket")))
-    sizes = checkpointed(routed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = checkpointed(routed.join(sizes, "bucket"))
-    few = members.where(F.col("n") <= max_bucket).drop("n")
-    close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= REACH
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.fp") < F.col("y.fp")) & near_by_pivots("x", "y") & close)
+    members = buckets(prints)
+    pairs = bucket_pairs(members.where(F.col("n") <= max_bucket)).where(near_by_pivots("x", "y") & within_reach())
     many = members.where(F.col("n") > max_bucket).select("fp").distinct()
     flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)))
     named = many.select("fp", F.explode(flips).alias("name"))
@@ -121,6 +153,16 @@ def links(prints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).union(stars)
 
 
+def candidate_counts(df: DataFrame, key: str = "doc_id", text: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """One row: distinct fingerprints, pairs that meet in a bucket, those that the pivots leave, and those within reach (a pair counts in each of its buckets)."""
+    prints = checkpointed(fingerprints(df, key, text).select("fp").distinct())
+    members = buckets(prints)
+    met = bucket_pairs(members.where(F.col("n") <= max_bucket))
+    one = lambda c: F.count(F.when(c, 1))
+    counted = met.agg(F.count(F.lit(1)).alias("met"), one(near_by_pivots("x", "y")).alias("left_by_pivots"), one(within_reach()).alias("within_reach"))
+    return counted.withColumn("fingerprints", F.lit(prints.count()))
+
+
 def components(df: DataFrame, key: str = "doc_id", text: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links) of every row."""
     docs = checkpointed(fingerprints(df, key, text))

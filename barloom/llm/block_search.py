@@ -11,7 +11,7 @@ Blocks have a fixed number of vectors, so a tile needs the same memory at any si
 candidates.  The lists merged per query are k rows a tile, reduced before they are shuffled.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, neither as query nor as candidate;
-vectors of another length than the most usual query's are compared only with those of their own length; a repeated vec_id is a repeated
+vectors are compared only with those of their own length; other columns, whatever their names, are not read; a repeated vec_id is a repeated
 candidate, and a query never meets rows with its own id; repeated query rows are answered once (for the smallest vector, if they differ); ties fall to the smaller vec_id; an empty table gives an empty result.
 """
 
@@ -32,7 +32,11 @@ SLACK = 1e-5
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of the rows of a and b (float64), summed one component after the other, whatever the number of rows."""
+    """Cosines of the rows of a and b (float64), summed one component after the other, whatever the number of rows.
+
+    Rows are scaled by a power of two first, which changes no cosine and keeps squares from overflowing.
+    """
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (a, b))
     dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
         dot += x * y
@@ -109,12 +113,19 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return v.where(finite & F.exists("vector", lambda x: x != 0))
 
 
-def search(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", spread: int = 16) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest by cosine of every row whose id is divisible by ``every``."""
+def search(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", spread: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest by cosine of every row whose id is divisible by ``every``.
+
+    Candidate blocks are dealt to ``spread`` groups, each of which meets all queries: by default one for each candidate block, at most four
+    for each shuffle partition (a group beyond the number of tasks would only copy the queries once more).
+    """
     vectors = usable(df, key, vector)
+    if spread is None:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = max(16, min(-(-df.count() // CANDIDATE_BLOCK), 4 * tasks))
     # sorted, so that a task that runs again packs the same blocks
     asked = vectors.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
-    queries = packed(asked.repartition(spread, "id").sortWithinPartitions("id"), QUERY_BLOCK)
+    queries = packed(asked.repartition(min(spread, 64), "id").sortWithinPartitions("id"), QUERY_BLOCK)
     candidates = packed(vectors, CANDIDATE_BLOCK)
     # every query block meets every candidate block of its dimension: blocks, not rows, and dealt out by a salt
     left = candidates.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))

@@ -11,7 +11,7 @@ a message answers the latest earlier turn that it quotes at its lowest level; wi
 ``position`` counts it from 0.  Offers are aggregated to one row per hash before they are joined, only offers that are quoted
 at all are joined, and quotes of one popular passage are salted.
 
-Defined results: a null text is the empty text (no own text, no quotes); a null turn sorts first; repeated rows share their key and are ordered
+Defined results: very long messages are parsed in one pass over their lines; other columns, whatever their names, are not read; a null text is the empty text (no own text, no quotes); a null turn sorts first; repeated rows share their key and are ordered
 arbitrarily among themselves; a quote that nobody offers links to nothing and is still removed; an empty table gives an empty result.
 """
 
@@ -44,15 +44,14 @@ def lines_of(text: Column) -> Column:
 
 def passages_of(lines: Column) -> Column:
     """Array of struct(level, text): consecutive lines of one level, joined."""
-    kind = "array<struct<level: int, text: string>>"
+    level = lambda i: F.get(lines, i)["level"]
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["line"]).alias("text"))))
-        fresh = F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["line"].alias("text"))))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["level"] == x["level"]), grown).otherwise(fresh).cast(kind)
+    def passage(s: Column, i: Column, k: Column) -> Column:
+        inside = F.slice(lines, i + 1, F.coalesce(F.get(s, k + 1), F.size(lines)) - i)
+        return F.struct(level(i).alias("level"), F.array_join(F.transform(inside, lambda x: x["line"]), "\n").alias("text"))
 
-    return F.aggregate(lines, F.array().cast(kind), step)
+    return let(starts, lambda s: F.transform(s, lambda i, k: passage(s, i, k)))
 
 
 def pieces_of(text: Column) -> Column:
@@ -111,14 +110,8 @@ def reply_ordered(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     counts = links.groupBy("conv_id", "turn").agg(F.count("from_turn").alias("n_linked"))
     heads = checkpointed(inner.select("conv_id", F.col("turn").alias("head"), "p"))
     paths = checkpointed(_paths(heads))
-    # the branch of a message is that of the last linked turn up to it: carried over ranges of turns
-    at = F.floor(F.coalesce(F.col("turn"), F.lit(0)) / TURNS_PER_RANGE).cast("long")
-    marked = messages.join(heads.select("conv_id", F.col("head").alias("turn"), F.lit(True).alias("is_head")), ["conv_id", "turn"], "left").withColumn("at", at)
-    carried = heads.select("conv_id", "head", F.floor(F.col("head") / TURNS_PER_RANGE).cast("long").alias("at")).groupBy("conv_id", "at").agg(F.max("head").alias("last"))
-    ranges = marked.select("conv_id", "at").distinct().join(carried, ["conv_id", "at"], "left")
-    carry = ranges.select("conv_id", "at", F.max("last").over(Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
-    inside = Window.partitionBy("conv_id", "at").orderBy(F.col("turn").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    branch = marked.withColumn("local", F.max(F.when(F.col("is_head"), F.col("turn"))).over(inside)).alias("m").join(carry.alias("c"), F.col("m.conv_id").eqNullSafe(F.col("c.conv_id")) & F.col("m.at").eqNullSafe(F.col("c.at")), "left").select("m.*", F.coalesce("m.local", "c.carry").alias("head"))
+    # the branch of a message is that of the last linked turn up to it
+    branch = with_latest(messages, "turn", heads.select("conv_id", F.col("head").alias("value")), "head")
     keyed = branch.join(paths, ["conv_id", "head"], "left").withColumn("order_key", F.concat(F.coalesce("path", F.array().cast("array<bigint>")), F.array(F.coalesce("turn", F.lit(-1).cast("long")))))
     # position: ranges of the first element of the key, and rows within a range
     spot = F.floor(F.get("order_key", F.lit(0)) / TURNS_PER_RANGE).cast("long")
@@ -134,6 +127,26 @@ def reply_ordered(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     )
 
 
+def with_latest(rows: DataFrame, at: str, values: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the greatest value of their conversation up to their ``at`` (null sorts first): an as-of over ranges of turns.
+
+    ``values`` (conv_id, value) and the rows of a range are sorted together; what holds at the start of a range is carried
+    from the ranges before it, so a conversation of any length is many tasks and no pairs are made.
+    """
+    names = rows.columns
+    slot = lambda c: F.floor(F.coalesce(F.col(c), F.lit(0)) / TURNS_PER_RANGE).cast("long")
+    values = values.distinct().withColumn("__slot", slot("value"))
+    left = rows.select("conv_id", slot(at).alias("__slot"), F.col(at).cast("long").alias("__at"), F.lit(1).alias("__side"), F.struct(*(F.col(f"`{n}`") for n in names)).alias("__row"), F.lit(None).cast("long").alias("__value"))
+    right = values.select("conv_id", "__slot", F.col("value").alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.col("value").alias("__value"))
+    together = Window.partitionBy("conv_id", "__slot").orderBy(F.col("__at").asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = left.unionByName(right).withColumn("__local", F.max("__value").over(together)).where("__side = 1")
+    slots = left.select("conv_id", "__slot").distinct().join(values.groupBy("conv_id", "__slot").agg(F.max("value").alias("__last")), ["conv_id", "__slot"], "full")
+    before = F.max("__last").over(Window.partitionBy("conv_id").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1))
+    carry = slots.select("conv_id", "__slot", before.alias("__carry")).where("__carry IS NOT NULL")
+    joined = found.join(carry, ["conv_id", "__slot"], "left")
+    return joined.select(*(F.col("__row")[n].alias(n) for n in names), F.when(F.col("__at").isNotNull(), F.coalesce("__local", "__carry")).alias(name))
+
+
 def _paths(heads: DataFrame) -> DataFrame:
     """conv_id, head, path: the turns that the branch of a linked turn hangs on, outermost first.
 
@@ -142,8 +155,8 @@ def _paths(heads: DataFrame) -> DataFrame:
     """
     if heads.isEmpty():
         return heads.select("conv_id", "head", F.array("p").alias("path")).where("false")
-    up = heads.alias("h").join(heads.alias("g"), (F.col("h.conv_id") == F.col("g.conv_id")) & (F.col("g.head") <= F.col("h.p")), "left")
-    state = checkpointed(up.groupBy("h.conv_id", "h.head", "h.p").agg(F.max("g.head").alias("up")).select("conv_id", "head", "up", F.array("p").alias("path")))
+    up = with_latest(heads, "p", heads.select("conv_id", F.col("head").alias("value")), "up")
+    state = checkpointed(up.select("conv_id", "head", "up", F.array("p").alias("path")))
     while not state.where("up is not null").isEmpty():
         a, b = state.alias("a"), state.alias("b")
         state = checkpointed(

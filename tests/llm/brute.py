@@ -106,3 +106,63 @@ def warc_rows(pages: list[tuple[int, str | None]]) -> dict[int, tuple[int, str,
     for p, h in payloads.items():
         top[h] = max(p, top.get(h, p))
     return {p: (len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), "response" if top[h] == p else "revisit", None if top[h] == p else top[h]) for p, h in payloads.items()}
+
+
+def conversations(rows: list[tuple[int, int, str, str]]) -> dict[tuple[int, int], tuple]:
+    """(conv_id, turn) -> own_text, n_quotes, n_linked, reply_to_conv, reply_to_turn, order_key, position; turns of a conversation differ."""
+    normal = lambda t: re.sub(r"^[!-/:-@\[-`{-~\s]+|[!-/:-@\[-`{-~\s]+$", "", re.sub(r"[\s>]+", " ", t.lower()))
+
+    def pieces(text):
+        found = dict.fromkeys(normal(p) for p in [text, *re.split(r"\n\s*\n", text), *text.split("\n")])
+        return [p for p in found if p]
+
+    messages, offers = {}, {}
+    for conv, turn, _, text in rows:
+        passages: list[list] = []
+        for line in re.split("\r?\n", text):
+            mark = re.match(r"(?:> ?)*", line)[0]
+            if passages and passages[-1][0] == mark.count(">"):
+                passages[-1][1].append(line[len(mark) :])
+            else:
+                passages.append([mark.count(">"), [line[len(mark) :]]])
+        passages = [(level, "\n".join(lines)) for level, lines in passages]
+        quoted = any(level for level, _ in passages)
+        own = [t for level, t in passages if not level]
+        own_text = "\n".join(own).strip() if quoted else text
+        messages[conv, turn] = own_text, [(level, t) for level, t in passages if level and normal(t)]
+        for piece in {p for t in [own_text, *(own if quoted else ())] for p in pieces(t)}:
+            held = offers.setdefault(piece, {})
+            held[conv] = min(turn, held.get(conv, turn))
+    out, heads = {}, {}
+    for (conv, turn), (own_text, quotes) in messages.items():
+        found = []
+        for level, text in quotes:
+            votes: dict[tuple, list] = {}
+            for k, piece in enumerate(pieces(text)):
+                held = offers.get(piece, {})
+                if held.get(conv, turn) < turn:
+                    at = (conv, held[conv])
+                elif others := [c for c in sorted(held)[:2] if c != conv]:
+                    at = (others[0], held[others[0]])
+                else:
+                    continue
+                vote = votes.setdefault(at, [False, 0])
+                vote[0] |= k == 0
+                vote[1] += len(piece)
+            if votes:
+                found.append((level, *min(votes, key=lambda at: (not votes[at][0], at[0] != conv, -votes[at][1], at))))
+        inside = [(level, -t) for level, c, t in found if c == conv]
+        reply = (conv, -min(inside)[1]) if inside else min(found)[1:] if found else (None, None)
+        if inside:
+            heads[conv, turn] = reply[1]
+        out[conv, turn] = (own_text, len(quotes), len(found), *reply)
+
+    def path(conv, turn):
+        last = max((t for c, t in heads if c == conv and t <= turn), default=None)
+        return [] if last is None else [*path(conv, heads[conv, last]), heads[conv, last]]
+
+    keys = {at: [*path(*at), at[1]] for at in out}
+    for conv in {c for c, _ in out}:
+        for position, at in enumerate(sorted((a for a in keys if a[0] == conv), key=keys.get)):
+            out[at] += (keys[at], position)
+    return out

@@ -271,12 +271,35 @@ def test_warc(spark, tmp_path):
     warc.write_archives(warc.with_roles(df), path, segment=5000, records_per_file=7)
     read = {r.page_id: bytes(r.payload) for r in warc.reassembled(warc.read_archives(spark, path)).where("record_type = 'response'").collect()}
     assert all(read[p] == (h or "").encode() for p, _, h in pages if want[p][2] == "response")
+    # any reader of gzip files finds the records, each a member of its own
+    import gzip
+
+    files = sorted((tmp_path / "w").glob("*.warc.gz"))
+    assert len(files) > 1 and sum(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\nWARC-Type") for f in files) == warc.read_archives(spark, path).count()
+    assert all(f.read_bytes().startswith(b"\x1f\x8b") and gzip.decompress(f.read_bytes()).endswith(b"\r\n\r\n") for f in files)
+    other = tmp_path / "other"
+    other.mkdir()
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    made = [warc.record("warcinfo", "urn:uuid:0", b"software: x", []), warc.record("response", "urn:uuid:1", block, [("WARC-Payload-Digest", "sha1:" + warc.digest_of(b"hello"))])]
+    (other / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))
+    (other / "b.warc").write_bytes(b"".join(made))
+    assert [bytes(r.payload) for r in warc.reassembled(warc.read_archives(spark, str(other))).collect()] == [b"hello"] * 2
     lost = warc.read_archives(spark, path).where("number is null or number <> 2")
     with pytest.raises(Exception, match="segment is missing"):
         warc.reassembled(lost).collect()
     assert warc.digest(df.where("false")).count() == 0
 
 
+def test_warc_revisits_need_a_response(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "a", "x" * 50), (2, "b", "x" * 50)], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_archives(warc.with_roles(pages), path)
+    records = warc.read_archives(spark, path)
+    assert sorted(tuple(r) for r in warc.described(records).select("page_id", "record_type", "refers_to", "payload_bytes").collect()) == [(1, "revisit", 2, 50), (2, "response", None, 50)]
+    with pytest.raises(Exception, match="refers to no response"):
+        warc.described(records.where("kind = 'revisit'")).collect()
+
+
 def test_chunks():
     for size in (0, 1, 4095, 4096, 9000):
         assert warc.unchunked(warc.chunked(b"\r\n" * size)) == b"\r\n" * size
@@ -337,6 +360,43 @@ def test_quotation(spark):
     assert quotation.reply_ordered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def threads(seed: int, n: int) -> list[tuple[int, int, str, str]]:
+    """Conversations whose messages quote parts of earlier ones, of other conversations and of quotes, at several levels."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    rows: list[tuple[int, int, str, str]] = []
+    for conv in range(n):
+        for turn in range(rng.randint(1, 9)):
+            sentence = lambda: " ".join(rng.choices(words, k=rng.randint(2, 5))).capitalize() + rng.choice(".!?")
+            lines = []
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                pool = [r for r in rows if r[0] == conv] if rng.random() < 0.7 else rows
+                if pool:
+                    source = rng.choice(pool)[3].split("\n")
+                    a = rng.randrange(len(source))
+                    mark = rng.choice(["> ", ">", ">> ", "> > "])
+                    lines += [mark + x for x in source[a : a + rng.randint(1, 3)]]
+                    if rng.random() < 0.3:
+                        lines.append(">" + rng.choice(["", " nobody " + sentence()]))
+                lines += [sentence() for _ in range(rng.randint(0, 2))]
+            for _ in range(rng.randint(0, 3)):
+                lines += [sentence()] + [""] * rng.randint(0, 1)
+            rows.append((conv, turn * rng.choice([1, 1, 3]) + 20 * turn, rng.choice("ua"), "\n".join(lines)))
+    return rows
+
+
+@pytest.mark.parametrize("ranged", [4096, 25])
+def test_quotation_of_threads(spark, monkeypatch, ranged):
+    monkeypatch.setattr(quotation, "TURNS_PER_RANGE", ranged)
+    rows = threads(ranged, 200)
+    want = brute.conversations(rows)
+    got = quotation.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(want) == len(rows)
+    for r in got:
+        assert (r.own_text, r.n_quotes, r.n_linked, r.reply_to_conv, r.reply_to_turn, r.order_key, r.position) == want[r.conv_id, r.turn], (r.conv_id, r.turn)
+    assert sum(w[2] for w in want.values()) > 100 and max(len(w[5]) for w in want.values()) > 3
+
+
 def test_deep_reply_chains(spark):
     n = 40
     rows = [(1, 0, "u", "message number zero")] + [(1, t, "u", f"> message number {'zero' if t == 1 else t - 1}\nmessage number {t}") for t in range(1, n)]

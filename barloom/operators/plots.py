@@ -100,6 +100,34 @@ def copy(events: DataFrame, family: str, id_: str, new_id: str, seq: int) -> Dat
     return live(events.where((F.col("id") == id_) & (F.col("seq") <= seq)), family).select("family", "symbol", F.lit(new_id).alias("id"), F.lit(seq).cast("long").alias("seq"), F.lit("new").alias("op"), "attrs")
 
 
+def copied(events: DataFrame, family: str, wanted: DataFrame) -> DataFrame:
+    """Create events of copies: ``wanted`` has id, new_id and seq; a copy has the attributes that the object has at that moment."""
+    w = wanted.select("id", "new_id", F.col("seq").cast("long").alias("__at"))
+    before = events.where(F.col("family") == family).join(w, "id").where(F.col("seq") <= F.col("__at"))
+    objects = live(before.select("family", "symbol", F.col("new_id").alias("id"), "seq", "op", "attrs"), family)
+    return objects.drop("seq").join(w.select(F.col("new_id").alias("id"), F.col("__at").alias("seq")), "id").select("family", "symbol", "id", "seq", F.lit("new").alias("op"), "attrs")
+
+
+#: The attributes that a place sets, by family and corner (the first one: a label's only place, a box's left top).
+CORNERS = {("label", "first"): ("x", "y"), ("line", "first"): ("x1", "y1"), ("line", "second"): ("x2", "y2"), ("box", "first"): ("left", "top"), ("box", "second"): ("right", "bottom")}
+
+
+def set_place(df: DataFrame, family: str, id_: Column, seq: Column, x: Column | None = None, y: Column | None = None, corner: str = "first", point: Column | None = None) -> DataFrame:
+    """Both coordinates of a place at once, from two values or from a chart point (its index, or else its time)."""
+    across, up = CORNERS[family, corner]
+    if point is not None:
+        x, y = F.coalesce(point["index"], point["time"]), point["price"]
+    return update(df, family, id_, seq, **{across: x, up: y})
+
+
+def merge_cells(df: DataFrame, table_id: Column, start_column: int, start_row: int, end_column: int, end_row: int, seq: Column) -> DataFrame:
+    """Marks all cells of a rectangle but its first as merged into that one."""
+    first = F.concat_ws("/", table_id, F.lit(str(start_column)), F.lit(str(start_row)))
+    places = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(r).alias("r")) for c in range(start_column, end_column + 1) for r in range(start_row, end_row + 1) if (c, r) != (start_column, start_row)))
+    inside = df.select("*", first.alias("__first"), F.explode(places).alias("__place"))
+    return cell(inside, table_id, F.col("__place.c"), F.col("__place.r"), seq, merged_into=F.col("__first"))
+
+
 def cell(df: DataFrame, table_id: Column, column: Column, row: Column, seq: Column, **attrs: Column) -> DataFrame:
     """Set a table's cell; its id is that of the table with the place."""
     return _event(df, "cell", F.concat_ws("/", table_id, column.cast("string"), row.cast("string")), seq, "set", attrs)

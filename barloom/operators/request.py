@@ -34,7 +34,8 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_a
 def security(chart: DataFrame, requested: DataFrame, chart_timeframe: str, timeframe: str, values: list[str], other_symbol: bool = False, gaps: bool = False, timezone: str = "UTC") -> DataFrame:
     """Chart bars with values of the latest requested bar that has closed by the chart bar's close (lookahead off).
 
-    ``requested`` holds bars on ``timeframe`` with the values as columns; with ``other_symbol`` it is one symbol for all chart symbols.
+    ``requested`` holds bars on ``timeframe`` with the values as columns; with ``other_symbol`` it is one symbol for all chart symbols,
+    whose bars and the chart's distinct instants (a dimension of time, not of rows) are merged in one task.
     The request of the chart's own symbol and timeframe is a plain equi-join.
     """
     if not other_symbol and parse(timeframe) == parse(chart_timeframe):
@@ -42,11 +43,17 @@ def security(chart: DataFrame, requested: DataFrame, chart_timeframe: str, timef
         return chart.join(picked, ["symbol", "time"], "left")
     left = chart.withColumn("__close", bucket_end(F.col("time"), chart_timeframe, timezone))
     right = requested.withColumn("__end", bucket_end(F.col("time"), timeframe, timezone))
-    by = ["symbol"]
-    if other_symbol:
-        symbols = chart.select("symbol").distinct()
-        right = right.drop("symbol").join(F.broadcast(symbols) if symbols.count() <= 10_000 else symbols, how="cross") if "symbol" in right.columns else right.join(symbols, how="cross")
-    return asof(left, right, by, "__close", "__end", values, gaps).drop("__close")
+    if not other_symbol:
+        return asof(left, right, ["symbol"], "__close", "__end", values, gaps).drop("__close")
+    # the one symbol is merged with the distinct instants of the chart, and each bar looks its instant up
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    found = asof(one(left.select("__close").distinct()), one(right.withColumn("__last", F.col("__end"))), ["__one"], "__close", "__end", [*values, "__last"]).drop("__one")
+    out = left.join(found, "__close")
+    if gaps:
+        before = F.lag("__last").over(Window.partitionBy("symbol").orderBy("__close"))
+        out = out.withColumn("__fresh", F.col("__last").isNotNull() & ~F.col("__last").eqNullSafe(before))
+        out = out.withColumns({v: F.when(F.col("__fresh"), F.col(v)) for v in values})
+    return out.select(*(F.col(f"`{c}`") for c in chart.columns), *values)
 
 
 def own_timeframe(chart: DataFrame, chart_timeframe: str, timeframe: str, expressions: dict[str, Column], gaps: bool = False, **calendar) -> DataFrame:
@@ -91,14 +98,15 @@ def currency_rate(df: DataFrame, rates: DataFrame, from_currency: str, to_curren
     direct = (F.col("base") == from_currency) & (F.col("quote") == to_currency)
     inverse = (F.col("base") == to_currency) & (F.col("quote") == from_currency)
     used = rates.where(direct | inverse).select(F.col("time").alias("__rt"), F.when(direct, F.col("rate")).otherwise(F.try_divide(F.lit(1.0), F.col("rate"))).alias("rate"))
-    # the rates of one pair are a dimension, cut into validity spans; an equi-join on months keeps the range condition small
+    # per month of the data: the rate that holds at its start, and the rates inside it; rows meet the spans of their month only
     month = lambda c: F.date_trunc("month", c)
-    w = Window.orderBy("__rt")
-    spans = used.select("rate", F.col("__rt"), F.lead("__rt").over(w).alias("__until"))
-    last = F.coalesce(F.col("__until"), F.lit("2200-01-01").cast("timestamp"))
-    months = spans.withColumn("__m", F.explode(F.sequence(month(F.col("__rt")), F.least(month(last), month(F.current_timestamp()) + F.expr("INTERVAL 10 YEARS")), F.expr("INTERVAL 1 MONTH"))))
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    months = df.select(month(F.col(time)).alias("__m")).where("__m IS NOT NULL").distinct()
+    held = asof(one(months), one(used), ["__one"], "__m", "__rt", ["rate"]).where(F.col("rate").isNotNull()).select("__m", F.col("__m").alias("__rt"), "rate")
+    inside = used.select(month(F.col("__rt")).alias("__m"), "__rt", "rate").where(F.col("__rt") > F.col("__m"))
+    spans = held.unionByName(inside).withColumn("__until", F.lead("__rt").over(Window.partitionBy("__m").orderBy("__rt")))
     hit = (F.col("__t") >= F.col("__rt")) & (F.col("__until").isNull() | (F.col("__t") < F.col("__until"))) & (F.col("__dm") == F.col("__m"))
-    return df.withColumns({"__t": F.col(time), "__dm": month(F.col(time))}).join(months, hit, "left").select(*(F.col(c) for c in df.columns), "rate")
+    return df.withColumns({"__t": F.col(time), "__dm": month(F.col(time))}).join(spans, hit, "left").select(*(F.col(c) for c in df.columns), "rate")
 
 
 def unavailable(df: DataFrame, name: str, ignore_invalid_symbol: bool = False) -> DataFrame:

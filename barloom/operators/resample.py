@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +13,18 @@ from barloom.functions.timeframe import parse, validate_aggregation
 OHLCV = ("open", "high", "low", "close", "volume")
 
 
-def ticks_to_bars(ticks: DataFrame, timeframe: str, symbol: str, time: str, price: str, volume: str | None = None, order: list[str] | None = None, **calendar) -> DataFrame:
-    """Bars of prices; ``order`` breaks ties of time for open and close.  One shuffle, with partial aggregation before it."""
-    at = F.struct(*(F.col(c) for c in (time, *(order or [price]))))
+def instant(time: Column, order: Column) -> Column:
+    """One decimal that orders by time, then by a whole number: a struct would not fit the fixed-width buffers of a hash aggregate."""
+    wide = lambda c: c.cast("long").cast("decimal(38,0)")
+    return wide(F.unix_micros(time)) * F.lit(Decimal(2 * 10**19)) + wide(order) + F.lit(Decimal(2**63))
+
+
+def ticks_to_bars(ticks: DataFrame, timeframe: str, symbol: str, time: str, price: str, volume: str | None = None, order: Column | None = None, **calendar) -> DataFrame:
+    """Bars of prices; ``order`` (a whole number) breaks ties of time for open and close, the price does without it.
+
+    One shuffle, with partial aggregation before it; with ``order`` both are hash aggregates, so the ticks are never sorted.
+    """
+    at = instant(F.col(time), order) if order is not None else F.struct(time, price)
     size = F.sum(F.col(volume).cast("double")) if volume else F.count(F.lit(1)).cast("double")
     return (
         ticks.where(F.col(price).isNotNull() & ~F.isnan(F.col(price).cast("double")))

@@ -27,6 +27,7 @@ class Settings:
     process_orders_on_close: bool = False
     close_entries_rule: str = "FIFO"  # or ANY
     fill_limits_assumption: int = 0
+    currency: str = "USD"
 
 
 @dataclass
@@ -82,8 +83,9 @@ class Broker:
         self.s = settings
         self.orders: dict[tuple, Order] = {}
         self.open: list[Trade] = []
-        self.closed: list[Trade] = []
         self.fresh: list[Trade] = []
+        #: what the strategy records on a bar; a column of the bar's event
+        self.records: dict[str, float] = {}
         self.realised = self.fees = self.gross_profit = self.gross_loss = 0.0
         self.wins = self.losses = self.evens = self.margin_calls = self.serial = 0
         self.peak = self.trough = settings.initial_capital
@@ -182,14 +184,47 @@ class Broker:
         return sum(t.size * self.price * self.s.pointvalue * (self.s.margin_long if t.direction > 0 else self.s.margin_short) / 100 for t in self.open)
 
     def margin_liquidation_price(self) -> float:
-        """Price at which a margin call fires, on the tick grid; na without a position or margin."""
+        """Price at which a margin call fires, on the tick grid (down for long, up for short positions); na without a position or margin."""
         size = self.position_size
         ratio = (self.s.margin_long if size > 0 else self.s.margin_short) / 100
+        side = math.copysign(1, size)
         scale = abs(size) * self.s.pointvalue
-        if not size or not ratio or abs(side := math.copysign(1, size) - ratio) < 1e-12:
+        if not size or ratio <= 0 or scale * (side - ratio) == 0:
             return NAN
-        price = (math.copysign(1, size) * scale * self.position_avg_price - self.s.initial_capital - self.realised) / (scale * side)
-        return self.tick(price) if price > 0 else NAN
+        price = (side * scale * self.position_avg_price - self.s.initial_capital - self.realised) / (scale * (side - ratio))
+        ticks = round(price / self.s.mintick, 7)
+        return (math.floor(ticks) if size > 0 else math.ceil(ticks)) * self.s.mintick
+
+    def profit_of(self, t: Trade) -> float:
+        """Profit of an open trade at the last price, its entry's fee paid."""
+        return (self.price - t.entry_price) * t.direction * t.size * self.s.pointvalue - t.commission
+
+    def record(self, **values: float) -> None:
+        """Keep numbers of this bar in its event (column ``records``)."""
+        self.records |= {k: float(v) for k, v in values.items()}
+
+    def of_capital(self, value: float) -> float: return value / self.s.initial_capital * 100 if self.s.initial_capital else 0.0  # noqa: E704
+
+    closedtrades = property(lambda b: b.wins + b.losses + b.evens)
+    opentrades = property(lambda b: len(b.open))
+    wintrades = property(lambda b: b.wins)
+    losstrades = property(lambda b: b.losses)
+    eventrades = property(lambda b: b.evens)
+    initial_capital = property(lambda b: b.s.initial_capital)
+    netprofit = property(lambda b: b.realised)
+    grossprofit = property(lambda b: b.gross_profit)
+    #: the fees of open trades are losses already
+    grossloss = property(lambda b: b.gross_loss + sum(t.commission for t in b.open))
+    netprofit_percent = property(lambda b: b.of_capital(b.realised))
+    openprofit_percent = property(lambda b: b.of_capital(b.openprofit))
+    grossprofit_percent = property(lambda b: b.of_capital(b.grossprofit))
+    grossloss_percent = property(lambda b: b.of_capital(b.grossloss))
+    max_drawdown_percent = property(lambda b: b.of_capital(b.max_drawdown))
+    max_runup_percent = property(lambda b: b.of_capital(b.max_runup))
+    avg_trade = property(lambda b: b.realised / b.closedtrades if b.closedtrades else NAN)
+    avg_winning_trade = property(lambda b: b.gross_profit / b.wins if b.wins else NAN)
+    avg_losing_trade = property(lambda b: b.gross_loss / b.losses if b.losses else NAN)
+    account_currency = property(lambda b: b.s.currency)
 
     # -- fills -----------------------------------------------------------------------------------------------------
 
@@ -289,7 +324,6 @@ class Broker:
             self.realised += gain - fee
             net = gain - fee - entry_fee
             done = Trade(t.number, t.entry_id, t.direction, part, t.entry_price, t.entry_time, t.entry_bar, entry_fee + fee, t.entry_comment, t.original, max(runup, net), max(drawdown, -net), o.id, price, self.time, self.bar_index, comment or o.comment, net)
-            self.closed.append(done)
             self.fresh.append(done)
             self.wins, self.losses, self.evens = self.wins + (net > 0), self.losses + (net < 0), self.evens + (net == 0)
             self.gross_profit, self.gross_loss = self.gross_profit + max(net, 0.0), self.gross_loss + max(-net, 0.0)

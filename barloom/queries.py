@@ -443,19 +443,19 @@ def colors_and_tickers(spark, sf_dir):
 # -- arrays, maps, matrices --------------------------------------------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 2)) AS a FROM embeddings), s AS (SELECT *, list_sort(a) AS s, list_avg(a) AS m FROM e)
-SELECT vec_id, round(list_sum(a), 6) AS sum, round(m, 6) AS avg, s[len(s)] AS max, s[len(s) - 1] AS max1, s[1] AS min, round(s[len(s)] - s[1], 6) AS range, round(CASE WHEN len(s) % 2 = 1 THEN s[len(s) // 2 + 1] ELSE (s[len(s) // 2] + s[len(s) // 2 + 1]) / 2 END, 6) AS median, round(list_var_pop(a), 13) AS variance, round(list_stddev_samp(a), 6) AS stdev,
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings), s AS (SELECT *, list_sort(a) AS s, list_avg(a) AS m FROM e)
+SELECT vec_id, round(list_sum(a), 6) AS sum, round(m, 6) AS avg, s[len(s)] AS max, s[len(s) - 1] AS max1, s[1] AS min, round(s[len(s)] - s[1], 6) AS range, round(CASE WHEN len(s) % 2 = 1 THEN s[len(s) // 2 + 1] ELSE (s[len(s) // 2] + s[len(s) // 2 + 1]) / 2 END, 6) AS median, round(list_var_pop(a), 9) AS variance, round(list_stddev_samp(a), 6) AS stdev,
 len(list_filter(a, lambda x: abs(x - a[5]) <= 1e-10)) > 0 AS includes, list_position(a, a[5]) - 1 AS indexof, s[ceil(0.3 * len(s))::INT] AS nearest, round((len(list_filter(a, lambda x: x - a[4] <= 1e-10)) - 1) * 100.0 / (len(a) - 1), 6) AS percentrank, a[3:5] AS part, list_reverse(s)[1:2] AS top, len(list_filter(a, lambda x: x > 0)) = len(a) AS every, len(list_filter(a, lambda x: x > 0)) > 0 AS some,
-round(list_sum(list_transform(a, lambda x, i: (x - m) * (s[i] - m))) / len(a), 13) AS covariance, len(list_filter(s, lambda x: x <= a[6])) - 1 AS rightmost, len(a) AS size FROM s""")
+round(list_sum(list_transform(a, lambda x, i: (x - m) * (s[i] - m))) / len(a), 9) AS covariance, len(list_filter(s, lambda x: x <= a[6])) - 1 AS rightmost, len(a) AS size FROM s""")
 def array_functions(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 2)).alias("a"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     e = e.withColumn("s", arrays.sort(F.col("a")))
     a, s = F.col("a"), F.col("s")
     r = lambda x: F.round(x, 6)
     return e.select(
-        "vec_id", r(arrays.sum(a)).alias("sum"), r(arrays.avg(a)).alias("avg"), arrays.max(a).alias("max"), arrays.max(a, 1).alias("max1"), arrays.min(a).alias("min"), r(arrays.range(a)).alias("range"), r(arrays.median(a)).alias("median"), F.round(arrays.variance(a), 13).alias("variance"), r(arrays.stdev(a, False)).alias("stdev"),
+        "vec_id", r(arrays.sum(a)).alias("sum"), r(arrays.avg(a)).alias("avg"), arrays.max(a).alias("max"), arrays.max(a, 1).alias("max1"), arrays.min(a).alias("min"), r(arrays.range(a)).alias("range"), r(arrays.median(a)).alias("median"), F.round(arrays.variance(a), 9).alias("variance"), r(arrays.stdev(a, False)).alias("stdev"),
         arrays.includes(a, arrays.get(a, 4)).alias("includes"), arrays.indexof(a, arrays.get(a, 4)).alias("indexof"), arrays.percentile_nearest_rank(a, 30.0).alias("nearest"), r(arrays.percentrank(a, 3)).alias("percentrank"), arrays.slice(a, 2, 5).alias("part"), arrays.slice(arrays.sort(a, False), 0, 2).alias("top"),
-        arrays.every(F.transform(a, lambda x: x > 0)).alias("every"), arrays.some(F.transform(a, lambda x: x > 0)).alias("some"), F.round(arrays.covariance(a, s), 13).alias("covariance"), arrays.binary_search_rightmost(s, arrays.get(a, 5)).alias("rightmost"), arrays.size(a).alias("size"),
+        arrays.every(F.transform(a, lambda x: x > 0)).alias("every"), arrays.some(F.transform(a, lambda x: x > 0)).alias("some"), F.round(arrays.covariance(a, s), 9).alias("covariance"), arrays.binary_search_rightmost(s, arrays.get(a, 5)).alias("rightmost"), arrays.size(a).alias("size"),
     )
 
 
@@ -478,7 +478,7 @@ def map_functions(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings)
-SELECT vec_id, round(a * d - b * c, 6) AS det, round(a + d, 6) AS trace, [[a, c], [b, d]] AS transposed, [a, c] AS col0, [c, d] AS row1, 4 AS elements, round(a * a + b * c, 6) AS mult00, round(c * b + d * d, 6) AS mult11, round(d / (a * d - b * c), 4) AS inv00, greatest(a, b, c, d) AS max, round((a + b + c + d) / 4, 6) AS avg, [[c, d], [a, b]] AS swapped, [[d, c], [b, a]] AS reversed, [[a, b, c, d]] AS reshaped, round(a * d, 6) AS kron03,
+SELECT vec_id, round(a * d - b * c, 6) AS det, round(a + d, 6) AS trace, [[a, c], [b, d]] AS transposed, [a, c] AS col0, [c, d] AS row1, 4 AS elements, round(a * a + b * c, 6) AS mult00, round(c * b + d * d, 6) AS mult11, round(d / (a * d - b * c), 4) AS inv00, greatest(a, b, c, d) AS max, round((a + b + c + d) / 4, 6) AS avg, [[c, d], [a, b]] AS swapped, [[d, c], [b, a]] AS reversed, [[a, b, c, d]] AS reshaped, round(b * b, 6) AS kron03,
 b = c AS symmetric, true AS square, CASE WHEN a <= c THEN [[a, b], [c, d]] ELSE [[c, d], [a, b]] END AS sorted, round(a * a + b * c, 6) AS pow00, [[a + 1, b + 1], [c + 1, d + 1]] AS added, CASE WHEN abs(a * d - b * c) > 1e-9 THEN 2 ELSE 1 END AS rank FROM e""")
 def matrix_functions(spark, sf_dir):
     at = lambda i: F.get("embedding", F.lit(i)).cast("double")
@@ -487,7 +487,7 @@ def matrix_functions(spark, sf_dir):
     r = lambda x, d=6: F.round(x, d)
     return e.select(
         "vec_id", r(M.det(m)).alias("det"), r(M.trace(m)).alias("trace"), M.transpose(m).alias("transposed"), M.col(m, 0).alias("col0"), M.row(m, 1).alias("row1"), M.elements_count(m).alias("elements"), r(M.get(M.mult(m, m), 0, 0)).alias("mult00"), r(M.get(M.mult(m, m), 1, 1)).alias("mult11"), r(M.get(M.inv(m), 0, 0), 4).alias("inv00"), M.max(m).alias("max"), r(M.avg(m)).alias("avg"),
-        M.swap_rows(m, 0, 1).alias("swapped"), M.reverse(m).alias("reversed"), M.reshape(m, 1, 4).alias("reshaped"), r(M.get(M.kron(m, m), 0, 0) * 0 + M.get(m, 0, 0) * M.get(m, 1, 1)).alias("kron03"), M.is_symmetric(m).alias("symmetric"), M.is_square(m).alias("square"), M.sort(m, 0).alias("sorted"), r(M.get(M.pow(m, 2), 0, 0)).alias("pow00"), M.sum(m, 1.0).alias("added"), M.rank(m).alias("rank"),
+        M.swap_rows(m, 0, 1).alias("swapped"), M.reverse(m).alias("reversed"), M.reshape(m, 1, 4).alias("reshaped"), r(M.get(M.kron(m, m), 0, 3)).alias("kron03"), M.is_symmetric(m).alias("symmetric"), M.is_square(m).alias("square"), M.sort(m, 0).alias("sorted"), r(M.get(M.pow(m, 2), 0, 0)).alias("pow00"), M.sum(m, 1.0).alias("added"), M.rank(m).alias("rank"),
     )
 
 
@@ -568,12 +568,12 @@ def backtest_trades(spark, sf_dir):
 
 @query(f"""{REVERSAL}, g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY exit_time) - row_number() OVER (PARTITION BY symbol, sign(profit) ORDER BY exit_time) AS island FROM c), k AS (SELECT symbol, sign(profit) AS sg, island, count(*) AS n FROM g GROUP BY 1, 2, 3),
 mm AS (SELECT symbol, coalesce(max(n) FILTER (WHERE sg > 0), 0) AS wins, coalesce(max(n) FILTER (WHERE sg < 0), 0) AS losses FROM k GROUP BY 1)
-SELECT c.symbol, count(*) AS total_trades, count(*) FILTER (WHERE profit > 0) AS winning_trades, count(*) FILTER (WHERE profit < 0) AS losing_trades, round(sum(profit), 4) AS net_profit, round(coalesce(sum(profit) FILTER (WHERE profit > 0), 0), 4) AS gross_profit, round(-coalesce(sum(profit) FILTER (WHERE profit < 0), 0), 4) AS gross_loss,
-count(*) FILTER (WHERE side > 0) AS long_total_trades, round(max(profit) FILTER (WHERE profit > 0), 4) AS largest_winning_trade, round(avg(exit_bar - entry_bar), 4) AS avg_bars_in_trades, any_value(mm.wins) AS max_cons_winning_trades, any_value(mm.losses) AS max_cons_losing_trades FROM c JOIN mm USING (symbol) GROUP BY c.symbol""")
+SELECT c.symbol, count(*) AS total_trades, count(*) FILTER (WHERE profit > 0) AS winning_trades, count(*) FILTER (WHERE profit < 0) AS losing_trades, round(sum(profit) - coalesce(any_value(pending.fee), 0), 6) AS net_profit, round(coalesce(sum(profit) FILTER (WHERE profit > 0), 0), 6) AS gross_profit, round(-coalesce(sum(profit) FILTER (WHERE profit < 0), 0), 6) AS gross_loss,
+count(*) FILTER (WHERE side > 0) AS long_total_trades, round(max(profit) FILTER (WHERE profit > 0), 6) AS largest_winning_trade, round(avg(exit_bar - entry_bar), 6) AS avg_bars_in_trades, any_value(mm.wins) AS max_cons_winning_trades, any_value(mm.losses) AS max_cons_losing_trades FROM c JOIN mm USING (symbol) LEFT JOIN (SELECT symbol, sum(0.001 * price) AS fee FROM t WHERE exit_time IS NULL GROUP BY 1) pending USING (symbol) GROUP BY c.symbol""")
 def backtest_statistics(spark, sf_dir):
     s = backtest.statistics(reversal(spark, sf_dir))
     names = ("net_profit", "gross_profit", "gross_loss", "largest_winning_trade", "avg_bars_in_trades")
-    return s.select("symbol", "total_trades", "winning_trades", "losing_trades", "long_total_trades", "max_cons_winning_trades", "max_cons_losing_trades", *(F.round(n, 4).alias(n) for n in names))
+    return s.select("symbol", "total_trades", "winning_trades", "losing_trades", "long_total_trades", "max_cons_winning_trades", "max_cons_losing_trades", *(F.round(n, 6).alias(n) for n in names))
 
 
 @query()

@@ -151,7 +151,7 @@ def run(rows, on_bar, setup=None, **settings):
         on_bar(b, i)
         b.after_body(c)
         done += b.fresh
-    return b, b.closed
+    return b, done
 
 
 def test_market_orders_fill_at_the_next_open_with_slippage():

@@ -140,40 +140,51 @@ def is_stochastic(m: Column) -> Column:
 
 
 def _numeric(kind: str, f: Callable[[np.ndarray], object]) -> Callable[[Column], Column]:
-    """An Arrow function over dense matrices; null for null matrices and nulls inside."""
+    """An Arrow function over dense matrices, called once for all of one shape in a batch; null for null matrices, nulls inside and where ``f`` gives None."""
 
     def call(m: Column) -> Column:
         @F.pandas_udf(kind)
         def run(s: pd.Series) -> pd.Series:
-            def one(v):
-                if v is None:
-                    return None
-                a = np.array([np.asarray(r, np.float64) for r in v])
-                return None if not np.isfinite(a).all() else f(a)
-
-            return pd.Series([one(v) for v in s], dtype=object)
+            out: list[object] = [None] * len(s)
+            by_shape: dict[tuple, list[int]] = {}
+            dense = [None if v is None else np.array([np.asarray(r, np.float64) for r in v]) for v in s]
+            for i, a in enumerate(dense):
+                if a is not None and np.isfinite(a).all():
+                    by_shape.setdefault(a.shape, []).append(i)
+            for rows in by_shape.values():
+                for i, value in zip(rows, f(np.stack([dense[i] for i in rows])), strict=True):
+                    out[i] = value
+            return pd.Series(out, dtype=object)
 
         return run(m)
 
     return call
 
 
-def _eigenvalues(a: np.ndarray) -> list[float]:
-    if a.shape == (1, 1):
-        return [float(a[0, 0])]
-    if a.shape != (2, 2):
-        return []
-    half, det = (a[0, 0] + a[1, 1]) / 2, a[0, 0] * a[1, 1] - a[0, 1] * a[1, 0]
-    root = half * half - det
-    return [float(half + np.sqrt(root)), float(half - np.sqrt(root))] if root >= 0 else [float(half)] * 2
+def _eigenvalues(a: np.ndarray) -> list[list[float]]:
+    if a.shape[1:] == (1, 1):
+        return a[:, 0].tolist()
+    if a.shape[1:] != (2, 2):
+        return [[]] * len(a)
+    half, product = (a[:, 0, 0] + a[:, 1, 1]) / 2, a[:, 0, 0] * a[:, 1, 1] - a[:, 0, 1] * a[:, 1, 0]
+    root = np.sqrt(np.maximum(half * half - product, 0.0))
+    return np.stack((half + root, half - root), axis=1).tolist()
+
+
+def _inverse(a: np.ndarray) -> list[object]:
+    """Inverses; singular matrices have none."""
+    regular = np.linalg.det(a) != 0
+    out = np.zeros_like(a)
+    out[regular] = np.linalg.inv(a[regular])
+    return [m if ok else None for m, ok in zip(out.tolist(), regular.tolist(), strict=True)]
 
 
-det = _numeric("double", lambda a: float(np.linalg.det(a)))
-inv = _numeric(MATRIX, lambda a: np.linalg.inv(a).tolist())
+det = _numeric("double", lambda a: np.linalg.det(a).tolist())
+inv = _numeric(MATRIX, _inverse)
 pinv = _numeric(MATRIX, lambda a: np.linalg.pinv(a).tolist())
-rank = _numeric("int", lambda a: int(np.linalg.matrix_rank(a)))
+rank = _numeric("int", lambda a: np.linalg.matrix_rank(a).tolist())
 eigenvalues = _numeric("array<double>", _eigenvalues)
-eigenvectors = _numeric(MATRIX, lambda a: np.eye(len(a)).tolist())
+eigenvectors = _numeric(MATRIX, lambda a: [np.eye(a.shape[1]).tolist()] * len(a))
 
 
 def pow(m: Column, power: int) -> Column:  # noqa: A001

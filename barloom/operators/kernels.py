@@ -35,14 +35,19 @@ class Kernel:
         raise NotImplementedError
 
 
+BLOCK = 128
+
+
 class Smoothed(Kernel):
-    """Exponential average: seeded with the plain mean of the first n values; na bars are skipped."""
+    """Exponential average: seeded with the plain mean of the first n values; na bars are skipped.
 
-    def __init__(self, n: int):
-        self.n, self.count, self.total, self.value = int(n), 0, 0.0, NAN
+    The recurrence is v' = keep v + take x, so a block of values is one triangular product plus what is left of the value before it;
+    arrays are done block by block, and only the blocks follow one another.
+    """
 
-    def next(self, x: float) -> float:
-        raise NotImplementedError
+    def __init__(self, n: int, take: float):
+        self.n, self.take, self.keep = int(n), take, 1.0 - take
+        self.count, self.total, self.value = 0, 0.0, NAN
 
     def one(self, x: float) -> float:
         if x != x:
@@ -56,49 +61,92 @@ class Smoothed(Kernel):
                 return NAN
             self.value = self.total / self.n
             return self.value
-        self.value = self.next(x)
+        self.value = self.keep * self.value + self.take * x
         return self.value
 
+    def push(self, x: np.ndarray) -> np.ndarray:
+        if self.n == 1:
+            return x
+        out = np.full(len(x), NAN)
+        there = np.flatnonzero(x == x)
+        first = min(len(there), self.n - self.count)
+        out[there[:first]] = [self.one(v) for v in x[there[:first]].tolist()]
+        rest = x[there[first:]]
+        if len(rest):
+            lags = np.arange(BLOCK)
+            fade = self.keep ** (lags + 1.0)
+            mix = np.tril(self.take * self.keep ** np.maximum(lags[:, None] - lags, 0))
+            blocks = np.zeros(-(-len(rest) // BLOCK) * BLOCK)
+            blocks[: len(rest)] = rest
+            blocks = blocks.reshape(-1, BLOCK) @ mix.T
+            starts, value = np.empty(len(blocks)), self.value
+            for k, end in enumerate(blocks[:, -1].tolist()):
+                starts[k] = value
+                value = fade[-1] * value + end
+            blocks += starts[:, None] * fade
+            done = blocks.ravel()[: len(rest)]
+            out[there[first:]] = done
+            self.value = float(done[-1])
+        return out
+
 
 class Ema(Smoothed):
-    def next(self, x: float) -> float:
-        return self.value + 2.0 / (self.n + 1) * (x - self.value)
+    def __init__(self, n: int):
+        super().__init__(n, 2.0 / (int(n) + 1))
 
 
 class Rma(Smoothed):
-    def next(self, x: float) -> float:
-        return (self.value * (self.n - 1) + x) / self.n
+    def __init__(self, n: int):
+        super().__init__(n, 1.0 / int(n))
+
+
+class Composed(Kernel):
+    """A kernel given for whole arrays; one value is an array of one."""
+
+    def one(self, *values: float):
+        found = self.push(*(np.array([v], np.float64) for v in values))
+        return float(found[0]) if self.outputs == 1 else tuple(float(x[0]) for x in found)
+
 
+def moved(x: np.ndarray, before: float) -> np.ndarray:
+    """Each value's predecessor."""
+    return np.concatenate(([before], x[:-1]))
 
-class Rsi(Kernel):
+
+def quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, na over zero and over na."""
+    return np.divide(a, b, out=np.full(len(a), NAN), where=b != 0)
+
+
+class Rsi(Composed):
     def __init__(self, n: int):
         self.up, self.down, self.before = Rma(n), Rma(n), NAN
 
-    def one(self, x: float) -> float:
-        if x != x:
-            return NAN
-        before, self.before = self.before, x
-        if before != before:
-            return NAN
-        up, down = self.up.one(max(x - before, 0.0)), self.down.one(max(before - x, 0.0))
-        if up != up or down != down:
-            return NAN
-        return 100.0 if down == 0 else 100.0 - 100.0 / (1.0 + up / down)
+    def push(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), NAN)
+        there = np.flatnonzero(x == x)
+        if len(there):
+            y = x[there]
+            change = y - moved(y, self.before)
+            self.before = float(y[-1])
+            up, down = self.up.push(np.where(change > 0, change, 0 * change)), self.down.push(np.where(change < 0, -change, 0 * change))
+            out[there] = np.where(down == 0, 100.0 + 0 * up, 100.0 - 100.0 / (1.0 + quotient(up, down)))
+        return out
 
 
-class Macd(Kernel):
+class Macd(Composed):
     outputs = 3
 
     def __init__(self, fast: int, slow: int, signal: int):
         self.fast, self.slow, self.signal = Ema(fast), Ema(slow), Ema(signal)
 
-    def one(self, x: float):
-        line = self.fast.one(x) - self.slow.one(x)
-        signal = self.signal.one(line)
+    def push(self, x: np.ndarray):
+        line = self.fast.push(x) - self.slow.push(x)
+        signal = self.signal.push(line)
         return line, signal, line - signal
 
 
-class Dmi(Kernel):
+class Dmi(Composed):
     """From high, low and true range (na on the first bar): +DI, -DI, ADX."""
 
     outputs = 3
@@ -107,46 +155,48 @@ class Dmi(Kernel):
         self.range, self.plus, self.minus, self.adx = Rma(n), Rma(n), Rma(n), Rma(smoothing)
         self.high = self.low = NAN
 
-    def one(self, high: float, low: float, true_range: float):
-        up, down = high - self.high, self.low - low
-        self.high, self.low = high, low
-        missing = up != up or down != down
-        r = self.range.one(true_range)
-        p = self.plus.one(NAN if missing else (up if up - down > EPSILON and up > EPSILON else 0.0))
-        m = self.minus.one(NAN if missing else (down if down - up > EPSILON and down > EPSILON else 0.0))
-        if r != r or p != p or m != m or r == 0:
-            return NAN, NAN, NAN
-        p, m = 100 * p / r, 100 * m / r
-        return p, m, self.adx.one(abs(p - m) / ((p + m) or 1.0)) * 100
-
-
-class Tsi(Kernel):
+    def push(self, high: np.ndarray, low: np.ndarray, true_range: np.ndarray):
+        up, down = high - moved(high, self.high), moved(low, self.low) - low
+        if len(high):
+            self.high, self.low = float(high[-1]), float(low[-1])
+        missing = (up != up) | (down != down)
+        directed = lambda a, b: np.where(missing, NAN, np.where((a - b > EPSILON) & (a > EPSILON), a, 0.0))
+        spread = self.range.push(true_range)
+        plus, minus = (100 * quotient(k.push(directed(a, b)), spread) for k, a, b in ((self.plus, up, down), (self.minus, down, up)))
+        known = (plus == plus) & (minus == minus)
+        plus, minus = np.where(known, plus, NAN), np.where(known, minus, NAN)
+        total = plus + minus
+        return plus, minus, 100 * self.adx.push(np.abs(plus - minus) / np.where(total == 0, 1.0, total))
+
+
+class Tsi(Composed):
     def __init__(self, short: int, long: int):
         self.slow, self.fast = (Ema(long), Ema(long)), (Ema(short), Ema(short))
         self.before = NAN
 
-    def one(self, x: float) -> float:
-        move, self.before = x - self.before, x
-        if move != move:
-            return NAN
-        a, b = self.slow[0].one(move), self.slow[1].one(abs(move))
-        if a != a or b != b:
-            return NAN
-        a, b = self.fast[0].one(a), self.fast[1].one(b)
-        return a / b if b == b and b != 0 else NAN
+    def push(self, x: np.ndarray) -> np.ndarray:
+        move = x - moved(x, self.before)
+        if len(x):
+            self.before = float(x[-1])
+        a, b = (fast.push(slow.push(m)) for fast, slow, m in zip(self.fast, self.slow, (move, np.abs(move)), strict=True))
+        return quotient(a, b)
 
 
-class VolumeIndex(Kernel):
+class VolumeIndex(Composed):
     """Compounded return over bars whose volume rose (sign 1) or fell (sign -1), from 1."""
 
     def __init__(self, sign: int):
         self.sign, self.value, self.close, self.volume = sign, 1.0, NAN, NAN
 
-    def one(self, close: float, volume: float) -> float:
-        if (volume - self.volume) * self.sign > 0 and self.close and self.close == self.close and close == close:
-            self.value *= 1 + (close - self.close) / self.close
-        self.close, self.volume = close, volume
-        return self.value
+    def push(self, close: np.ndarray, volume: np.ndarray) -> np.ndarray:
+        if not len(close):
+            return close
+        before, volume_before = moved(close, self.close), moved(volume, self.volume)
+        change = quotient(close - before, before)
+        counts = ((volume - volume_before) * self.sign > 0) & (change == change)
+        out = np.cumprod(np.concatenate(([self.value], np.where(counts, 1 + change, 1.0))))[1:]
+        self.close, self.volume, self.value = float(close[-1]), float(volume[-1]), float(out[-1])
+        return out
 
 
 class Sar(Kernel):

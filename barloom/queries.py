@@ -335,13 +335,60 @@ def fold_bars(spark, sf_dir):
     return rounded(c.select(ha_open=o, ha_high=h, ha_low=low, ha_close=close, nvi=ta.nvi(c).map(ln), pvi=ta.pvi(c).map(ln)))
 
 
-@query()
-def fold_machines(spark, sf_dir):
-    """State machines: directional movement, stop and reverse, supertrend, seeded random numbers."""
+MOVES = f"""mv AS (SELECT *, high - lag(high) OVER ({OVER}) AS u, lag(low) OVER ({OVER}) - low AS d FROM dd), mp AS (SELECT *, CASE WHEN u - d > 1e-10 AND u > 1e-10 THEN u WHEN u IS NOT NULL THEN 0 END AS p, CASE WHEN d - u > 1e-10 AND d > 1e-10 THEN d WHEN d IS NOT NULL THEN 0 END AS m,
+CASE WHEN c1 IS NOT NULL THEN greatest(high - low, abs(high - c1), abs(low - c1)) END AS t, greatest(high - low, coalesce(abs(high - c1), 0), coalesce(abs(low - c1), 0)) AS t0 FROM mv)"""
+
+
+@query(f"""WITH RECURSIVE {BARS}, {DIFF}, {MOVES}, {smooth('r', 'mp', 't', 14, '(1.0::DOUBLE / 14)')}, {smooth('p', 'mp', 'p', 14, '(1.0::DOUBLE / 14)')}, {smooth('m', 'mp', 'm', 14, '(1.0::DOUBLE / 14)')},
+di AS (SELECT b.symbol, b.time, 100 * p_t.v / nullif(r_t.v, 0) AS plus, 100 * m_t.v / nullif(r_t.v, 0) AS minus FROM b LEFT JOIN r_t USING (symbol, time) LEFT JOIN p_t USING (symbol, time) LEFT JOIN m_t USING (symbol, time)), dx AS (SELECT *, abs(plus - minus) / CASE WHEN plus + minus = 0 THEN 1 ELSE plus + minus END AS x FROM di),
+{smooth('x', 'dx', 'x', 14, '(1.0::DOUBLE / 14)')} SELECT di.symbol, di.time, round(plus, 6) AS plus, round(minus, 6) AS minus, round(100 * x_t.v, 6) AS adx FROM di LEFT JOIN x_t USING (symbol, time)""")
+def fold_dmi(spark, sf_dir):
     c = hourly(spark, sf_dir)
     plus, minus, adx = ta.dmi(c, 14, 14)
+    return rounded(c.select(plus=plus, minus=minus, adx=adx))
+
+
+#: The stop and reverse as a recursion over bars: side, factor, stop and extreme of the bar before, and the two bars before.
+SAR = """w AS (SELECT symbol, time, n, high, low, lag(high) OVER v AS h1, lag(low) OVER v AS l1, lag(high, 2) OVER v AS h2, lag(low, 2) OVER v AS l2 FROM b WINDOW v AS (PARTITION BY symbol ORDER BY n)),
+s(symbol, n, up, af, sar, ep) AS (SELECT symbol, n, h1 <= high, 0.02::DOUBLE, CASE WHEN h1 <= high THEN l1 ELSE h1 END, CASE WHEN h1 <= high THEN high ELSE low END FROM w WHERE n = 2 UNION ALL
+SELECT symbol, n, CASE WHEN turned THEN NOT up ELSE up END, CASE WHEN turned THEN 0.02 WHEN up AND high > ep OR NOT up AND low < ep THEN least(af + 0.02, 0.2) ELSE af END,
+CASE WHEN turned AND up THEN greatest(ep, high, h1, h2) WHEN turned THEN least(ep, low, l1, l2) WHEN up THEN least(x, l1, l2) ELSE greatest(x, h1, h2) END, CASE WHEN turned AND up THEN low WHEN turned THEN high WHEN up THEN greatest(ep, high) ELSE least(ep, low) END
+FROM (SELECT w.*, s.up, s.af, s.ep, s.sar + s.af * (s.ep - s.sar) AS x, CASE WHEN s.up THEN w.low <= s.sar + s.af * (s.ep - s.sar) ELSE w.high >= s.sar + s.af * (s.ep - s.sar) END AS turned FROM s JOIN w ON w.symbol = s.symbol AND w.n = s.n + 1))"""
+
+
+@query(f"WITH RECURSIVE {BARS}, {SAR} SELECT b.symbol, b.time, round(s.sar, 6) AS sar FROM b LEFT JOIN s USING (symbol, n)")
+def fold_sar(spark, sf_dir):
+    c = hourly(spark, sf_dir)
+    return rounded(c.select(sar=ta.sar(c)))
+
+
+#: Bands around the middle, each kept while it would move away from the price; the line is the band of the current direction.
+SUPERTREND = """k AS (SELECT d.symbol, d.n, (high + low) / 2 + 3 * a_t.v AS up0, (high + low) / 2 - 3 * a_t.v AS lo0, d.close, row_number() OVER (PARTITION BY d.symbol ORDER BY d.n) AS i FROM mp d JOIN a_t USING (symbol, time) WHERE a_t.v IS NOT NULL),
+st(symbol, i, n, lo, up, close, way, line) AS (SELECT symbol, i, n, lo0, up0, close, 1, up0 FROM k WHERE i = 1 UNION ALL SELECT symbol, i, n, lo, up, close, way, CASE WHEN way = 1 THEN up ELSE lo END FROM (SELECT *, CASE WHEN was_up THEN CASE WHEN close > up THEN -1 ELSE 1 END ELSE CASE WHEN close < lo THEN 1 ELSE -1 END END AS way
+FROM (SELECT k.symbol, k.i, k.n, k.close, CASE WHEN k.lo0 > st.lo OR st.close < st.lo THEN k.lo0 ELSE st.lo END AS lo, CASE WHEN k.up0 < st.up OR st.close > st.up THEN k.up0 ELSE st.up END AS up, st.line = st.up AS was_up FROM st JOIN k ON k.symbol = st.symbol AND k.i = st.i + 1)))"""
+
+
+@query(f"""WITH RECURSIVE {BARS}, {DIFF}, {MOVES}, {smooth('a', 'mp', 't0', 10, '(1.0::DOUBLE / 10)')}, {SUPERTREND} SELECT b.symbol, b.time, CASE WHEN b.n = 1 THEN 0.0 ELSE round(st.line, 6) END AS line, CASE WHEN st.way IS NULL THEN 1.0 ELSE st.way::DOUBLE END AS direction FROM b LEFT JOIN st ON st.symbol = b.symbol AND st.n = b.n""")
+def fold_supertrend(spark, sf_dir):
+    c = hourly(spark, sf_dir)
     line, way = ta.supertrend(c, 3.0, 10)
-    return c.select(plus=plus, minus=minus, adx=adx, sar=ta.sar(c), supertrend=line, direction=way, random=ta.random(c, seed=7))
+    return rounded(c.select(line=line, direction=way))
+
+
+@query(f"""WITH RECURSIVE {BARS}, g(i, s) AS (SELECT 0::BIGINT, xor(7::HUGEINT, 25214903917::HUGEINT) UNION ALL SELECT i + 1, (s * 25214903917 + 11) % 281474976710656 FROM g WHERE i < 2 * (SELECT max(n) FROM b)),
+v AS (SELECT a.i // 2 + 1 AS n, ((a.s >> 22) * 134217728 + (z.s >> 21))::DOUBLE / 9007199254740992 AS random FROM g a JOIN g z ON z.i = a.i + 1 WHERE a.i % 2 = 1) SELECT symbol, time, round(random, 9) AS random FROM b JOIN v USING (n)""")
+def fold_random(spark, sf_dir):
+    """Seeded random numbers, the same for every symbol."""
+    c = hourly(spark, sf_dir)
+    return rounded(c.select(random=ta.random(c, seed=7)), 9)
+
+
+@query(f"""WITH RECURSIVE {BARS}, h(symbol, n, o, c) AS (SELECT symbol, n, (open + close) / 2, (open + high + low + close) / 4 FROM b WHERE n = 1 UNION ALL SELECT b.symbol, b.n, (h.o + h.c) / 2, (b.open + b.high + b.low + b.close) / 4 FROM h JOIN b ON b.symbol = h.symbol AND b.n = h.n + 1)
+SELECT b.symbol, b.time, round(h.o, 6) AS ha_open, round(greatest(b.high, h.o, h.c), 6) AS ha_high, round(least(b.low, h.o, h.c), 6) AS ha_low, round(h.c, 6) AS ha_close FROM b JOIN h USING (symbol, n)""")
+def fold_heikinashi(spark, sf_dir):
+    c = hourly(spark, sf_dir)
+    o, h, low, close = ta.heikinashi(c)
+    return rounded(c.select(ha_open=o, ha_high=h, ha_low=low, ha_close=close))
 
 
 @query(f"""WITH RECURSIVE {BARS}, f(symbol, n, v) AS (SELECT symbol, n, close FROM b WHERE n = 1 UNION ALL SELECT b.symbol, b.n, 0.9::DOUBLE * f.v + 0.1::DOUBLE * b.close FROM f JOIN b ON b.symbol = f.symbol AND b.n = f.n + 1) SELECT b.symbol, b.time, round(f.v, 6) AS smoothed FROM b JOIN f USING (symbol, n)""")
@@ -640,12 +687,13 @@ def drawings(spark, sf_dir):
     return left.select("symbol", "id", plots.attribute(left, "y").alias("y"), plots.attribute(left, "color").alias("color"))
 
 
-@query()
+@query(f"""WITH {BARS}, r AS (SELECT symbol, n AS seq, '{{"type":"bar","time":' || epoch_ms(time) || ',"values":{{"sma":' || CASE WHEN n >= 20 THEN round(avg(close) {last(20)}, 4)::VARCHAR ELSE 'null' END || '}}}}' AS value FROM b), s AS (SELECT DISTINCT symbol FROM b)
+SELECT * FROM r UNION ALL SELECT symbol, -1, '{{"type": "hdr", "version": 1}}' FROM s UNION ALL SELECT symbol, 0, '{{"type": "meta", "plots": [{{"kind": "plot", "title": "sma", "color": "blue"}}, {{"kind": "hline", "price": 50.0, "title": "middle"}}]}}' FROM s UNION ALL SELECT symbol, 4611686018427387904, '{{"type": "end"}}' FROM s""")
 def ndjson(spark, sf_dir):
     """Plot records as JSON lines."""
     c = hourly(spark, sf_dir)
     p = plots.Plots()
-    p.plot(ta.sma(c.close, 20), "sma", color="blue")
+    p.plot(ta.sma(c.close, 20).map(lambda x: F.round(x, 4)), "sma", color="blue")
     p.hline(50.0, "middle")
     return plots.ndjson(c.select(**p.columns), p)
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom import engine
-from barloom.operators import backtest, ta
+from barloom.operators import backtest, resample, ta
 from barloom.operators.simulator import LONG, SHORT, Settings
 from barloom.plans.series import Chart
-from barloom.queries import CROSS, OVER, REVERSAL, TICK, query
+from barloom.queries import BARS, CROSS, OVER, REVERSAL, TICK, query
 from barloom.sources import bars as sources
 
 def off_ties(sql: str) -> str:
@@ -204,3 +204,74 @@ def account_currency(spark, sf_dir):
     c = Chart(sources.from_events(spark, sf_dir, "60"))
     df = c.select(keep=("close",), i=c.bar_index).withColumn("rate", F.lit(1) + (F.col("i") + 1) / 1000.0)
     return df.select("symbol", "time", F.round(backtest.convert(F.col("close"), F.col("rate")), 6).alias("account"), F.round(backtest.convert(F.col("close"), F.col("rate"), to_account=False), 6).alias("back"))
+
+
+# -- orders inside the bar ------------------------------------------------------------------------------------------------
+
+
+def walked(bars: str, entry: str, leave: str, last: str = "true") -> str:
+    """SQL of a strategy that keeps one entry order while it is flat and one bracket on the position, as a recursion over the path of the bars.
+
+    ``bars`` has symbol, n, time, open, high, low, close and level (the entry's price as set after the last path bar of a bar, for which ``last`` holds).
+    A bar is four steps: its open, and the legs to its nearer and its farther extreme and to its close.  ``entry`` is 'stop' (filled going up) or 'limit' (going down);
+    ``leave`` gives the columns up_exit (a price above, from e) and down_exit (below, from e and mark), null for none; mark is the trailing high once armed.
+    """
+    t = lambda x: f"round({TICK(x)}, 12)"
+    reached = "a >= s_level" if entry == "stop" else "a <= s_level"
+    crossed = "z >= a AND a < s_level AND z >= s_level" if entry == "stop" else "z <= a AND a > s_level AND z <= s_level"
+    return f"""pb AS (SELECT symbol, n, time, level, {last} AS closes, {t('open')} AS o, {t('high')} AS h, {t('low')} AS l, {t('close')} AS c FROM {bars}),
+pp AS (SELECT *, CASE WHEN h - o < o - l THEN h ELSE l END AS p1, CASE WHEN h - o < o - l THEN l ELSE h END AS p2 FROM pb),
+legs AS (SELECT symbol, n, time, level, closes, s, (n - 1) * 4 + s AS i, CASE s WHEN 0 THEN o WHEN 1 THEN o WHEN 2 THEN p1 ELSE p2 END AS a, CASE s WHEN 0 THEN o WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE c END AS z FROM pp, (VALUES (0), (1), (2), (3)) v(s)),
+st(symbol, i, pos, e, e_time, mark, s_level, out_price, x_e, x_time, time) AS (SELECT symbol, -1::BIGINT, false, NULL::DOUBLE, NULL::TIMESTAMP, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::TIMESTAMP, NULL::TIMESTAMP FROM (SELECT DISTINCT symbol FROM pb) UNION ALL
+SELECT symbol, i, pos AND out_price IS NULL, CASE WHEN out_price IS NULL THEN e END, CASE WHEN out_price IS NULL THEN e_time END, CASE WHEN pos AND out_price IS NULL THEN mark END, CASE WHEN s = 3 AND closes AND NOT (pos AND out_price IS NULL) THEN level WHEN came THEN NULL ELSE s_level END, out_price, e, e_time, time
+FROM (SELECT *, CASE WHEN NOT pos THEN NULL WHEN s = 0 AND was AND (a >= up_exit OR a <= down_exit) THEN a WHEN s > 0 AND z >= a AND z >= up_exit THEN {t('up_exit')} WHEN s > 0 AND z < a AND z <= down_exit THEN {t('down_exit')} END AS out_price
+FROM (SELECT *, {leave} FROM (SELECT *, CASE WHEN pos THEN {{mark}} END AS mark FROM (SELECT symbol, i, s, a, z, level, closes, time, s_level, was, came, mark0, was OR came AS pos, CASE WHEN was THEN e0 WHEN came AND s = 0 THEN {t('a')} WHEN came THEN {t('s_level')} END AS e, CASE WHEN was THEN t0 WHEN came THEN time END AS e_time
+FROM (SELECT *, NOT was AND s_level IS NOT NULL AND (s = 0 AND {reached} OR s > 0 AND {crossed}) AS came FROM (SELECT legs.*, st.pos AS was, st.e AS e0, st.e_time AS t0, st.mark AS mark0, st.s_level FROM st JOIN legs ON legs.symbol = st.symbol AND legs.i = st.i + 1)))))))"""
+
+
+_TRADES = "SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS ordinal, round(x_e + 3e-9, 5) AS entry_price, x_time AS entry_time, round(out_price + 3e-9, 5) AS exit_price, time AS exit_time, round(out_price - x_e + 3e-9, 5) AS profit FROM st WHERE out_price IS NOT NULL"
+_BRACKET = "e + {profit} AS up_exit, e - {loss} AS down_exit"
+
+
+def exits(events: DataFrame) -> DataFrame:
+    t = backtest.closed_trades(events)
+    return t.select("symbol", "ordinal", settled("entry_price", 5), "entry_time", settled("exit_price", 5), "exit_time", settled("profit", 5))
+
+
+@query(f"WITH RECURSIVE {BARS}, lv AS (SELECT *, high AS level FROM b), {walked('lv', 'stop', _BRACKET.format(profit='5.0', loss='3.0')).replace('{mark}', 'NULL')} {_TRADES}")
+def orders_stop_and_bracket(spark, sf_dir):
+    """A stop entry above the last bar, cancelling a limit order of its group, and a bracket in ticks."""
+
+    def on_bar(broker, bar):
+        if not broker.open:
+            broker.entry("L", LONG, stop=bar["high"], oca_name="in", oca_type="cancel")
+            broker.entry("never", LONG, limit=-1.0, oca_name="in", oca_type="cancel")
+        broker.exit("X", "L", profit=500, loss=300)
+
+    return exits(backtest.backtest(sources.from_events(spark, sf_dir, "60"), on_bar, Settings()))
+
+
+@query(f"WITH RECURSIVE {BARS}, lv AS (SELECT *, low AS level FROM b), {walked('lv', 'limit', 'NULL::DOUBLE AS up_exit, mark - 2.0 AS down_exit').replace('{mark}', 'CASE WHEN mark0 IS NOT NULL THEN greatest(mark0, CASE WHEN came THEN e ELSE a END, z) WHEN greatest(CASE WHEN came THEN e ELSE a END, z) >= e + 3.0 THEN greatest(CASE WHEN came THEN e ELSE a END, z) END')} {_TRADES}")
+def orders_limit_and_trail(spark, sf_dir):
+    """A limit entry below the last bar, and a stop that trails by 2.00 once the price is 3.00 above the entry."""
+
+    def on_bar(broker, bar):
+        if not broker.open:
+            broker.cancel_all()
+            broker.entry("L", LONG, limit=bar["low"])
+        broker.exit("T", "L", trail_points=300, trail_offset=200)
+
+    return exits(backtest.backtest(sources.from_events(spark, sf_dir, "60"), on_bar, Settings()))
+
+
+@query(f"""WITH RECURSIVE {BARS}, d AS (SELECT *, date_trunc('day', time)::TIMESTAMP AS day FROM b), lv AS (SELECT symbol, n, day AS time, open, high, low, close, min(low) OVER (PARTITION BY symbol, day) AS level, n = max(n) OVER (PARTITION BY symbol, day) AS ends FROM d), {walked('lv', 'limit', _BRACKET.format(profit='20.0', loss='20.0'), 'ends').replace('{mark}', 'NULL')} {_TRADES}""")
+def orders_magnified(spark, sf_dir):
+    """Daily bars whose limit entries and brackets fill along their hourly bars."""
+    day = resample.resample(sources.from_events(spark, sf_dir, "60"), "1D", "60", keep_list=True)
+
+    def on_bar(broker, bar):
+        if not broker.open:
+            broker.entry("L", LONG, limit=bar["low"])
+        broker.exit("X", "L", profit=2000, loss=2000)
+
+    return exits(backtest.backtest(day, on_bar, Settings(), sub_bars="sub_bars"))

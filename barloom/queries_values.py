@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import arrays as A
 from barloom.functions import maps, na, ticker, timeframe
 from barloom.functions import matrices as M
 from barloom.functions import time as ftime
-from barloom.operators import plots, request, resample, ta
-from barloom.plans.series import Chart
+from barloom.operators import request, resample, ta
 from barloom.queries import BARS, OVER, hourly, query, table
 from barloom.sources import bars as sources
 
@@ -218,6 +218,33 @@ def detected_formats(spark, sf_dir):
     return spark.createDataFrame([(n, sources.detect(n, head)) for n, head in rows], "file string, kind string")
 
 
+def recorded(df, encode, **_):
+    """Bars of each symbol encoded as one binary file, and decoded again."""
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            for symbol, listed in zip(frame["symbol"], frame["bars"], strict=True):
+                c = sources.decode_records(encode([(int(b["t"]), b["open"], b["high"], b["low"], b["close"], b["volume"]) for b in listed]))
+                yield pd.DataFrame({"symbol": symbol, "t": c["time"], **{n: c[n] for n in COLUMNS[2:]}})
+
+    files = df.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(F.unix_millis("time").alias("t"), *COLUMNS[2:]))).alias("bars"))
+    back = files.mapInPandas(run, "symbol string, t long, open double, high double, low double, close double, volume double")
+    return back.select("symbol", F.timestamp_millis("t").alias("time"), *COLUMNS[2:])
+
+
+@query(_ALL)
+def binary_records(spark, sf_dir):
+    """Version 2 files keep all digits."""
+    return recorded(sources.from_events(spark, sf_dir, "60"), sources.encode_records)
+
+
+@query(f"WITH {BARS} SELECT symbol, time, {', '.join(f'{c}::FLOAT::DOUBLE AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM b")
+def legacy_records(spark, sf_dir):
+    """Version 1 files hold float32."""
+    return recorded(sources.from_events(spark, sf_dir, "60"), sources.encode_legacy)
+
+
 class Ramp(sources.Provider):
     """Prices that rise or fall by one an hour."""
 
@@ -238,6 +265,43 @@ def provided_bars(spark, sf_dir):
     return spark.read.format("bars").option("provider", "barloom.queries_values:Ramp").option("start", str(2 * 3_600_000)).option("end", str(30 * 3_600_000)).load()
 
 
+# -- streams ---------------------------------------------------------------------------------------------------------------
+
+
+def updates(spark, sf_dir):
+    """A stream of bar updates in three files: the first half of the bars, each as it opens and as it closes; late and repeated ones with wrong prices; the other half."""
+    from barloom.streaming import live
+
+    b = sources.from_events(spark, sf_dir, "60").withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("time")))
+    forming = b.select("symbol", "time", F.col("open").alias("close"), F.lit(False).alias("is_closed"), "n")
+    all_ = b.select("symbol", "time", "close", F.lit(True).alias("is_closed"), "n").unionByName(forming)
+    late = b.where("n <= 50").select("symbol", "time", (F.col("close") * 100).alias("close"), F.lit(True).alias("is_closed"), "n")
+    path = shared_folder(spark)
+    for part in (all_.where("n <= 100"), late, all_.where("n > 100")):
+        part.drop("n").coalesce(1).write.mode("append").parquet(path)
+    return live.replay(spark, path, spark.read.parquet(path).schema)
+
+
+@query(f"""WITH {BARS}, c AS (SELECT *, lag(close) OVER ({OVER}) AS c1, lag(close, 2) OVER ({OVER}) AS c2 FROM b) SELECT symbol, time, true AS is_confirmed, round((close + c1 + c2) / 3, 6) AS mean FROM c UNION ALL SELECT symbol, time, false, round((open + c1 + c2) / 3, 6) FROM c""")
+def stream_updates(spark, sf_dir):
+    """A mean of three closed bars over a stream: forming bars give provisional rows, late and repeated updates none."""
+    from barloom.queries import _drained
+    from barloom.streaming import live
+
+    found = _drained(live.rolling(updates(spark, sf_dir), 3, "close", lambda v: sum(v) / len(v), "mean"), "append")
+    return found.select("symbol", "time", "is_confirmed", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT event_type AS symbol, date_trunc('week', ts)::TIMESTAMP AS time, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2")
+def stream_weeks(spark, sf_dir):
+    """Bars of calendar weeks of a stream of ticks."""
+    from barloom.queries import _drained
+    from barloom.streaming import live
+
+    ticks = live.replay(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").schema, pattern="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _drained(live.bucket_bars(ticks, "1W", "event_type", "ts", "value"), "complete")
+
+
 # -- branches and loops ---------------------------------------------------------------------------------------------------
 
 

@@ -209,6 +209,11 @@ def encode_records(bars: list[tuple[int, float, float, float, float, float]], se
     return head + described + np.array(bars, kind).tobytes()
 
 
+def encode_legacy(bars: list[tuple[int, float, float, float, float, float]]) -> bytes:
+    """A version 1 file of (time ms, open, high, low, close, volume): whole seconds and float32."""
+    return b"".join(struct.pack(LEGACY_RECORD, t // 1000, *values) for t, *values in bars)
+
+
 def read_records(spark: SparkSession, path: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
     """Bars of binary files through Spark's own file access; the symbol is the file's name."""
     import numpy as np

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -56,7 +57,7 @@ def indicator(updates: DataFrame, kernel: Callable[[], Any], inputs: list[str],
         if state.hasTimedOut:
             if row is not None:
                 out.append((key[0], last, False, *values(current.peek(*row))))
-            state.remove() if row is None else state.update((pickle.dumps(held),))
+            state.remove() if row is None else state.update((cloudpickle.dumps(held),))
         else:
             updates = pd.concat(list(frames)).sort_values(["time", "is_closed"], kind="stable")
             for u in updates.itertuples(index=False):
@@ -69,7 +70,7 @@ def indicator(updates: DataFrame, kernel: Callable[[], Any], inputs: list[str],
                     last, row = at, x
                 else:
                     out.append((key[0], at, False, *values(current.peek(*x))))
-            state.update((pickle.dumps((last, current, row)),))
+            state.update((cloudpickle.dumps((last, current, row)),))
             if idle_after_ms:
                 state.setTimeoutDuration(idle_after_ms)
         yield pd.DataFrame(out, columns=["symbol", "time", "is_confirmed", *outputs])
@@ -83,19 +84,22 @@ def replay(spark: Any, directory: str, schema: Any, files_per_trigger: int = 1,
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", pattern).parquet(directory)
 
 
-def rolling(updates: DataFrame, n: int, column: str, function: Callable[[list[float]], float], output: str) -> DataFrame:
-    """A function of the last n closed values, as a ring buffer in the state (streams have no row windows)."""
+class Ring:
+    """A function of the last n values."""
+
+    def __init__(self, n: int, function: Callable[[list[float]], float]) -> None:
+        self.n, self.function, self.values = n, function, []
 
-    class Ring:
-        def __init__(self) -> None:
-            self.values: list[float] = []
+    def peek(self, x: float) -> float:
+        held = [*self.values, x][-self.n :]
+        return self.function(held) if len(held) == self.n else float("nan")
 
-        def one(self, x: float) -> float:
-            self.values = [*self.values, x][-n:]
-            return function(self.values) if len(self.values) == n else float("nan")
+    def one(self, x: float) -> float:
+        out = self.peek(x)
+        self.values = [*self.values, x][-self.n :]
+        return out
 
-        def peek(self, x: float) -> float:
-            held = [*self.values, x][-n:]
-            return function(held) if len(held) == n else float("nan")
 
-    return indicator(updates, Ring, [column], [output])
+def rolling(updates: DataFrame, n: int, column: str, function: Callable[[list[float]], float], output: str) -> DataFrame:
+    """A function of the last n closed values, as a ring buffer in the state (streams have no row windows)."""
+    return indicator(updates, lambda: Ring(n, function), [column], [output])

@@ -9,9 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.ticker import HEIKIN_ASHI
 from barloom.functions.time import bucket, bucket_end
 from barloom.functions.timeframe import parse
+from barloom.operators import ta
 from barloom.operators.resample import developing, resample
+from barloom.plans.series import Chart
+
+PRICES = ("open", "high", "low", "close")
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, values: list[str], gaps: bool = False) -> DataFrame:
@@ -63,6 +68,32 @@ def own_timeframe(chart: DataFrame, chart_timeframe: str, timeframe: str, expres
     return security(chart, named, chart_timeframe, timeframe, list(expressions), gaps=gaps)
 
 
+def heikinashi(bars: DataFrame) -> DataFrame:
+    """Averaged bars (Heikin-Ashi) in place of the prices, as a request of a marked ticker gets them."""
+    chart = Chart(bars)
+    made = dict(zip(PRICES, ta.heikinashi(chart), strict=True))
+    return chart.select(keep=("volume",), **made).select("symbol", "time", *PRICES, "volume")
+
+
+def feed(ticker: str, feeds: dict[str, DataFrame], ignore_invalid_symbol: bool = False) -> DataFrame | None:
+    """The bars that a ticker names: of a feed, averaged if the ticker is marked; None for an unknown symbol if that is to be ignored."""
+    name = ticker.removeprefix(HEIKIN_ASHI)
+    if name not in feeds:
+        if ignore_invalid_symbol:
+            return None
+        raise ValueError(f"there is no symbol {name!r}")
+    return heikinashi(feeds[name]) if ticker.startswith(HEIKIN_ASHI) else feeds[name]
+
+
+def security_of(chart: DataFrame, ticker: str, feeds: dict[str, DataFrame], chart_timeframe: str, timeframe: str, expressions: dict[str, Column], ignore_invalid_symbol: bool = False, gaps: bool = False) -> DataFrame:
+    """``security`` by ticker: an expression over the bars of one named feed (one symbol); na columns for an ignored symbol."""
+    bars = feed(ticker, feeds, ignore_invalid_symbol)
+    if bars is None:
+        return chart.withColumns({n: F.lit(None).cast("double") for n in expressions})
+    named = bars.select("time", *(e.alias(n) for n, e in expressions.items()))
+    return security(chart, named, chart_timeframe, timeframe, list(expressions), other_symbol=True, gaps=gaps)
+
+
 def lookahead_on(chart: DataFrame, timeframe: str, **calendar) -> DataFrame:
     """The developing bar of the chart's own feed and ``last_close``, the close of the last finished one: still no future values."""
     d = developing(chart, timeframe, **calendar)

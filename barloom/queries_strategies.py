@@ -275,3 +275,18 @@ def orders_magnified(spark, sf_dir):
         broker.exit("X", "L", profit=2000, loss=2000)
 
     return exits(backtest.backtest(day, on_bar, Settings(), sub_bars="sub_bars"))
+
+
+@query(off_ties(f"""{STATISTICS} SELECT symbol, 'plots' AS file, 'rows' AS name, count(*)::DOUBLE AS value FROM b GROUP BY symbol UNION ALL SELECT symbol, 'trades', 'rows', n::DOUBLE FROM q UNION ALL SELECT symbol, 'statistics', 'percent_profitable', round(winning_trades * 100.0 / n, 5) AS value FROM q UNION ALL SELECT symbol, 'statistics', 'commission_paid', round(fees, 5) AS value FROM q"""))
+def run_files(spark, sf_dir):
+    """Plots, trades and statistics written as files of a run, and read again."""
+    from barloom.queries_values import shared_folder
+
+    folder = shared_folder(spark)
+    bars = sources.from_events(spark, sf_dir, "60")
+    outputs = engine.indicator(bars, lambda chart, plots: {"mean": ta.sma(chart.close, 5)})
+    engine.write_files(outputs, crossing(spark, sf_dir, reversing), folder)
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/{name}")
+    rows = [read(n).groupBy("symbol").agg(F.lit(n).alias("file"), F.lit("rows").alias("name"), F.count(F.lit(1)).cast("double").alias("value")) for n in ("plots", "trades")]
+    values = read("statistics").where("name IN ('percent_profitable', 'commission_paid')").select("symbol", F.lit("statistics").alias("file"), "name", settled("value", 5))
+    return rows[0].unionByName(rows[1]).unionByName(values)

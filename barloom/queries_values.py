@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from enum import Enum
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barloom import engine
 from barloom.functions import arrays as A
 from barloom.functions import maps, na, ticker, timeframe
 from barloom.functions import matrices as M
 from barloom.functions import time as ftime
+from barloom.inputs import Input, resolved
 from barloom.operators import request, resample, ta
 from barloom.queries import BARS, OVER, hourly, query, table
 from barloom.sources import bars as sources
@@ -159,6 +162,68 @@ def requests_without_source(spark, sf_dir):
     return df.withColumn("refused", F.lit(refused))
 
 
+ORDER_DAYS = "od AS (SELECT o_orderdate::DATE::TIMESTAMP AS time, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, row_number() OVER (ORDER BY o_orderdate::DATE) AS n FROM orders GROUP BY o_orderdate::DATE)"
+HA_DAYS = "ha(n, o, c) AS (SELECT n, (open + close) / 2, (open + high + low + close) / 4 FROM od WHERE n = 1 UNION ALL SELECT od.n, (ha.o + ha.c) / 2, (od.open + od.high + od.low + od.close) / 4 FROM ha JOIN od ON od.n = ha.n + 1), hd AS (SELECT od.time, ha.o AS ha_open, ha.c AS ha_close, greatest(od.high, ha.o, ha.c) AS ha_high, least(od.low, ha.o, ha.c) AS ha_low FROM ha JOIN od USING (n))"
+
+
+@query(f"""WITH RECURSIVE {ORDER_DAYS}, {HA_DAYS}, l AS (SELECT l_returnflag AS symbol, date_trunc('day', l_shipdate)::TIMESTAMP AS time FROM lineitem GROUP BY 1, 2)
+SELECT l.symbol, l.time, round(hd.ha_open, 4) AS ha_open, round(hd.ha_high, 4) AS ha_high, round(hd.ha_low, 4) AS ha_low, round(hd.ha_close, 4) AS ha_close, NULL::DOUBLE AS unknown, true AS refused FROM l ASOF LEFT JOIN hd ON l.time >= hd.time""")
+def security_heikinashi(spark, sf_dir):
+    """A marked ticker gets averaged bars; an unknown one gives na when it is to be ignored, and an error else."""
+    chart = sources.from_lineitem(spark, sf_dir, "1D").select("symbol", "time")
+    feeds = {"NYSE:ORDERS": sources.from_orders(spark, sf_dir, "1D")}
+    wanted = {f"ha_{c}": F.round(c, 4) for c in ("open", "high", "low", "close")}
+    df = request.security_of(chart, "HA=NYSE:ORDERS", feeds, "1D", "1D", wanted)
+    df = request.security_of(df, "NYSE:NOBODY", feeds, "1D", "1D", {"unknown": F.col("close")}, ignore_invalid_symbol=True)
+    try:
+        request.security_of(chart, "NYSE:NOBODY", feeds, "1D", "1D", wanted)
+        refused = False
+    except ValueError:
+        refused = True
+    return df.withColumn("refused", F.lit(refused))
+
+
+# -- inputs ------------------------------------------------------------------------------------------------------------
+
+
+class Side(Enum):
+    UP = "up"
+    DOWN = "down"
+
+
+TOML = """[inputs.length]
+value = 7
+[inputs.threshold]
+value = 55
+"""
+
+
+@query(f"""WITH {BARS}, x AS (SELECT *, CASE WHEN n >= 7 THEN avg((high + low) / 2) OVER ({OVER} ROWS 6 PRECEDING) END AS m FROM b) SELECT symbol, time, round(m, 6) AS mean, coalesce(m > 55, false) AND hour(time) BETWEEN 9 AND 15 AND isodow(time) < 6 AS above, 'down 240 NYSE:IBM #FF0000 1700000000000 a note' AS words, 4 AS refused FROM x""")
+def indicator_inputs(spark, sf_dir):
+    """All kinds of inputs, from the caller, from TOML and by default; four values outside their limits are refused."""
+    declared = {
+        "length": Input("int", 14, 1, 100), "threshold": Input("float", 50.0), "src": Input("source", "close"), "side": Input("enum", Side.UP), "frame": Input("timeframe", "240"), "hours": Input("session", "0930-1600:23456"), "who": Input("symbol", "NYSE:IBM"), "tint": Input("color", "#FF0000"),
+        "start": Input("time", 1_700_000_000_000), "note": Input("text_area", "a note"), "kind": Input("string", "sma", options=("sma", "ema")), "show": Input("bool", True), "at": Input("price", 1.5),
+    }
+
+    def script(chart, plots, length, threshold, src, side, frame, hours, who, tint, start, note, kind, show, at):
+        mean = ta.sma(src, length)
+        open_hours = chart.time.map(lambda t: ftime.ismarket(t, 3600, ftime.session_intervals(hours)))
+        plots.plot(mean.map(lambda x: F.round(x, 6)), "mean")
+        plots.plot(mean.map(lambda m, o: F.coalesce(m > threshold, F.lit(False)) & o, open_hours), "above")
+        plots.plot(chart.close.map(lambda _: F.lit(f"{side.value} {frame} {who} {tint} {start} {note}")), "words")
+
+    script.inputs = declared
+    df = engine.indicator(sources.from_events(spark, sf_dir, "60"), script, {"src": "hl2", "side": "DOWN"}, toml=TOML)
+    refused = 0
+    for wrong in ({"length": 101}, {"kind": "wma"}, {"tint": "red"}, {"nobody": 1}):
+        try:
+            resolved(declared, wrong)
+        except ValueError:
+            refused += 1
+    return df.withColumn("refused", F.lit(refused))
+
+
 # -- storage -----------------------------------------------------------------------------------------------------------
 
 

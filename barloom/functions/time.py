@@ -223,22 +223,51 @@ def day_open(day: Column, intervals: list[Interval] | None, timezone: str = "UTC
     """The instant at which a trading day opens: its midnight, or its session's open (the evening before, if overnight)."""
     if not intervals:
         return to_utc(F.to_timestamp(day), timezone)
-    roll = overnight_minutes(intervals)
-    minutes = -roll if roll else min(_minutes(i.start) for i in intervals)
-    return to_utc(F.to_timestamp(day) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)), timezone)
+    opens: dict[int, int] = {}
+    for i in intervals:
+        start, overnight = _minutes(i.start), _minutes(i.end) <= _minutes(i.start)
+        late = overnight and start >= 720
+        day_of = (i.day + 1) % 7 if late else i.day
+        opens[day_of] = min(opens.get(day_of, 1440), start - 1440 if late else start)
+    minutes = F.lit(min(opens.values()))
+    for weekday, start in opens.items():
+        minutes = F.when(F.weekday(day) == weekday, F.lit(start)).otherwise(minutes)
+    return to_utc(F.to_timestamp(day) + F.make_dt_interval(F.lit(0), F.lit(0), minutes), timezone)
+
 
+def bucket_end(start: Column, timeframe: str, timezone: str = "UTC", intervals: list[Interval] | None = None, weekday_grid: bool = False) -> Column:
+    """The instant at which a bar that opens at ``start`` ends.
 
-def bucket_end(start: Column, timeframe: str, timezone: str = "UTC") -> Column:
-    """The instant at which a bar that opens at ``start`` ends (calendar periods: the next civil boundary)."""
+    Calendar periods end where the next one begins, so multiples are cut at the turn of the year, as they count anew there;
+    an intraday bar that opens in a session ends with the session at the latest.
+    """
     tf = parse(timeframe)
+    n = tf.count
     if tf.isintraday:
-        return F.timestamp_seconds(F.unix_seconds(start) + tf.seconds)
+        end = F.unix_seconds(start) + tf.seconds
+        m = _week_minute(start, timezone)
+        for a, b in _spans(intervals or []):
+            for shift in (0, 10_080):
+                inside = (m + shift >= a) & (m + shift < b)
+                end = F.when(inside, F.least(end, F.unix_seconds(F.date_trunc("minute", start)) + (F.lit(b) - m - shift) * 60)).otherwise(end)
+        return F.timestamp_seconds(end)
     t = local(start, timezone)
-    if tf.unit == "M":
-        end = F.to_timestamp(F.add_months(F.to_date(t), tf.count)) + (t - F.date_trunc("day", t))
+    day = F.to_date(t)
+    y = F.year(day)
+    if tf.unit == "D":
+        end = F.date_add(day, n) if n == 1 else F.least(F.date_add(day, n), F.make_date(y + 1, F.lit(1), F.lit(1)))
+        if weekday_grid and n > 1:
+            end = F.least(_weekday_of_year(y, weekdays_before(day) + n), _weekday_of_year(y + 1, F.lit(0)))
+    elif tf.unit == "W":
+        end = F.date_add(day, 7) if n == 1 else F.least(F.date_add(day, 7 * n), first_monday(y + 1))
     else:
-        end = t + F.make_dt_interval(F.lit(tf.count * (7 if tf.unit == "W" else 1)))
-    return to_utc(end, timezone)
+        end = F.add_months(F.trunc(day, "month"), n)
+        end = end if n == 1 else F.least(end, F.make_date(y + 1, F.lit(1), F.lit(1)))
+        if weekday_grid and n > 1:
+            end = F.when(F.weekday(end) > 4, F.date_add(end, (F.lit(7) - F.weekday(end)).cast("int"))).otherwise(end)
+        elif n == 1:
+            end = F.date_add(end, F.dayofmonth(day) - 1)
+    return to_utc(F.to_timestamp(end) + (t - F.date_trunc("day", t)), timezone)
 
 
 def time(ts: Column, timeframe: str, session: str | None = None, timezone: str = "UTC") -> Column:

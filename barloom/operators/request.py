@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.ticker import HEIKIN_ASHI
-from barloom.functions.time import bucket, bucket_end
+from barloom.functions.time import Interval, bucket, bucket_end
 from barloom.functions.timeframe import parse
 from barloom.operators import ta
 from barloom.operators.resample import developing, resample
@@ -36,9 +36,11 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_a
     return out.select("row.*", *(F.col("v")[x].alias(x) for x in values))
 
 
-def security(chart: DataFrame, requested: DataFrame, chart_timeframe: str, timeframe: str, values: list[str], other_symbol: bool = False, gaps: bool = False, timezone: str = "UTC") -> DataFrame:
+def security(chart: DataFrame, requested: DataFrame, chart_timeframe: str, timeframe: str, values: list[str], other_symbol: bool = False, gaps: bool = False, timezone: str = "UTC", intervals: list[Interval] | None = None) -> DataFrame:
     """Chart bars with values of the latest requested bar that has closed by the chart bar's close (lookahead off).
 
+    With ``intervals`` (trading hours of the requested symbol) an intraday bar closes with its session at the latest.
+
     ``requested`` holds bars on ``timeframe`` with the values as columns; with ``other_symbol`` it is one symbol for all chart symbols,
     whose bars and the chart's distinct instants (a dimension of time, not of rows) are merged in one task.
     The request of the chart's own symbol and timeframe is a plain equi-join.
@@ -47,7 +49,7 @@ def security(chart: DataFrame, requested: DataFrame, chart_timeframe: str, timef
         picked = requested.select("symbol", "time", *values)
         return chart.join(picked, ["symbol", "time"], "left")
     left = chart.withColumn("__close", bucket_end(F.col("time"), chart_timeframe, timezone))
-    right = requested.withColumn("__end", bucket_end(F.col("time"), timeframe, timezone))
+    right = requested.withColumn("__end", bucket_end(F.col("time"), timeframe, timezone, intervals))
     if not other_symbol:
         return asof(left, right, ["symbol"], "__close", "__end", values, gaps).drop("__close")
     # the one symbol is merged with the distinct instants of the chart, and each bar looks its instant up

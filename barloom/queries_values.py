@@ -183,6 +183,29 @@ def security_heikinashi(spark, sf_dir):
     return df.withColumn("refused", F.lit(refused))
 
 
+_CALENDAR = """days AS (SELECT unnest(generate_series(DATE '1991-01-01', DATE '2003-12-31', INTERVAL 1 DAY))::DATE AS d), mon AS (SELECT d, (d - (isodow(d) - 1)::INT)::DATE AS m FROM days),
+grid AS (SELECT d, make_date(year(d), 1, 1) + ((dayofyear(d) - 1) // 3 * 3)::INT AS d3, (SELECT min(x.d) FROM days x WHERE isodow(x.d) = 1 AND year(x.d) = year(mon.m)) + ((m - (SELECT min(x.d) FROM days x WHERE isodow(x.d) = 1 AND year(x.d) = year(mon.m))) // 14 * 14)::INT AS w2, make_date(year(d), (month(d) - 1) // 5 * 5 + 1, 1) AS m5 FROM mon),
+ends AS (SELECT d, (SELECT min(g.d3) FROM (SELECT DISTINCT d3 FROM grid) g WHERE g.d3 > grid.d3) AS e3, (SELECT min(g.w2) FROM (SELECT DISTINCT w2 FROM grid) g WHERE g.w2 > grid.w2) AS ew, (SELECT min(g.m5) FROM (SELECT DISTINCT m5 FROM grid) g WHERE g.m5 > grid.m5) AS em FROM grid)"""
+
+
+@query(f"WITH {_CALENDAR} SELECT DISTINCT l_shipdate::DATE::TIMESTAMP AS time, epoch_ms(e3::TIMESTAMP) AS end_3d, epoch_ms(ew::TIMESTAMP) AS end_2w, epoch_ms(em::TIMESTAMP) AS end_5m FROM lineitem JOIN ends ON d = l_shipdate::DATE")
+def period_ends(spark, sf_dir):
+    """Ends of periods of several days, weeks and months, which are cut at the turn of the year."""
+    t = F.col("time")
+    days = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").cast("timestamp").alias("time")).distinct()
+    return days.select("time", ftime.time_close(t, "3D").alias("end_3d"), ftime.time_close(t, "2W").alias("end_2w"), ftime.time_close(t, "5M").alias("end_5m"))
+
+
+@query(f"""WITH {BARS}, i AS (SELECT * FROM b WHERE isodow(time) < 6 AND hour(time) BETWEEN 8 AND 14), h AS (SELECT symbol, to_timestamp(floor(epoch(time) / 14400) * 14400)::TIMESTAMP AS time, arg_max(close, time) AS close FROM i GROUP BY 1, 2),
+k AS (SELECT *, CASE WHEN hour(time) = 12 THEN time + INTERVAL 3 HOUR ELSE time + INTERVAL 4 HOUR END AS fin FROM h) SELECT b.symbol, b.time, k.close AS session_close FROM b ASOF LEFT JOIN k ON b.symbol = k.symbol AND b.time + INTERVAL 1 HOUR >= k.fin""")
+def security_session(spark, sf_dir):
+    """Four-hour bars of a market that closes at three: the second one is confirmed by the close of the session."""
+    b = sources.from_events(spark, sf_dir, "60")
+    hours = ftime.session_intervals("0800-1500:23456")
+    higher = resample.resample(b.where(ftime.in_session(F.col("time"), hours)), "240", "60").select("symbol", "time", F.col("close").alias("session_close"))
+    return request.security(b.select("symbol", "time"), higher, "60", "240", ["session_close"], intervals=hours)
+
+
 # -- inputs ------------------------------------------------------------------------------------------------------------
 
 

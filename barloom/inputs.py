@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from enum import Enum
 from typing import Any
 
-from barloom.functions.time import session_intervals
 from barloom.functions.timeframe import parse
 
 #: The series that a source input may name.
@@ -65,7 +64,7 @@ READERS: dict[str, Callable[[Any], Any]] = {
     "symbol": _matching(r"[^\s:]*:?[^\s:]+", "a symbol"),
     "color": _matching("#[0-9A-Fa-f]{6}([0-9A-Fa-f]{2})?", "a colour"),
     "source": _matching("|".join(SOURCES), "a source"),
-    "session": _parsed(session_intervals),
+    "session": _matching(r"(24x7)?|\d{4}-\d{4}(:[1-7]+)?(,\d{4}-\d{4}(:[1-7]+)?)*", "a session"),
     "timeframe": _parsed(lambda v: parse(v) if v else None),
     "enum": lambda v: v,
 }

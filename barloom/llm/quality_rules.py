@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import SPACE_CLASS, let, split_words, whole_text
 
-#: Phrases that mark a line as boilerplate (matched in lower case).
+#: Phrases that mark a line as boilerplate (matched in lower case), in English, German, French and Spanish.
 BOILERPLATE = (
     "licensed under the",
     "all rights reserved",
@@ -33,6 +33,21 @@ BOILERPLATE = (
     "lorem ipsum",
     "click here",
     "subscribe to our newsletter",
+    "alle rechte vorbehalten",
+    "nutzungsbedingungen",
+    "datenschutzerklärung",
+    "verwendet cookies",
+    "newsletter abonnieren",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "mentions légales",
+    "utilise des cookies",
+    "cliquez ici",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "aviso legal",
+    "utiliza cookies",
+    "haga clic aquí",
 )
 SYMBOLS = "[#*$%&|<>]"
 #: A navigation line is made of short items between separators: more than one separator to four words.

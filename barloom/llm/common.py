@@ -35,23 +35,39 @@ def count_words(text: Column) -> Column:
     return F.size(split_words(text)).cast("long")
 
 
-def checkpointed(df: DataFrame, default_dir: str = "/tmp/barloom-checkpoints") -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
+#: A single machine's folder, for sessions in local mode that name none.
+LOCAL_DIR = "/tmp/barloom-checkpoints"
 
-    A folder of our own is set only where the session names none (single-machine tests).
-    """
-    ensure_checkpoint_dir(df.sparkSession, default_dir)
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def ensure_checkpoint_dir(spark: SparkSession, default_dir: str = "/tmp/barloom-checkpoints") -> str:
-    """The shared folder of this session; sets ``default_dir`` only if none is configured."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of this session; in local mode one of our own if none is configured, on a cluster an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return configured or current.get()
-    spark.sparkContext.setCheckpointDir(configured or default_dir)
-    return configured or default_dir
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(configured or LOCAL_DIR)
+    return configured or LOCAL_DIR
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` begins with."""
+    while any(c.startswith(name) for c in df.columns):
+        name += "_"
+    return name
 
 
 def rows_per_task(spark: SparkSession) -> int:

@@ -11,7 +11,7 @@ cuts the key order into ranges of equal expected size; sums of ranges are prefix
 
 Defined results: a null text has size 0 and is taken 0 times; null sources form one source, last in
 order; ties in the key fall to the smaller doc_id, then to the smaller size; a source without words has target 0; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; very long texts are counted whole; other columns, whatever their names, are not read (``mixed_documents`` passes them through).
 """
 
 from __future__ import annotations

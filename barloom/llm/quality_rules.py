@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SPACE_CLASS, let, split_words, whole_text
+from barloom.llm.common import SPACE_CLASS, fresh_name, let, split_words, whole_text
 
 #: Phrases that mark a line as boilerplate (matched in lower case), in English, German, French and Spanish.
 BOILERPLATE = (
@@ -161,9 +161,7 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", max_loss: floa
 
 def clean_documents(df: DataFrame, text: str = "text", max_loss: float = 0.5) -> DataFrame:
     """The kept documents with their cleaned text; all columns of the input stay, n_chars follows the text."""
-    names, mark = df.columns, "__judged"
-    while any(n.startswith(mark) for n in names):
-        mark += "_"
+    names, mark = df.columns, fresh_name(df, "__judged")
     t = whole_text(text)
 
     def kept(j: Column) -> Column:

@@ -13,7 +13,7 @@ Only windows around entities, candidate terms and their counts are shuffled, nev
 
 Defined results: a null text is the empty text and has no spans; repeated rows are each answered;
 an empty table gives an empty result; spans of different kinds may overlap, the replacement then covers their union;
-columns other than the key and the text are not read (``sanitised`` passes them through).
+very long texts are searched whole; columns other than the key and the text, whatever their names, are not read (``sanitised`` passes them through).
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ triangle inequality, and the reverse.  At most 65 members can have one reference
 
 Defined results: null and empty texts and texts without a word have fingerprint zero and link like any
 other; a text of one or two words is one shingle; repeated rows and ties link at distance zero; a null doc_id
-takes part and never becomes the component_id unless all are null; an empty table gives an empty result.
+takes part and never becomes the component_id unless all are null; very long texts are read whole; an empty table gives an empty result; other columns, whatever their names, are not read
+(``deduplicated`` passes them through).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import near_copies
-from barloom.llm.common import checkpointed
+from barloom.llm.common import checkpointed, fresh_name
 from barloom.llm.components import connected_components
 
 SHINGLE, SEED, REACH = 3, 42, 2
@@ -182,16 +183,18 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Rows with the key and the text of the chosen one are reduced after the join; where it is not repeated, the texts are shuffled once only.
     """
     found = checkpointed(near_copies.components(df, key, text))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__kept"), F.col("tid").alias("__tid"))
+    mark = fresh_name(df, "__kept")
+    tid, n = f"{mark}_tid", f"{mark}_n"
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("kept"), F.col("tid").alias("kept_tid"))
     first = found.groupBy("root").agg(F.min(order).alias("first")).select("first.*")
-    found = first.join(found, F.col("__kept").eqNullSafe(F.col("doc_id")) & (F.col("__tid") == F.col("tid")))
-    kept = checkpointed(found.groupBy("__kept", "__tid").agg(F.count(F.lit(1)).alias("__n")))
+    found = first.join(found, F.col("kept").eqNullSafe(F.col("doc_id")) & (F.col("kept_tid") == F.col("tid")))
+    kept = checkpointed(found.groupBy(F.col("kept").alias(mark), F.col("kept_tid").alias(tid)).agg(F.count(F.lit(1)).alias(n)))
     names = df.columns
-    joined = df.join(kept, df[key].eqNullSafe(F.col("__kept")) & (near_copies.text_id(text) == F.col("__tid"))).select(*(df[f"`{n}`"] for n in names), "__tid", "__n")
-    once = joined.where("__n = 1").drop("__n", "__tid")
-    if kept.where("__n > 1").isEmpty():
+    joined = df.join(kept, df[key].eqNullSafe(F.col(mark)) & (near_copies.text_id(text) == F.col(tid))).select(*(F.col(f"`{c}`") for c in names), tid, n)
+    once = joined.where(F.col(n) == 1).drop(n, tid)
+    if kept.where(F.col(n) > 1).isEmpty():
         return once
-    return once.unionByName(joined.where("__n > 1").dropDuplicates(["__tid"]).drop("__n", "__tid"))
+    return once.unionByName(joined.where(F.col(n) > 1).dropDuplicates([tid]).drop(n, tid))
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ a look into the tables of those at the budget (``PrefixCounter.fit``), and the c
 of one or two pre-tokens.  The query takes its counts and its limit from these tables.
 
 Defined results: a null text is the empty text with no bytes and no tokens; special strings inside a
-text are one token each, as the library has it; repeated rows are each answered; an empty table gives an empty result.
+text are one token each, as the library has it; repeated rows are each answered; very long texts are counted whole; an empty table gives an empty result;
+other columns, whatever their names, are not read.
 The vocabulary is read on the driver from a path that is a parameter, and its bytes (fixed, 1.6 MB) travel with the tasks as a broadcast.
 """
 

@@ -11,7 +11,7 @@ its digest.  Only segmented records are shuffled with their blocks, grouped by o
 
 Defined results: a null html is the empty payload; of equal payloads the row with the largest page_id is the response (rows that share it are all
 responses), ties of null ids count below every id; an archive that misses a segment or whose lengths differ gives an error instead of a short payload; an empty table gives an
-empty result; columns other than page_id, url and html are not read.
+empty result; very long pages are segmented; columns other than page_id, url and html, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpointed, ensure_checkpoint_dir
+from barloom.llm.common import checkpointed, delete_folder, ensure_checkpoint_dir
 
 SEGMENT = 32_768
 CHUNK = 4_096
@@ -256,6 +256,5 @@ def digest(pages: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(with_roles(pages), path)
     out = checkpointed(described(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_folder(spark, path)
     return out

@@ -405,6 +405,38 @@ def test_deep_reply_chains(spark):
     assert got[-1].order_key == list(range(n))
 
 
+def test_cosines_do_not_overflow(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e-200, 1e-200]), (3, [3.0, 4.0])]
+    got = {(r.query_id, r.vec_id): r.score for r in block_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[0, 1] == pytest.approx(0.5**0.5) and got[0, 2] == pytest.approx(1.0) and got[0, 3] == pytest.approx(7 / 50**0.5)
+
+
+def test_long_quotes(spark):
+    lines = [f"line number {i} of a long message" for i in range(20_000)]
+    rows = [(1, 0, "u", "\n".join(lines)), (1, 1, "u", "\n".join("> " + x for x in lines) + "\nanswer")]
+    got = quotation.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("position").collect()
+    assert [(r.turn, r.reply_to_turn, r.n_quotes, r.n_linked) for r in got] == [(0, None, 0, 0), (1, 0, 1, 1)] and got[1].own_text == "answer"
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, __kept long, __kept_tid string, __judged string, tid long, root string, spans string, row string, src string, copies int"
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(d, t, "en", s, len(t or ""), 1, "a", "b", 2, "c", "d", "e", "f", 3) for d, t, s in texts()]
+    df = spark.createDataFrame(rows, CLASHING)
+    df.write.parquet(str(tmp_path / "full" / "documents.parquet"))
+    df.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "").collect()
+        assert out and all(tuple(r)[5:] == rows[0][5:] for r in out), name
+    assert corpus_pipeline.run(spark, str(tmp_path / "full")).count() > 0
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    assert len(suffix_dedup.digest(docs).collect()) == len(rows) == len(simhash.digest(docs).collect())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Context, Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,6 +74,10 @@ def format_time(ms: Column, mask: str = "yyyy-MM-dd'T'HH:mm:ssZ", timezone: str
     return F.date_format(shifted, mask)
 
 
+#: Digits for any double.
+WIDE = Context(prec=800)
+
+
 def mask_number(x: float | None, mask: str = "#.##########", half_even: bool = False) -> str:
     """A number under a decimal mask such as ``#.##``, ``0.00``, ``#,##0`` or ``#.#%``."""
     if x is None or x != x:
@@ -83,7 +87,7 @@ def mask_number(x: float | None, mask: str = "#.##########", half_even: bool = F
     whole, _, part = body.partition(".")
     d = (Decimal(x) if half_even else Decimal(repr(float(x)))) * (100 if percent else 1)
     most, least = len(part), part.count("0")
-    d = d.quantize(Decimal(1).scaleb(-most), ROUND_HALF_EVEN if half_even else ROUND_HALF_UP)
+    d = d.quantize(Decimal(1).scaleb(-most), ROUND_HALF_EVEN if half_even else ROUND_HALF_UP, WIDE)
     sign, text = ("-" if d < 0 else ""), f"{abs(d):f}"
     left, _, right = text.partition(".")
     right = right.rstrip("0").ljust(least, "0")
@@ -106,11 +110,33 @@ def tostring(x: Column, mask: str = "#.##########", mintick: float | None = None
     elif mask == "volume":
         return _volume(x)
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: mask_number(v, mask), na_action=None)
+    return masked(x.cast("double"), mask)
+
 
-    return run(x.cast("double"))
+#: Beyond this a number has no digits after the point that a mask could show.
+LARGE = 1e20
+
+
+def masked(x: Column, mask: str) -> Column:
+    """``mask_number`` (halves up) as an expression: the digits come from a rounded decimal, or for large numbers from the number itself."""
+    percent = mask.endswith("%")
+    whole, _, part = mask.rstrip("%").partition(".")
+    most, least, digits = len(part), part.count("0"), whole.replace(",", "").count("0")
+    exact = F.when(F.abs(x) < LARGE, F.abs(x)).cast("decimal(38,17)") * (100 if percent else 1)
+    fixed = F.format_number(F.round(exact, most).cast(f"decimal(38,{most})"), most)
+    shown = F.coalesce(fixed, F.concat(F.format_string("%,.0f", F.abs(x) * (100 if percent else 1)), F.lit("." + "0" * most if most else "")))
+    grouped, right = F.substring_index(shown, ".", 1), F.substring_index(shown, ".", -1) if most else F.lit("")
+    if most > least:
+        right = F.regexp_replace(right, f"^(\\d{{{least}}}\\d*?)0+$", "$1")
+    if "," in whole:
+        left = grouped
+    else:
+        plain = F.when(grouped == "0", "").otherwise(F.replace(grouped, F.lit(","), F.lit("")))
+        left = F.when(F.length(plain) < digits, F.lpad(plain, digits, "0")).otherwise(plain)
+        left = F.when((left == "") & ((right == "") | F.lit(whole.endswith("#"))), "0").otherwise(left)
+    text = F.concat(left, F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
+    sign = F.when((x < 0) & text.rlike("[1-9]"), "-").otherwise("")
+    return F.when(x.isNull() | F.isnan(x), "NaN").otherwise(F.concat(sign, text, F.lit("%" if percent else "")))
 
 
 def _volume(x: Column) -> Column:

@@ -112,3 +112,14 @@ def test_matrices(spark):
     r = one(spark, det=matrices.det(m), eig=matrices.eigenvalues(m), inv=matrices.inv(m), kron=matrices.kron(m, m), tri=matrices.is_triangular(m), sym=matrices.is_symmetric(m), sub=matrices.submatrix(m, 1), cols=matrices.add_col(m, None, F.array(F.lit(7.0), F.lit(8.0))), drop=matrices.remove_col(m, 0).matrix, pow=matrices.pow(m, 2), ident=matrices.is_identity(F.array(F.array(F.lit(1.0)))), stoch=matrices.is_stochastic(F.array(F.array(F.lit(0.25), F.lit(0.75)))))
     assert r.det == pytest.approx(5) and r.eig == pytest.approx([3.618034, 1.381966]) and r.inv[0] == pytest.approx([0.6, -0.2])
     assert r.kron[3] == [1.0, 3.0, 3.0, 9.0] and not r.tri and r.sym and r.sub == [[1.0, 3.0]] and r.cols == [[2.0, 1.0, 7.0], [1.0, 3.0, 8.0]] and r["drop"] == [[1.0], [3.0]] and r["pow"] == [[5.0, 5.0], [5.0, 10.0]] and r.ident and r.stoch
+
+
+def test_masks_as_expressions(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [None, float("nan"), 0.0, -0.0, 0.5, 0.005, -0.004, 1234567.891, 1e12, 1e-9, 2.675, -99.995, 1e20, 10.0, *(rng.uniform(-1, 1) * 10 ** rng.randint(-6, 10) for _ in range(100)), *(round(rng.uniform(-100, 100), rng.randint(0, 4)) for _ in range(100))]
+    masks = ("#.##########", "#.##", "#.00", "0.00", "#,##0", "#,##0.##", "0.##%", "0%", "#", ".00", "000.0", "00", "#,##0.00")
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for row in df.select("v", *(strings.tostring(F.col("v"), m) for m in masks)).collect():
+        assert list(row)[1:] == [strings.mask_number(row.v, m) for m in masks], row.v

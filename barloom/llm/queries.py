@@ -59,4 +59,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op3_mixing": mixing.ORACLE, "op8_block_search": block_search.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op3_mixing": mixing.ORACLE, "op5_warc": warc.ORACLE, "op8_block_search": block_search.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}

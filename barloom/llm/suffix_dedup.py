@@ -458,3 +458,23 @@ def digest(df: DataFrame) -> DataFrame:
     """The contract's columns, and beside them what is left and the words in passages of more than 50 words that another document has."""
     found = removed(df, passages=WORDS)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"), F.col("n_passage_units").alias("n_passage_words"))
+
+
+#: The same for DuckDB, in plain terms: every string of 400 bytes (as hexadecimal digits, cut from blocks of 1,024 bytes) and of 51 words, counted.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS hx, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+n AS (SELECT *, len(hx) // 2 AS nb FROM d),
+bl AS (SELECT r, nb, p0, substr(hx, 2 * p0 + 1, 2846) AS part FROM (SELECT r, nb, hx, unnest(range(0, nb - 399, 1024)) AS p0 FROM n WHERE nb >= 400)),
+w AS (SELECT r, p0 + j AS i, md5(substr(part, 2 * j + 1, 800)) AS h FROM (SELECT r, p0, part, unnest(range(0, least(1024, nb - 399 - p0))) AS j FROM bl)),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM m),
+s AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
+sp AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM s GROUP BY r, k),
+e AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM sp),
+kp AS (SELECT r, string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(hx), 2 * max(b) + 1) AS kh, sum(b - a) AS removed, count(*) AS spans FROM e JOIN n USING (r) GROUP BY r),
+v AS (SELECT r, i, md5(array_to_string(list_slice(ws, i, i + 50), ' ')) AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - 49)) AS i FROM d WHERE len(ws) >= 51)),
+o AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nx FROM v JOIN (SELECT h FROM v GROUP BY h HAVING count(DISTINCT r) > 1) USING (h)),
+pw AS (SELECT r, sum(least(51, coalesce(nx - i, 51))) AS words FROM o GROUP BY r)
+SELECT doc_id, nb::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kh, hx))) AS kept_sha256, (nb - coalesce(removed, 0))::BIGINT AS kept_bytes, coalesce(words, 0)::BIGINT AS n_passage_words
+FROM n LEFT JOIN kp USING (r) LEFT JOIN pw USING (r)
+"""

@@ -258,3 +258,12 @@ def digest(pages: DataFrame) -> DataFrame:
     out = checkpointed(described(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
     delete_folder(spark, path)
     return out
+
+
+#: The same for DuckDB: 20 bits of the hash, five hexadecimal digits, are four letters of base 32.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT *, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+r AS (SELECT *, top IS NOT NULL AND page_id IS DISTINCT FROM top AS again FROM d)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (i // 4 * 5 + 1)::INT, 5))::INT >> (15 - i % 4 * 5)::INT) & 31) + 1, 1)), '') AS payload_digest,
+CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to FROM r
+"""

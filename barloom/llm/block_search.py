@@ -4,11 +4,12 @@ Vectors are scaled to length one and quantised to int8 with a scale of their own
 blocks; each query block meets each candidate block in one tile, whose int8 products are taken by an exact
 float32 matrix product (at most 1,024 dimensions at a time, so that sums stay below 2**24).  With u = s q + e,
 |u . v - s_u s_v (q_u . q_v)| <= |s_u q_u| |e_v| + |e_u|, so a tile can drop every pair whose upper bound is below
-the k-th lower bound of its query.  Survivors are recomputed in double precision from the original
-vectors, a heap per query keeps the k best of a tile, and the tiles' heaps are merged.
+the k-th best its query has met, or at first the k-th lower bound of the tile.  Survivors are recomputed in double precision from the original
+vectors, a list per query keeps the k best of a task, and the tasks' lists are merged.
 
-Blocks have a fixed number of vectors, so a tile needs the same memory at any size; the number of tiles grows with queries times
-candidates.  The lists merged per query are k rows a tile, reduced before they are shuffled.
+Blocks are not joined by Spark, which would keep the query blocks of a key on the heap and copy both blocks for every tile: they are sorted so that a task reads the query blocks
+of a group first and then meets them with one candidate block after the other.  A group has at most ``QUERY_BYTES`` of queries, so a task needs the same memory
+at any size; the number of tiles grows with queries times candidates.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, neither as query nor as candidate;
 vectors are compared only with those of their own length; other columns, whatever their names, are not read; a repeated vec_id is a repeated
@@ -17,7 +18,6 @@ candidate, and a query never meets rows with its own id; repeated query rows are
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
 MOST_DIMENSIONS = 1024
+#: Most bytes of query vectors that a task holds; candidates are sent once for each such part of the queries.
+QUERY_BYTES = 128 << 20
 #: Float32 and rounding slack on top of the quantisation bound.
 SLACK = 1e-5
 
@@ -58,45 +60,71 @@ def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def tile_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Integer products of two int8 matrices, exact."""
-    out = np.zeros((len(q), len(c)), np.float64)
+    out = None
     for k in range(0, q.shape[1], MOST_DIMENSIONS):
-        out += q[:, k : k + MOST_DIMENSIONS].astype(np.float32) @ c[:, k : k + MOST_DIMENSIONS].astype(np.float32).T
+        part = q[:, k : k + MOST_DIMENSIONS].astype(np.float32) @ c[:, k : k + MOST_DIMENSIONS].astype(np.float32).T
+        out = part if out is None else out + part.astype(np.float64)
     return out
 
 
-def tile_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """The k best candidates of each query of one tile: (query id, candidate id, cosine)."""
-    (qc, qs, qr), (cc, cs, cr) = quantise(q), quantise(c)
-    about = tile_products(qc, cc) * qs[:, None] * cs[None, :]
-    error = (1.0 + qr)[:, None] * cr[None, :] + qr[:, None] + SLACK
-    own = q_ids[:, None] == c_ids[None, :]
-    low = np.where(own, -np.inf, about - error)
-    least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(q), -np.inf)
-    i, j = np.nonzero((about + error >= least[:, None]) & ~own)
-    for at in range(0, len(i), 1 << 16):
-        score = exact_cosine(q[i[at : at + (1 << 16)]], c[j[at : at + (1 << 16)]])
-        part_i = i[at : at + (1 << 16)]
-        edges = np.flatnonzero(np.diff(part_i, prepend=-1, append=-1))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            best = heapq.nsmallest(k, zip((-score[a:b]).tolist(), c_ids[j[at + a : at + b]].tolist(), strict=True))
-            for negative, cid in best:
-                yield int(q_ids[part_i[a]]), cid, -negative
+class Asked:
+    """A block of queries with the k best that each has met, nearest first: scores and ids."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.codes, self.scale, self.rest = quantise(vectors.astype(np.float64))
+        self.score = np.full((len(ids), k), -np.inf)
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scale: np.ndarray, rest: np.ndarray) -> None:
+        """One tile: a block of candidates, quantised."""
+        about = tile_products(self.codes, codes)
+        about *= scale.astype(np.float32)
+        error = (1.0 + self.rest) * rest.max() + self.rest + SLACK
+        least = self.score[:, -1]
+        new = np.flatnonzero(np.isneginf(least))
+        if len(new) and len(ids) > self.k:
+            met = np.where(self.ids[new, None] == ids, -np.inf, about[new] * self.scale[new, None])
+            least = least.copy()
+            least[new] = np.partition(met, -self.k, axis=1)[:, -self.k] - error[new]
+        may = about >= ((least - error) / self.scale).astype(np.float32)[:, None]
+        i, j = np.divmod(np.flatnonzero(may), len(ids))
+        other = self.ids[i] != ids[j]
+        i, j = i[other], j[other]
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            self.keep(x, ids[y], exact_cosine(self.vectors[x].astype(np.float64), vectors[y].astype(np.float64)))
+
+    def keep(self, rows: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Merge found (row, id, score) into the k best, ties to the smaller id."""
+        seen = np.unique(rows)
+        rows = np.concatenate([rows, np.repeat(seen, self.k)])
+        ids, score = np.concatenate([ids, self.found[seen].ravel()]), np.concatenate([score, self.score[seen].ravel()])
+        order = np.lexsort((ids, -score, rows))
+        starts = np.searchsorted(rows[order], seen)
+        best = order[starts[:, None] + np.arange(self.k)]
+        self.score[seen], self.found[seen] = score[best], ids[best]
+
+    def result(self) -> pa.RecordBatch:
+        i, j = np.nonzero(~np.isneginf(self.score))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[i]), pa.array(self.found[i, j]), pa.array(self.score[i, j])], names=["query_id", "vec_id", "score"])
 
 
 def packed(df: DataFrame, block: int) -> DataFrame:
-    """Blocks of vectors: dim, block id, ids (bytes of int64) and data (bytes of float64)."""
+    """Blocks of vectors: dim, ids (bytes of int64) and data (bytes of float32 or float64, as the vectors are)."""
+    number = "<f4" if dict(df.dtypes)["vector"] == "array<float>" else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list] = {}
 
         def out(dim: int, rows: list) -> pa.RecordBatch:
             ids = np.array([r[0] for r in rows], "<i8").tobytes()
-            data = np.concatenate([r[1] for r in rows]).astype("<f8").tobytes()
+            data = np.concatenate([r[1] for r in rows]).tobytes()
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids], pa.binary()), pa.array([data], pa.binary())], names=["dim", "ids", "data"])
 
         for batch in batches:
             for key, vector in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                v = np.asarray(vector.values.to_numpy(zero_copy_only=False), np.float64)
+                v = np.asarray(vector.values.to_numpy(zero_copy_only=False), number)
                 rows = waiting.setdefault(len(v), [])
                 rows.append((key, v))
                 if len(rows) == block:
@@ -108,8 +136,9 @@ def packed(df: DataFrame, block: int) -> DataFrame:
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+    element = "float" if df.select(vector).dtypes[0][1] == "array<float>" else "double"
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    v = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where("id is not null and vector is not null")
+    v = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{element}>").alias("vector")).where("id is not null and vector is not null")
     return v.where(finite & F.exists("vector", lambda x: x != 0))
 
 
@@ -117,31 +146,48 @@ def search(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vect
     """query_id, rank, vec_id, score: the k nearest by cosine of every row whose id is divisible by ``every``.
 
     Candidate blocks are dealt to ``spread`` groups, each of which meets all queries: by default one for each candidate block, at most four
-    for each shuffle partition (a group beyond the number of tasks would only copy the queries once more).
+    for each shuffle partition (a group beyond the number of tasks would only copy the queries once more), and so many that the copies of the queries are about as many as the rows.
     """
     vectors = usable(df, key, vector)
+    asked = vectors.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = vectors.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("asked"), F.sum(F.when(F.col("id") % every == 0, F.size("vector"))).alias("numbers")).first()
+    width = 4 if dict(vectors.dtypes)["vector"] == "array<float>" else 8
+    parts = max(1, -(-(counted.numbers or 0) * width // QUERY_BYTES))
     if spread is None:
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = max(16, min(-(-df.count() // CANDIDATE_BLOCK), 4 * tasks))
+        spread = max(16, min(-(-counted.n // CANDIDATE_BLOCK), 4 * tasks, counted.n // max(1, counted.asked)))
     # sorted, so that a task that runs again packs the same blocks
-    asked = vectors.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
-    queries = packed(asked.repartition(min(spread, 64), "id").sortWithinPartitions("id"), QUERY_BLOCK)
+    queries = packed(asked.repartition(min(max(spread, parts), 64), "id").sortWithinPartitions("id"), QUERY_BLOCK)
     candidates = packed(vectors, CANDIDATE_BLOCK)
-    # every query block meets every candidate block of its dimension: blocks, not rows, and dealt out by a salt
-    left = candidates.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))
-    right = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    tiles = left.alias("c").join(right.alias("q"), (F.col("c.dim") == F.col("q.dim")) & (F.col("c.salt") == F.col("q.salt")))
-    tiles = tiles.select(F.col("c.dim").alias("dim"), F.col("q.ids").alias("q_ids"), F.col("q.data").alias("q_data"), F.col("c.ids").alias("c_ids"), F.col("c.data").alias("c_data"))
+    number = lambda of, name: F.pmod(F.xxhash64("ids"), F.lit(of)).cast("int").alias(name)
+    every_one = lambda of, name: F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias(name)
+    # every query block meets every candidate block of its dimension: blocks, not rows, dealt out by a salt, queries first
+    left = queries.select("dim", F.lit(0).alias("kind"), "ids", "data", number(parts, "part")).select("*", every_one(spread, "salt"))
+    right = candidates.select("dim", F.lit(1).alias("kind"), "ids", "data", number(spread, "salt")).select("*", every_one(parts, "part"))
+    group = ["dim", "salt", "part"]
+    blocks = left.unionByName(right).repartition(*group).sortWithinPartitions(*group, "kind").select(*group, "kind", "ids", "data")
+    form = "<f4" if width == 4 else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting = None, []
         for batch in batches:
             for n in range(batch.num_rows):
-                dim, q_ids, q_data, c_ids, c_data = (batch.column(i)[n].as_py() for i in range(5))
-                matrix = lambda b, dim=dim: np.frombuffer(b, "<f8").reshape(-1, dim)
-                found = list(tile_best(np.frombuffer(q_ids, "<i8"), matrix(q_data), np.frombuffer(c_ids, "<i8"), matrix(c_data), k))
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    best = tiles.mapInArrow(run, "query_id long, vec_id long, score double")
+                *of, kind, ids, data = (batch.column(i)[n].as_py() for i in range(6))
+                if of != now:
+                    for block in waiting:
+                        yield block.result()
+                    now, waiting = of, []
+                ids, matrix = np.frombuffer(ids, "<i8"), np.frombuffer(data, form).reshape(-1, of[0])
+                if kind == 0:
+                    waiting.append(Asked(ids, matrix, k))
+                elif waiting:
+                    codes = quantise(matrix.astype(np.float64))
+                    for block in waiting:
+                        block.meet(ids, matrix, *codes)
+        for block in waiting:
+            yield block.result()
+
+    best = blocks.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -1,4 +1,4 @@
-"""One document of each group of near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+"""Groups of near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, beside links that another method has found.
 
 The pairs are found exactly.  Two sets of that similarity share a shingle among the first fifth of either in any common order
 (prefix filtering), so every text names its first fifth, texts that name a common shingle are candidates, and candidates are
@@ -159,25 +159,6 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpointed(joined.where(both * (UNDER + OVER) >= (F.size("x") + F.size("y")) * OVER).select("a", "b"))
 
 
-def bucket_members(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """bucket, node and root of the buckets' members; a member without a link is its own root."""
-    members = buckets.select("bucket", F.explode("members").alias("node"))
-    if roots is None:
-        return members.withColumn("root", F.col("node"))
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def apart(members: DataFrame) -> DataFrame:
-    """bucket, n and pairs (of members that nothing connects yet) of the buckets that have such pairs."""
-    size = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    sums = size.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-    return sums.select("bucket", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).where("pairs > 0")
-
-
-def ordered_pairs(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-
-
 def block_candidates(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of members (bucket, node, root) of a bucket with different roots whose bit maps leave it open whether they are similar enough.
 
@@ -209,8 +190,8 @@ def block_candidates(members: DataFrame, sizes: DataFrame, texts: DataFrame) ->
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_components(texts: DataFrame) -> DataFrame:
-    """tid and root of the texts (tid, data) that have near copies; copies of one text share their tid.
+def near_components(texts: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """tid and root of the texts (tid, data) that have near copies or links in ``linked`` (a, b); copies of one text share their tid.
 
     Every bucket first compares one member, another one in each bucket, with the others: pairs in proportion to members.
     What is still apart then is compared in blocks.
@@ -222,6 +203,8 @@ def near_components(texts: DataFrame) -> DataFrame:
     stars = members.join(centres, "bucket").where("node <> centre")
     stars = checkpointed(stars.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
     edges = verified(stars, texts)
+    if linked is not None:
+        edges = checkpointed(edges.union(linked))
     roots = checkpointed(connected_components(edges).distinct())
     rooted = checkpointed(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = checkpointed(rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket", "n"))
@@ -232,9 +215,13 @@ def near_components(texts: DataFrame) -> DataFrame:
     return connected_components(edges.union(verified(rest, texts))).distinct().select(F.col("node").alias("tid"), "root")
 
 
-def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def texts_of(df: DataFrame, text: str = "text") -> DataFrame:
+    """tid and data of every row."""
+    return df.select(text_id(text).alias("tid"), whole_text(text).cast("binary").alias("data"))
+
+
+def components(df: DataFrame, key: str = "doc_id", text: str = "text", linked: DataFrame | None = None) -> DataFrame:
     """doc_id, tid (hash of the text) and root (one tid of the group) of every row."""
-    texts = df.select(text_id(text).alias("tid"), whole_text(text).cast("binary").alias("data"))
-    roots = checkpointed(near_components(texts))
+    roots = checkpointed(near_components(texts_of(df, text), linked))
     rows = df.select(F.col(key).cast("long").alias("doc_id"), text_id(text).alias("tid"))
     return rows.join(roots, "tid", "left").select("doc_id", "tid", F.coalesce("root", "tid").alias("root"))

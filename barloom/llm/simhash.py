@@ -176,13 +176,24 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", max_bucke
     return docs.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def text_links(texts: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Links (a, b) between texts (tid, data) whose components are those of all pairs of fingerprints within two bits."""
+    prints = checkpointed(texts.mapInArrow(_fingerprints, "doc_id long, fp long").distinct())
+    first = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    same = prints.join(first, "fp").where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    x, y = (first.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab")
+    apart = links(first.select("fp"), max_bucket).join(x, "a").join(y, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return same.union(apart)
+
+
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near copies (5-word shingles, similarity 0.8): the one with the smallest key (null last), then the smallest hash of the text.
+    """One row of each group of near copies: the one with the smallest key (null last), then the smallest hash of the text.
 
-    The digest's fingerprints of 3 words within two bits hardly find more than exact copies, so the groups are those of ``near_copies``.
+    Fingerprints within two bits link texts, as in ``components``.  They hardly find more than exact copies, so the pairs of
+    ``near_copies`` (5-word shingles, similarity 0.8) link texts beside them.
     Rows with the key and the text of the chosen one are reduced after the join; where it is not repeated, the texts are shuffled once only.
     """
-    found = checkpointed(near_copies.components(df, key, text))
+    found = checkpointed(near_copies.components(df, key, text, text_links(near_copies.texts_of(df, text))))
     mark = fresh_name(df, "__kept")
     tid, n = f"{mark}_tid", f"{mark}_n"
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("kept"), F.col("tid").alias("kept_tid"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from barloom.llm import near_copies
+from barloom.llm import near_copies, simhash
 
 
 def test_bit_maps_lose_no_near_pair():
@@ -50,3 +50,16 @@ def test_families_are_compared_whole(spark, monkeypatch):
     got = {r.doc_id: r.root for r in near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     same = lambda of: {frozenset(d for d in sets if of(d) == of(e)) for e in sets}
     assert same(got.get) == same(root) and len(same(root)) > 25
+
+
+def test_fingerprints_link_texts_of_the_stage(spark):
+    """Texts within two bits are one group of the stage even if their 5-word shingles differ."""
+    base = " ".join(f"w{i}" for i in range(41))
+    rows = [(k, (base + " ") * 150 + " ".join(f"t{k}x{i}" for i in range(30))) for k in range(3)] + [(7, "something else that nobody has a copy of")]
+    prints = [simhash.fingerprint(t.encode()) for _, t in rows]
+    assert all((p ^ prints[0]).bit_count() <= 2 for p in prints[:3])
+    sets = [set(near_copies.shingles(t.encode()).tolist()) for _, t in rows]
+    assert 5 * len(sets[0] & sets[1]) < 4 * len(sets[0] | sets[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r.root for r in near_copies.components(df).collect()}) == 4
+    assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == [0, 7]

@@ -1,12 +1,16 @@
 """Groups of near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, beside links that another method has found.
 
-The pairs are found exactly.  Two sets of that similarity share a shingle among the first fifth of either in any common order
-(prefix filtering), so every text names its first fifth, texts that name a common shingle are candidates, and candidates are
-verified: first on bit maps of the sets, whose differing bits bound the overlap from above (so no pair is lost), then on the full sets.  The order puts shingles that a sample of the texts repeats last, so passages that many texts share
-route nobody; it decides the cost only, never the result.
+The links are found exactly.  Two sets of that similarity share a shingle among the first fifth of either in any common order
+(prefix filtering), so every text names its first fifth, and texts that name a common shingle are a bucket.  The order puts shingles
+that a sample of the texts repeats last, so passages that many texts share route nobody; it decides the cost only, never the result.
 
-Of each bucket first the pairs with one member are verified, another one in each bucket; members that are connected by then are not compared again.
-Pairs that are still apart are compared in blocks by size and bit map inside a task, and only those that pass are made and verified.
+No pair of texts is ever a row.  Members are compared inside a task that gives a forest with their components, one edge for a member at most:
+
+* in each bucket by bit maps of the sets, whose differing bits bound the overlap from above; the components over all buckets
+  hold every pair that may be similar, and most texts are in none;
+* in each of these components by the full sets.  The texts of a component meet once, and what is connected already is not compared again.
+
+Groups beyond a task's share (``BLOCK``, ``WEIGHT``) compare one member with all others first, and then what is apart from it with all, in blocks.
 
 Defined results: words are split at white space, ASCII letters in lower case; a text of fewer than five words is one shingle,
 and texts without a word are copies of each other; texts are told apart by a 64-bit hash; groups are connected components.
@@ -14,7 +18,7 @@ and texts without a word are copies of each other; texts are told apart by a 64-
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,10 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: One text of so many is sampled for the order; shingles of at least so many sampled texts go last.
 SAMPLE, OFTEN, MOST_OFTEN = 16, 3, 100_000
 BROADCAST_ROWS = 250_000
-#: Members of a bucket that are compared with one another in one task.
-BLOCK = 256
+#: Members of a group, and shingles in all, that one task compares with one another.
+BLOCK, WEIGHT = 1024, 1_000_000
+#: Where a member stands: on one of two sides that are compared with each other, or on both.
+LEFT, RIGHT, BOTH = 0, 1, 2
 
 
 def shingles(data: bytes) -> np.ndarray:
@@ -129,90 +135,115 @@ def bit_maps(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "tid long, n long, bits binary")
 
 
-def candidates(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and bit maps leave it open whether they are similar enough."""
+def may_be_near_to(sizes: np.ndarray, data: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """By bit maps: which of some members may be similar enough to one of them."""
+    return lambda v, others: np.array([may_be_near(sizes[v], data[v], sizes[u], data[u]) for u in others.tolist()], bool)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [may_be_near(*row) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    maps = checkpointed(bit_maps(mentioned(pairs, texts)).dropDuplicates(["tid"]))
-    x, y = (maps.select(F.col("tid").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
-    joined = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") * UNDER >= F.greatest("na", "nb") * OVER)
-    return checkpointed(joined.select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, "a long, b long"))
-
-
-def mentioned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts that occur in pairs."""
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct())
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "tid", "left_semi")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    pairs = candidates(pairs, texts)
-    sets = checkpointed(shingle_sets(mentioned(pairs, texts)).dropDuplicates(["tid"]))
-    x, y = sets.select(F.col("tid").alias("a"), F.col("set").alias("x")), sets.select(F.col("tid").alias("b"), F.col("set").alias("y"))
-    both, less, more = F.size(F.array_intersect("x", "y")), F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    joined = pairs.join(x, "a").join(y, "b").where(less * UNDER >= more * OVER)
-    return checkpointed(joined.where(both * (UNDER + OVER) >= (F.size("x") + F.size("y")) * OVER).select("a", "b"))
-
-
-def block_candidates(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (bucket, node, root) of a bucket with different roots whose bit maps leave it open whether they are similar enough.
-
-    The members of a bucket are packed into blocks of some ``BLOCK``, and blocks meet blocks: a bucket of n makes (n / BLOCK)^2 / 2 rows, any task
-    holds two blocks, and only pairs that pass leave it.
-    """
-    ids = checkpointed(members.select(F.col("node").alias("tid")).distinct())
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    maps = checkpointed(bit_maps(texts.join(few, "tid", "left_semi")).dropDuplicates(["tid"]))
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = members.join(sizes.select("bucket", F.col("n").alias("size")), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int"))
-    placed = placed.join(maps, F.col("node") == F.col("tid"))
-    blocks = checkpointed(placed.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "root", F.col("n").alias("n"), "bits")).alias("rows")))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block")))
-    met = met.select((F.col("x.block") == F.col("y.block")).alias("same"), F.col("x.rows").alias("left"), F.col("y.rows").alias("right"))
+
+def near_to(sizes: np.ndarray, data: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """By texts: which of some members are similar enough to one of them."""
+    ends = np.cumsum(sizes)
+    values, numbers = np.unique(np.concatenate([shingles(x) for x in data]), return_inverse=True)
+    sets = np.split(numbers, ends[:-1])
+    marked = np.zeros(len(values), bool)
+
+    def near(v: int, others: np.ndarray) -> np.ndarray:
+        marked[sets[v]] = True
+        both = np.array([np.count_nonzero(marked[sets[u]]) for u in others.tolist()], np.int64)
+        marked[sets[v]] = False
+        return both * (UNDER + OVER) >= (sizes[v] + sizes[others]) * OVER
+
+    return near
+
+
+def forest(sides: np.ndarray, sizes: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of members, one fewer than members at most, with the components of all pairs of different sides that are near."""
+    apart, found = np.ones(len(sides), bool), []
+    for start in range(len(sides)):
+        waiting = [start] if apart[start] else []
+        apart[start] = False
+        while waiting:
+            v = waiting.pop()
+            fits = np.minimum(sizes, sizes[v]) * UNDER >= np.maximum(sizes, sizes[v]) * OVER
+            others = np.flatnonzero(apart & fits & ((sides == BOTH) | (sides != sides[v])))
+            if len(others):
+                others = others[near(v, others)]
+                apart[others] = False
+                waiting += others.tolist()
+                found += [(v, u) for u in others.tolist()]
+    return found
+
+
+def compared(placed: DataFrame, payload: DataFrame, near_of: Callable) -> DataFrame:
+    """Edges (a, b) of a forest of each task's share of ``placed`` (group, i, j, side, node), by what ``payload`` (node, n, data) holds of the members."""
+
+    def edges(rows: list[tuple]) -> pa.RecordBatch:
+        sides, nodes, sizes = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        found = forest(sides, sizes, near_of(sizes, [r[3] for r in rows])) if len(rows) > 1 else []
+        pairs = np.sort(nodes[np.array(found, np.int64).reshape(-1, 2)], axis=1)
+        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
         for batch in batches:
-            for k in range(batch.num_rows):
-                same, left, right = (batch.column(c)[k].as_py() for c in range(3))
-                (_, xr, xn), (_, yr, yn) = (tuple(np.array([r[f] for r in rows], np.int64) for f in ("node", "root", "n")) for rows in (left, right))
-                may = (xr[:, None] != yr) & (np.minimum(xn[:, None], yn) * UNDER >= np.maximum(xn[:, None], yn) * OVER)
-                i, j = np.nonzero(np.triu(may, 1) if same else may)
-                near = [(left[a], right[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True) if may_be_near(left[a]["n"], left[a]["bits"], right[b]["n"], right[b]["bits"])]
-                found = np.array([(p["node"], q["node"]) for p, q in near], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found[:, 0], found[:, 1])), pa.array(np.maximum(found[:, 0], found[:, 1]))], names=["a", "b"])
-
-    return met.mapInArrow(run, "a long, b long").distinct()
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            for key, *row in zip(keys, *(batch.column(k).to_pylist() for k in range(3, 7)), strict=True):
+                if key != last and rows:
+                    yield edges(rows)
+                    rows = []
+                last = key
+                rows.append(row)
+        if rows:
+            yield edges(rows)
+
+    share = ["group", "i", "j"]
+    rows = placed.join(payload, "node").repartition(*share).sortWithinPartitions(*share, "side", "node").select(*share, "side", "node", "n", "data")
+    return checkpointed(rows.mapInArrow(run, "a long, b long").distinct())
+
+
+def at(number: str) -> Column:
+    """The block of a member, of ``number`` blocks."""
+    return F.pmod(F.xxhash64("node"), F.col(number)).cast("int")
+
+
+def each(number: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(number) - 1))
+
+
+def forests(members: DataFrame, payload: DataFrame, near_of: Callable) -> DataFrame:
+    """Edges (a, b) with the components of all near pairs of a group of ``members`` (group, node, weight)."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("weight") / WEIGHT)).cast("int")
+    large = checkpointed(members.groupBy("group").agg(parts.alias("parts"), F.min_by("node", F.xxhash64("node")).alias("centre")).where("parts > 1"))
+    zero, side = F.lit(0), lambda k: F.lit(k).alias("side")
+    whole = members.join(large, "group", "left_anti")
+    found = compared(whole.select("group", zero.alias("i"), zero.alias("j"), side(BOTH), "node"), payload, near_of)
+    if large.isEmpty():
+        return found
+    rows = checkpointed(members.join(large, "group"))
+    centres = large.select("group", zero.alias("i"), each("parts").alias("j"), side(LEFT), F.col("centre").alias("node"))
+    stars = compared(centres.union(rows.select("group", zero.alias("i"), at("parts").alias("j"), side(RIGHT), "node")), payload, near_of)
+    linked = (F.least("node", "centre") == F.col("a")) & (F.greatest("node", "centre") == F.col("b"))
+    rest = checkpointed(rows.where("node <> centre").join(stars, linked, "left_anti"))
+    blocks = checkpointed(rest.groupBy("group").agg(parts.alias("blocks")))
+    left = rest.join(blocks, "group").select("group", at("blocks").alias("i"), each("parts").alias("j"), side(LEFT), "node")
+    right = rows.join(blocks, "group").select("group", each("blocks").alias("i"), at("parts").alias("j"), side(RIGHT), "node")
+    return found.union(stars).union(compared(left.union(right), payload, near_of))
 
 
 def near_components(texts: DataFrame, linked: DataFrame | None = None) -> DataFrame:
-    """tid and root of the texts (tid, data) that have near copies or links in ``linked`` (a, b); copies of one text share their tid.
-
-    Every bucket first compares one member, another one in each bucket, with the others: pairs in proportion to members.
-    What is still apart then is compared in blocks.
-    """
+    """tid and root of the texts (tid, data) that have near copies or links in ``linked`` (a, b); copies of one text share their tid."""
     named = first_shingles(texts).groupBy("shingle").agg(F.array_sort(F.collect_set("tid")).alias("members"))
-    buckets = checkpointed(named.where(F.size("members") > 1).select("members").distinct().withColumn("bucket", F.xxhash64("members")))
-    members = buckets.select("bucket", F.explode("members").alias("node"))
-    centres = members.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("centre"))
-    stars = members.join(centres, "bucket").where("node <> centre")
-    stars = checkpointed(stars.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
-    edges = verified(stars, texts)
-    if linked is not None:
-        edges = checkpointed(edges.union(linked))
-    roots = checkpointed(connected_components(edges).distinct())
-    rooted = checkpointed(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    sizes = checkpointed(rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket", "n"))
-    open_members = checkpointed(rooted.join(sizes.select("bucket"), "bucket", "left_semi"))
-    rest = checkpointed(block_candidates(open_members, sizes, texts).join(stars, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return roots.select(F.col("node").alias("tid"), "root")
-    return connected_components(edges.union(verified(rest, texts))).distinct().select(F.col("node").alias("tid"), "root")
+    buckets = checkpointed(named.where(F.size("members") > 1).select("members").distinct())
+    members = buckets.select(F.xxhash64("members").alias("group"), F.explode("members").alias("node"), F.lit(0).alias("weight"))
+    maps = checkpointed(bit_maps(texts).dropDuplicates(["tid"]).withColumnsRenamed({"tid": "node", "bits": "data"}))
+    groups = checkpointed(connected_components(forests(members, maps, may_be_near_to)).distinct())
+    sizes = checkpointed(groups.join(maps, "node").select(F.col("root").alias("group"), "node", F.col("n").alias("weight")))
+    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+    whole = texts.join(few.select(F.col("node").alias("tid")), "tid", "left_semi").dropDuplicates(["tid"])
+    whole = whole.join(sizes.select("node", F.col("weight").alias("n")), F.col("tid") == F.col("node")).select("node", "n", "data")
+    edges = forests(sizes, checkpointed(whole), near_to)
+    return connected_components(edges.union(linked) if linked is not None else edges).distinct().select(F.col("node").alias("tid"), "root")
 
 
 def texts_of(df: DataFrame, text: str = "text") -> DataFrame:

@@ -63,3 +63,32 @@ def test_fingerprints_link_texts_of_the_stage(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert len({r.root for r in near_copies.components(df).collect()}) == 4
     assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == [0, 7]
+
+
+def test_families_make_rows_in_proportion_to_members(spark, monkeypatch):
+    """A family whose pairs are too close for the bit maps and mostly apart by the sets: no step makes its pairs."""
+    made, whole = [], near_copies.checkpointed
+
+    def counting(df):
+        out = whole(df)
+        if {"a", "b"} <= set(out.columns):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "checkpointed", counting)
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(240):
+        words = [f"w{i}" for i in range(150)]
+        for at in (30, 90):
+            words[at + int(rng.integers(0, 40))] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    sets = [set(near_copies.shingles(t.encode()).tolist()) for _, t in rows]
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for k in range(i):
+            if root[k] != root[i] and 5 * len(x & sets[k]) >= 4 * len(x | sets[k]):
+                root = [root[k] if r == root[i] else r for r in root]
+    got = [r.root for r in near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert len(set(got)) == len(set(root)) == len(set(zip(got, root, strict=True)))
+    assert made and max(made) < 4 * len(rows)

@@ -136,8 +136,36 @@ def bit_maps(texts: DataFrame) -> DataFrame:
 
 
 def may_be_near_to(sizes: np.ndarray, data: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
-    """By bit maps: which of some members may be similar enough to one of them."""
-    return lambda v, others: np.array([may_be_near(sizes[v], data[v], sizes[u], data[u]) for u in others.tolist()], bool)
+    """By bit maps, as ``may_be_near``: which of some members may be similar enough to one of them."""
+    lengths = np.array([len(x) for x in data], np.int64)
+    place = np.zeros(len(data), np.int64)
+    folded: dict[tuple[int, int], np.ndarray] = {}
+    for length in np.unique(lengths).tolist():
+        of = np.flatnonzero(lengths == length)
+        place[of] = np.arange(len(of))
+        folded[length, length] = np.frombuffer(b"".join(data[u] for u in of.tolist()), np.uint8).reshape(-1, length)
+
+    def maps(length: int, to: int) -> np.ndarray:
+        """The bit maps of a length, folded to a shorter one."""
+        if (length, to) not in folded:
+            longer = maps(length, 2 * to)
+            folded[length, to] = longer[:, :to] | longer[:, to:]
+        return folded[length, to]
+
+    def near(v: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others), bool)
+        for length in np.unique(lengths[others]).tolist():
+            of = np.flatnonzero(lengths[others] == length)
+            to = min(length, int(lengths[v]))
+            x, y = maps(int(lengths[v]), to)[place[v]], maps(length, to)[place[others[of]]]
+            n, m = sizes[v], sizes[others[of]]
+            if to >= 8:
+                x, y = np.ascontiguousarray(x).view(np.uint64), np.ascontiguousarray(y).view(np.uint64)
+            less, more = (np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (x & ~y, y & ~x))
+            out[of] = np.minimum(n - less, m - more) * (UNDER + OVER) >= (n + m) * OVER
+        return out
+
+    return near
 
 
 def near_to(sizes: np.ndarray, data: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:

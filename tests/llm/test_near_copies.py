@@ -92,3 +92,14 @@ def test_families_make_rows_in_proportion_to_members(spark, monkeypatch):
     got = [r.root for r in near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
     assert len(set(got)) == len(set(root)) == len(set(zip(got, root, strict=True)))
     assert made and max(made) < 4 * len(rows)
+
+
+def test_bit_maps_of_many_members_say_what_those_of_two_say():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(-(1 << 62), 1 << 62, 600)
+    sets = [np.unique(np.concatenate([pool[: k * 3 // 2], rng.integers(-(1 << 62), 1 << 62, int(k * rng.random()))])) for k in range(1, 120)]
+    sizes, data = np.array([len(s) for s in sets]), [near_copies.bit_map(s) for s in sets]
+    many, others = near_copies.may_be_near_to(sizes, data), np.arange(len(sets))
+    two = [[near_copies.may_be_near(int(n), x, int(m), y) for m, y in zip(sizes, data, strict=True)] for n, x in zip(sizes, data, strict=True)]
+    assert [many(v, others).tolist() for v in others] == two
+    assert 0 < sum(map(sum, two)) < len(sets) ** 2
